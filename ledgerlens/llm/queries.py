@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, media, pii
-from .common import table
+from . import bpe, fingerprint, langid, media, mixing, pii
+from .common import table, written
 
 #: Where the vocabulary files of public tokenizers lie; a parameter, never copied.
 VOCABULARY = "word_bpe_49k.json"
@@ -17,6 +18,21 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Target weights of the tree; a name that is not listed has weight 1.
+WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
+#: The token budget in thousandths of all tokens, the epochs a document may be used, and the order's seed.
+PER_MILLE, EPOCHS, SEED = 600, 2, 7
+
+
+def domain_of(source: str) -> Column:
+    """The tables name no domains; a source belongs to one of four by the first digit of its MD5."""
+    return F.concat(F.lit("d"), F.expr(f"(instr('0123456789abcdef', substring(md5(coalesce({source}, '')), 1, 1)) - 1) div 4").cast("string"))
+
+
+def op1_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -34,5 +50,41 @@ def op9_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_spans, op7_language_profiles, op8_bpe_tokens, op9_media_sequences)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", domain_of("source").alias("domain"), "lang", "source", mixing.word_tokens("text").alias("tokens"))
+    return mixing.mixed(written(docs, "tokens"), WEIGHTS, PER_MILLE, EPOCHS, SEED)
+
+
+QUERIES = {f.__name__: f for f in (op1_scaled_sketches, op2_pii_spans, op7_language_profiles, op8_bpe_tokens, op9_media_sequences, op10_source_mixture)}
+
+
+def _level(name: str, parent: str, keys: list[str], level: str, weight: str) -> str:
+    """One level of budgets in SQL: parent's rows carry parent_budget."""
+    on = f"JOIN {parent} USING ({', '.join(keys)})" if keys else f"CROSS JOIN {parent}"
+    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    every = ", ".join([*keys, level])
+    return f"""{name}_0 AS (SELECT {every}, sum(capacity) AS capacity, CAST({weight} AS HUGEINT) AS w, any_value(parent_budget) AS parent_budget FROM leaves {on} GROUP BY {every}),
+{name}_1 AS (SELECT *, coalesce(sum(capacity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {name}_0 WINDOW o AS ({part} ORDER BY CAST(capacity AS DOUBLE) / CAST(w AS DOUBLE), {level})),
+{name}_2 AS (SELECT *, capacity * rest <= (parent_budget - before) * w AS filled FROM {name}_1),
+{name}_3 AS (SELECT *, sum(CASE WHEN filled THEN capacity ELSE 0 END) OVER ({part}) AS taken, sum(CASE WHEN filled THEN 0 ELSE w END) OVER ({part}) AS open_w FROM {name}_2),
+{name} AS (SELECT {every}, CASE WHEN filled THEN capacity ELSE CAST((parent_budget - taken) * w AS HUGEINT) // CAST(greatest(open_w, 1) AS HUGEINT) END AS parent_budget FROM {name}_3)"""
+
+
+def _case(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in sorted(weights.items())) + " ELSE 1 END"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_source_mixture": f"""WITH docs AS (
+SELECT doc_id, 'd' || CAST((instr('0123456789abcdef', substr(md5(coalesce(source, '')), 1, 1)) - 1) // 4 AS VARCHAR) AS domain, lang, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS tokens FROM documents),
+rows_ AS (SELECT doc_id, domain AS d, coalesce(lang, '') AS l, coalesce(source, '') AS s, lang, source, tokens FROM docs),
+leaves AS (SELECT d, l, s, CAST(sum(tokens) AS HUGEINT) AS tokens, CAST(sum(tokens) AS HUGEINT) * {EPOCHS} AS capacity FROM rows_ GROUP BY d, l, s),
+root AS (SELECT CAST(coalesce(sum(tokens), 0) AS HUGEINT) * {PER_MILLE} // 1000 AS parent_budget FROM leaves),
+{_level("domains", "root", [], "d", _case("d", WEIGHTS["domain"]))},
+{_level("langs", "domains", ["d"], "l", _case("l", WEIGHTS["lang"]))},
+{_level("sources", "langs", ["d", "l"], "s", "1")},
+budgets AS (SELECT d, l, s, CASE WHEN tokens > 0 THEN parent_budget // tokens ELSE 0 END AS whole_, CASE WHEN tokens > 0 THEN parent_budget % tokens ELSE 0 END AS part FROM sources JOIN leaves USING (d, l, s)),
+keyed AS (SELECT *, md5('{SEED}/' || CAST(whole_ AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR)) AS k FROM rows_ JOIN budgets USING (d, l, s)),
+placed AS (SELECT *, sum(tokens) OVER (PARTITION BY d, l, s ORDER BY k, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM keyed)
+SELECT doc_id, d AS domain, lang, source, tokens, CAST(whole_ + CASE WHEN upto <= part THEN 1 ELSE 0 END AS BIGINT) AS copies FROM placed WHERE whole_ + CASE WHEN upto <= part THEN 1 ELSE 0 END > 0""",
+}
