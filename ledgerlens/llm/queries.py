@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, media, mixing, pii
+from . import bpe, fingerprint, langid, media, mixing, neardup, pii
 from .common import table, written
 
 #: Where the vocabulary files of public tokenizers lie; a parameter, never copied.
@@ -37,6 +37,20 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+#: Near-duplicate documents: sets of four-word shingles, Jaccard similarity 0.8.
+DOCUMENTS = neardup.Settings(shingle=4, percent=80, rows=5, bands=neardup.bands_for(80, 5, 1e-5))
+#: Repeated paragraphs: lines of at least one shingle's words; five-word shingles.
+PARAGRAPHS = neardup.Settings(shingle=5, percent=80, rows=4, bands=neardup.bands_for(80, 4, 1e-5), lines=True, least_words=5)
+
+
+def op3_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.repeated_paragraphs(table(spark, sf_dir, "documents"), PARAGRAPHS)
+
+
+def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), DOCUMENTS)
+
+
 def op7_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.learn(docs.where(~langid.held_out())))
@@ -55,7 +69,7 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(written(docs, "tokens"), WEIGHTS, PER_MILLE, EPOCHS, SEED)
 
 
-QUERIES = {f.__name__: f for f in (op1_scaled_sketches, op2_pii_spans, op7_language_profiles, op8_bpe_tokens, op9_media_sequences, op10_source_mixture)}
+QUERIES = {f.__name__: f for f in (op1_scaled_sketches, op2_pii_spans, op3_paragraph_bands, op4_minhash_bayes, op7_language_profiles, op8_bpe_tokens, op9_media_sequences, op10_source_mixture)}
 
 
 def _level(name: str, parent: str, keys: list[str], level: str, weight: str) -> str:
