@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, media, mixing, neardup, pii, quality
+from . import bpe, fingerprint, langid, media, mixing, neardup, pii, quality, substrings
 from .common import table, written
 
 #: Where the vocabulary files of public tokenizers lie; a parameter, never copied.
@@ -51,6 +51,10 @@ def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), DOCUMENTS)
 
 
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents name no URLs: a source is the host, and a language within it the path."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
@@ -74,7 +78,7 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(written(docs, "tokens"), WEIGHTS, PER_MILLE, EPOCHS, SEED)
 
 
-QUERIES = {f.__name__: f for f in (op1_scaled_sketches, op2_pii_spans, op3_paragraph_bands, op4_minhash_bayes, op6_site_quality, op7_language_profiles, op8_bpe_tokens, op9_media_sequences, op10_source_mixture)}
+QUERIES = {f.__name__: f for f in (op1_scaled_sketches, op2_pii_spans, op3_paragraph_bands, op4_minhash_bayes, op5_repeated_substrings, op6_site_quality, op7_language_profiles, op8_bpe_tokens, op9_media_sequences, op10_source_mixture)}
 
 
 def _level(name: str, parent: str, keys: list[str], level: str, weight: str) -> str:
