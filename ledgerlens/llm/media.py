@@ -151,14 +151,22 @@ def rendered(text: str, digest: str, caption: str) -> str:
     return f'<article>{lines}<figure><img src="sha256:{digest}"><figcaption>{html.escape(caption)}</figcaption></figure></article>'
 
 
+#: Rows whose parts are held as Python objects at once.
+SLICE = 256
+PART_TYPE = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
+
+
 def interleaved(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
     """(id, parts): the ordered sequence of each page."""
 
-    @F.pandas_udf(PARTS)
-    def parts(column):
-        return column.map(parts_of)
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(at, SLICE)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([parts_of(x.as_py()) for x in rows.column(1)], PART_TYPE)], names=[id_column, "parts"])
 
-    return pages.select(id_column, parts(F.col(html_column)).alias("parts"))
+    kind = pages.schema[id_column].dataType.simpleString()
+    return pages.select(id_column, html_column).mapInArrow(run, f"`{id_column}` {kind}, parts {PARTS}")
 
 
 def references(sequences: DataFrame, id_column: str = "page_id") -> DataFrame:
@@ -218,21 +226,27 @@ def resolve(refs: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def document_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Each document as a page of its text and one figure that holds the text's bytes as samples."""
+    """Each document as a page of its text and one figure that holds the text's bytes as samples.
 
-    @F.pandas_udf("n_bytes bigint, page string")
-    def pages(texts):
-        import pandas as pd
+    The page is drawn and parsed in one pass; of its sequence only the media parts leave the task.
+    """
 
-        rows = []
-        for text in texts:
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            rows.append((len(raw), rendered(text or "", hashlib.sha256(padded(raw)).hexdigest(), f"{len(raw)} bytes")))
-        return pd.DataFrame(rows, columns=["n_bytes", "page"])
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(at, SLICE)
+                sizes, media = [], []
+                for value in rows.column(1):
+                    text = value.as_py() or ""
+                    raw = text.encode("utf-8", "surrogatepass")
+                    sizes.append(len(raw))
+                    page = rendered(text, hashlib.sha256(padded(raw)).hexdigest(), f"{len(raw)} bytes")
+                    media.append([part for part in parts_of(page) if part["kind"] == "media"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(media, PART_TYPE)], names=[id_column, "n_bytes", "parts"])
 
     features = read_back(store(docs.select(F.col(text_column).alias("payload"))))
-    drawn = docs.select(id_column, pages(F.col(text_column)).alias("drawn")).select(id_column, "drawn.n_bytes", "drawn.page")
-    sequences = interleaved(drawn.select(F.struct(id_column, "n_bytes").alias("key"), "page"), "key", "page")
-    refs = references(sequences, "key").select(f"key.{id_column}", "key.n_bytes", "position", "caption", "digest")
+    kind = docs.schema[id_column].dataType.simpleString()
+    sequences = docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, parts {PARTS}")
+    refs = references(sequences.select(F.struct(id_column, "n_bytes").alias("key"), "parts"), "key").select(f"key.{id_column}", "key.n_bytes", "position", "caption", "digest")
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     return resolve(refs, features).select(id_column, "n_bytes", *names, "position", "caption")
