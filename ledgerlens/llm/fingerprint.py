@@ -29,13 +29,13 @@ SPACES = " \t\n\x0b\x0c\r"
 def with_sketch(df: DataFrame, text: str, to: str, scale: int = SCALE, shingle: int = SHINGLE) -> DataFrame:
     """df with the sketch of a text column. Steps are columns of their own, so each is computed once."""
     words, kept = f"_{to}_words", f"_{to}_all"
-    limit = F.lit(-(1 << 63) + (1 << 64) // scale)
+    limit = F.lit(min(-(1 << 63) + (1 << 64) // scale, (1 << 63) - 1))
     bare = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(SPACES))
     df = df.withColumn(words, F.when(bare == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(bare, WORD_BREAK), lambda w: F.xxhash64(w))))
     places = F.sequence(F.lit(0), F.greatest(F.size(words) - shingle, F.lit(0)))
     hashes = F.transform(places, lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(shingle)]))
     df = df.withColumn(kept, F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(hashes)).drop(words)
-    low = F.filter(F.col(kept), lambda h: h < limit)
+    low = F.filter(F.col(kept), lambda h: h <= limit)
     df = df.withColumn(to, F.array_sort(F.array_distinct(low)))
     return df.withColumn(to, F.when((F.size(to) == 0) & (F.size(kept) > 0), F.array(F.array_min(kept))).otherwise(F.col(to))).drop(kept)
 

@@ -10,7 +10,8 @@ The order is a hash, so its leading digits cut a leaf into buckets. Token sums b
 in which the prefix ends; only that bucket's rows are sorted. All work is done by DataFrame functions.
 
 Defined cases: null labels are the empty label; a name without a weight has weight 1, a weight is a positive
-whole number; a text without words has no tokens and comes with the prefix at its place; repeated rows are
+whole number; a text without words has no tokens and comes with the prefix at its place,
+no more often than epochs are allowed; repeated rows are
 separate rows; shares are rounded down to whole tokens.
 """
 
@@ -77,28 +78,34 @@ def mixed(docs: DataFrame, weights: dict[str, dict[str, int]], per_mille: int, e
     docs carries the labels and a token count. per_mille is the budget in thousandths of all tokens.
     """
     names = {x: f"_{x}" for x in LEVELS}
-    own = [c for c in docs.columns]
-    rows = docs.withColumns({v: F.coalesce(F.col(k).cast("string"), F.lit("")) for k, v in names.items()})
-    leaves = rows.groupBy(*names.values()).agg(F.sum(token_column).alias("tokens")).withColumnsRenamed({v: k for k, v in names.items()})
+    labels = list(names.values())
+    own = [c for c in docs.columns if c != to]
+    # own columns travel in a struct, so that their names clash with nothing here
+    rows = docs.select(
+        F.struct(*own).alias("_doc"), *[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(v) for k, v in names.items()],
+        F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("_name"), F.col(id_column).alias("_id"), F.coalesce(F.col(token_column), F.lit(0)).alias("_tokens"),
+    )
+    leaves = rows.groupBy(*labels).agg(F.sum("_tokens").alias("tokens")).withColumnsRenamed({v: k for k, v in names.items()})
     budgets = leaf_budgets(leaves, weights, per_mille, epochs)
     budgets = budgets.select(*[F.col(k).alias(v) for k, v in names.items()], F.expr("case when tokens > 0 then budget div tokens else 0 end").alias("_whole"), F.expr("case when tokens > 0 then budget % tokens else 0 end").alias("_part"))
     budgets = written(budgets, "budgets")
-    labels = list(names.values())
 
     def keyed(leaf: DataFrame) -> DataFrame:
-        key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("string")))
+        key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("_whole").cast("string"), "_name").cast("binary"))
         return rows.join(leaf, labels).withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
 
-    sums = keyed(budgets).groupBy(*labels, "_part", "_bucket").agg(F.sum(token_column).alias("_sum"))
+    sums = keyed(budgets).groupBy(*labels, "_part", "_bucket").agg(F.sum("_tokens").alias("_sum"))
     running = F.sum("_sum").over(Window.partitionBy(*labels).orderBy("_bucket"))
     cuts = sums.withColumn("_end", running).where(F.col("_end") > F.col("_part"))
     cuts = cuts.groupBy(*labels).agg(F.min(F.struct("_bucket", (F.col("_end") - F.col("_sum")).alias("_before"))).alias("_c"))
     cuts = written(budgets.join(cuts.select(*labels, F.col("_c._bucket").alias("_cut"), F.col("_c._before").alias("_before")), labels, "left"), "cuts")
     every = keyed(cuts)
-    whole = every.where(F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut"))).withColumn(to, F.col("_whole") + 1)
+    whole = every.where(F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut"))).withColumn("_copies", F.least(F.col("_whole") + 1, F.lit(epochs)))
     # a leaf without a cut has part 0 and no tokens beyond, so all of its rows belong to the prefix
-    later = every.where((F.col("_bucket") > F.col("_cut")) & (F.col("_whole") > 0)).withColumn(to, F.col("_whole"))
-    place = Window.partitionBy(*labels, "_bucket").orderBy("_key", id_column, token_column).rowsBetween(Window.unboundedPreceding, 0)
+    later = every.where((F.col("_bucket") > F.col("_cut")) & (F.col("_whole") > 0)).withColumn("_copies", F.col("_whole"))
+    place = Window.partitionBy(*labels, "_bucket").orderBy("_key", "_id", "_tokens").rowsBetween(Window.unboundedPreceding, 0)
     edge = every.where(F.col("_bucket") == F.col("_cut"))
-    edge = edge.withColumn(to, F.col("_whole") + F.when(F.col("_before") + F.sum(token_column).over(place) <= F.col("_part"), 1).otherwise(0)).where(F.col(to) > 0)
-    return whole.select(*own, to).unionByName(edge.select(*own, to)).unionByName(later.select(*own, to))
+    fits = F.col("_before") + F.sum("_tokens").over(place) <= F.col("_part")
+    edge = edge.withColumn("_copies", F.least(F.col("_whole") + F.when(fits, 1).otherwise(0), F.lit(epochs))).where(F.col("_copies") > 0)
+    chosen = [*[F.col(f"_doc.`{c}`") for c in own], F.col("_copies").cast("bigint").alias(to)]
+    return whole.select(chosen).unionByName(edge.select(chosen)).unionByName(later.select(chosen))

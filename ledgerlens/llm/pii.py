@@ -66,7 +66,7 @@ OPEN, CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 AT_MARK = rf"{OPEN}(?:at|arroba|@){CLOSE}|_at_"
 DOT_MARK = rf"{OPEN}(?:dot|punto|punkt|point|\.){CLOSE}|_dot_"
 DISGUISE = re.compile(
-    rf"(?P<at>{AT_MARK}|(?<=[a-z0-9])\s+(?:at|arroba)\s+(?=[a-z0-9-]+(?:\s+(?:dot|punto|punkt)\s+|{DOT_MARK})[a-z0-9]))"
+    rf"(?P<at>{AT_MARK}|(?<=[a-z0-9])\s+(?:at|arroba)\s+(?!(?:the|an?|this|that)\s)(?=[a-z0-9-]+(?:\s+(?:dot|punto|punkt)\s+|{DOT_MARK})[a-z0-9]))"
     rf"|(?P<dot>{DOT_MARK}|(?<=[a-z0-9])\s+(?:dot|punto|punkt)\s+(?=[a-z0-9]))"
 )
 #: A cheap test that most texts fail.

@@ -109,5 +109,5 @@ root AS (SELECT CAST(coalesce(sum(tokens), 0) AS HUGEINT) * {PER_MILLE} // 1000
 budgets AS (SELECT d, l, s, CASE WHEN tokens > 0 THEN parent_budget // tokens ELSE 0 END AS whole_, CASE WHEN tokens > 0 THEN parent_budget % tokens ELSE 0 END AS part FROM sources JOIN leaves USING (d, l, s)),
 keyed AS (SELECT *, md5('{SEED}/' || CAST(whole_ AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR)) AS k FROM rows_ JOIN budgets USING (d, l, s)),
 placed AS (SELECT *, sum(tokens) OVER (PARTITION BY d, l, s ORDER BY k, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM keyed)
-SELECT doc_id, d AS domain, lang, source, tokens, CAST(whole_ + CASE WHEN upto <= part THEN 1 ELSE 0 END AS BIGINT) AS copies FROM placed WHERE whole_ + CASE WHEN upto <= part THEN 1 ELSE 0 END > 0""",
+SELECT doc_id, d AS domain, lang, source, tokens, CAST(least(whole_ + CASE WHEN upto <= part THEN 1 ELSE 0 END, {EPOCHS}) AS BIGINT) AS copies FROM placed WHERE whole_ + CASE WHEN upto <= part THEN 1 ELSE 0 END > 0""",
 }
