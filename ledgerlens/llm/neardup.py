@@ -9,8 +9,8 @@ copies are never compared. Nodes that share a band of their MinHash signature ar
 * Two members of a bucket may be similar although one of them is not similar to the centre. The symmetric
   difference is a metric, and x and y differ by D(x) ^ D(y) if D(x) is what x and the centre do not share.
   So a similar pair whose one side failed must share more than half of the other side's differences
-  (`least_shared`). An index over each member's rarest differences finds all such pairs; they are pruned and
-  verified like the others. No bucket is capped and no bucket's pairs are all emitted.
+  (`least_shared`). An index over each member's rarest differences finds all such pairs of different classes;
+  they are pruned and verified like the others. No bucket is capped and no bucket's pairs are all emitted.
 
 Similar pairs are links, and linked nodes form classes by label propagation.
 
@@ -35,6 +35,8 @@ from .common import checkpoint, written
 
 #: Signature values compared before each look at the posterior.
 BATCH = 32
+#: Lists of at most so many differences are intersected where pairs are found.
+SHORT = 64
 
 
 @dataclass(frozen=True)
@@ -237,21 +239,30 @@ def least_shared(cfg: Settings) -> Column:
     return F.greatest(F.lit(1), F.floor(bound / (2 * (100 + p))) + 1).cast("int")
 
 
-def around_centres(stars: DataFrame, cfg: Settings) -> DataFrame:
-    """Pairs (a, b) of members of one centre that may be similar although b is not similar to the centre.
+def around_centres(stars: DataFrame, labels: DataFrame, cfg: Settings) -> DataFrame:
+    """Pairs (a, b) of members of one centre, in different classes so far, that may be similar.
 
-    stars: compared (centre a, member b) with differences. A member's differences that no other member of
-    the centre has are dropped; of the others it is enough to look up its rarest.
+    stars: compared (centre a, member b) with differences; labels: classes by the stars' links. A difference
+    that only members of one class have is dropped. Of a member's others it is enough to look up its rarest,
+    and where both members failed, both sides need only their rarest. Short lists of two failed members are
+    intersected at once, long ones later by their sets.
     """
     rows = stars.where(F.col("differences").isNotNull()).select(F.col("a").alias("centre"), F.col("b").alias("node"), "linked", least_shared(cfg).alias("least"), "differences")
-    parts = rows.select("centre", "node", "linked", "least", F.explode("differences").alias("d"))
-    common = parts.groupBy("centre", "d").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("failed")).where("n > 1 and failed > 0")
-    parts = written(parts.join(common, ["centre", "d"]), "differences")
-    # a look-up from a failed member must meet another failed one
-    per_node = parts.groupBy("centre", "node", "least").agg(F.array_sort(F.collect_list(F.struct("n", "d"))).alias("ds")).where(F.size("ds") >= F.col("least"))
-    probes = per_node.select("centre", "node", F.explode(F.slice("ds", 1, F.size("ds") - F.col("least") + 1)).alias("x")).select("centre", F.col("x.d").alias("d"), F.col("node").alias("x"))
-    failed = parts.where(~F.col("linked")).select("centre", "d", F.col("node").alias("y"))
-    return probes.join(failed, ["centre", "d"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = rows.select("centre", "node", "label", "linked", "least", F.explode("differences").alias("d"))
+    common = parts.groupBy("centre", "d").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("failed"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    parts = written(parts.join(common.where("failed > 0 and lo <> hi").select("centre", "d", "n"), ["centre", "d"]), "differences")
+    per_node = parts.groupBy("centre", "node", "label", "linked", "least").agg(F.array_sort(F.collect_list(F.struct("n", "d"))).alias("ds")).where(F.size("ds") >= F.col("least"))
+    short = F.when(F.size("ds") <= SHORT, F.transform("ds", lambda x: x["d"]))
+    probes = per_node.select("centre", "node", "label", "linked", "least", short.alias("ds"), F.explode(F.slice("ds", 1, F.size("ds") - F.col("least") + 1)).alias("x")).withColumn("d", F.col("x.d")).drop("x")
+    probes = written(probes, "probes")
+    x = probes.select("centre", "d", F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("least").alias("least_x"), F.col("ds").alias("ds_x"), "linked")
+    y = probes.where(~F.col("linked")).select("centre", "d", F.col("node").alias("y"), F.col("label").alias("label_y"), F.col("least").alias("least_y"), F.col("ds").alias("ds_y"))
+    enough = F.coalesce(F.size(F.array_intersect("ds_x", "ds_y")) >= F.greatest("least_x", "least_y"), F.lit(True))
+    failed = x.where(~F.col("linked")).join(y, ["centre", "d"]).where((F.col("x") < F.col("y")) & (F.col("label_x") != F.col("label_y")) & enough)
+    other = parts.where(~F.col("linked")).select("centre", "d", F.col("node").alias("y"), F.col("label").alias("label_y"))
+    mixed = x.where("linked").join(other, ["centre", "d"]).where("label_x <> label_y")
+    return failed.select("x", "y").union(mixed.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -272,8 +283,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_nodes(found: DataFrame, docs: DataFrame, cfg: Settings, id_column: str, text_column: str) -> DataFrame:
-    """Links (a, b) between nodes that are similar, enough of them to connect every class."""
+def link_nodes(found: DataFrame, docs: DataFrame, cfg: Settings, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """Classes (node, label) by links to centres, and (node, label) of labels that further links join."""
     buckets = shared_buckets(found)
     stars = written(with_centres(buckets).select(F.col("centre").alias("a"), F.col("node").alias("b")), "stars")
     nodes = buckets.select("node").distinct()
@@ -284,17 +295,21 @@ def link_nodes(found: DataFrame, docs: DataFrame, cfg: Settings, id_column: str,
     crowded = stars.groupBy("a").agg(F.count("*").alias("members")).where("members > 1").select("a", F.lit(True).alias("crowded"))
     asked = stars.join(likely, ["a", "b"], "left").join(crowded, "a", "left").where("likely or crowded")
     compared = written(compare(asked.select("a", "b", F.coalesce("crowded", F.lit(False)).alias("explain")), sets, cfg), "compared")
-    others = prune(around_centres(compared, cfg), firsts, cfg)
-    more = compare(others.select("a", "b", F.lit(False).alias("explain")), sets, cfg)
-    return compared.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
+    labels = written(components(compared.where("linked")), "labels")
+    others = prune(around_centres(compared, labels, cfg), firsts, cfg)
+    more = compare(others.select("a", "b", F.lit(False).alias("explain")), sets, cfg).where("linked").select("a", "b")
+    for side in ("a", "b"):
+        more = more.join(labels.select(F.col("node").alias(side), F.col("label").alias("to")), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    return labels, written(components(more), "joined")
 
 
 def classes(docs: DataFrame, cfg: Settings, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, position, n_shingles, node, label) of every unit; units of one label are one class."""
     found = units(docs, cfg, id_column, text_column)
-    labels = written(components(link_nodes(found, docs, cfg, id_column, text_column)), "labels")
-    rows = found.select("id", "position", "n_shingles", "node").join(labels, "node", "left")
-    return written(rows.select("id", "position", "n_shingles", "node", F.coalesce("label", "node").alias("label")), "classes")
+    labels, joined = link_nodes(found, docs, cfg, id_column, text_column)
+    rows = found.select("id", "position", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = rows.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    return written(rows.select("id", "position", "n_shingles", "node", F.coalesce("to", "label").alias("label")), "classes")
 
 
 def near_duplicates(docs: DataFrame, cfg: Settings, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
