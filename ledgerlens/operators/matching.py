@@ -126,7 +126,7 @@ def consolidation(bills: DataFrame, notes: DataFrame, most: int = 12) -> DataFra
     members = notes.where("header_cents > 0").withColumn("n", F.row_number().over(pool)).where(F.col("n") <= most)
     grouped = members.groupBy("period", "entity").agg(F.array_sort(F.collect_list(F.struct("seq", "nf", "header_cents"))).alias("pool")).where(F.size("pool") >= 2)
     rows = bills.where("cents > 0").join(grouped, ["period", "entity"])
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size("pool")) - 1)
+    masks = F.expr("sequence(1, shiftleft(1, size(pool)) - 1)")
 
     def chosen(mask: Column) -> Column:
         return F.filter(F.col("pool"), lambda _, i: F.getbit(mask.cast("bigint"), i) == 1)

@@ -67,9 +67,10 @@ def excel_serial_dates(spark, sf_dir):
     return rows.select("o_orderkey", day.alias("issued"), dates.period(day).alias("period"), dates.month_name(dates.period(day)).alias("month_name"))
 
 
-@query(f"WITH {DOCS_SQL} SELECT doc_seq, ltrim(regexp_extract(file, 'NF (\\d+)', 1), '0') AS number, regexp_extract(file, '^[0-9.]+ , (.+?) , NF', 1) AS emitter, doc_date AS day, CAST(doc_seq * 7 AS BIGINT) AS cents FROM docs")
+@query(f"WITH {DOCS_SQL} SELECT doc_seq, ltrim(regexp_extract(file, 'NF (\\d+)', 1), '0') AS number, regexp_extract(file, '^[0-9.]+ , (.+?) , NF', 1) AS emitter, CAST(CASE WHEN year(doc_date) < 2000 THEN doc_date + INTERVAL 100 YEAR ELSE doc_date END AS DATE) AS day, CAST(doc_seq * 7 AS BIGINT) AS cents FROM docs")
 def filename_extract(spark, sf_dir):
-    docs = documents(spark, sf_dir)
+    """Dates in file names are of this century, so those of the tables move by one."""
+    docs = documents(spark, sf_dir).withColumn("file", F.regexp_replace("file", "^19", "20"))
     paid = F.concat(F.lit("001.DOC- "), (F.col("doc_seq") * 7 / 100).cast("decimal(18,2)").cast("string"))
     name = F.col("file")
     amount = text.amount_in_file(F.replace(paid, F.lit("."), F.lit(",")).substr(5, 100))
@@ -83,9 +84,9 @@ def money_br_parse(spark, sf_dir):
     return rows.select("o_orderkey", text.money_cents(F.concat(F.lit("R$ "), shown)).alias("cents")).where("cents is not null")
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(upper(text)), '[\\s\\x{00A0}\\x{FEFF}]+', ' ', 'g'), '[^A-Z0-9]+', ' ', 'g')) AS name FROM documents WHERE lang IN ('fr', 'en')")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(upper(replace(text, 'ß', 'ss'))), '[\\s\\x{00A0}\\x{FEFF}]+', ' ', 'g'), '[^A-Z0-9]+', ' ', 'g')) AS name FROM documents")
 def accent_norm(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where(F.col("lang").isin("fr", "en")).select("doc_id", text.norm_company(F.col("text")).alias("name"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.norm_company(F.col("text")).alias("name"))
 
 
 @query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE CAST(c_custkey % 100 AS VARCHAR) = CAST(s_suppkey % 100 AS VARCHAR)")
@@ -100,7 +101,7 @@ def entity_core_match(spark, sf_dir):
 # Sentences put in front of a text, by document id, and the verdict each leads to.
 MARKS = (
     ("", "Não identificado", None, "none"), ("DANFE emitido", "NF", "DANFE", "strong"), ("Recibo de pagamento", "RECIBO", "RECIBO", "weak"), ("Guia do INSS", "IMPOSTO", "GUIA", "weak"),
-    ("NFS-e municipal", "NFS", "NFS-E", "strong"), ("Fatura mensal", "FATURA", "FATURA", "weak"), ("Cota de Consórcio", "CONSORCIO", "CONSORCIO", "strong"), ("Prestação", "IMPOSTO", "emitter: PREFEITURA DE X", "emitter"),
+    ("NFS-e municipal", "NFS", "NFS-E", "strong"), ("Fatura mensal", "FATURA", "FATURA", "weak"), ("Cota de Consórcio", "CONSORCIO", "COTA DE CONSORCIO", "strong"), ("Prestação", "IMPOSTO", "emitter: PREFEITURA DE X", "emitter"),
 )
 
 
@@ -112,9 +113,9 @@ def classify_text(spark, sf_dir):
     return docs.select("doc_id", classify.classified(F.concat(mark, F.lit(" \n"), F.col("text")), emitter).alias("c")).select("doc_id", "c.*")
 
 
-@query("SELECT doc_id, CAST(100000 + doc_id AS VARCHAR) AS number, CAST(doc_id % 9 + 1 AS VARCHAR) AS series, '0' || CAST(doc_id % 9 + 1 AS VARCHAR) || '/05/2026' AS issued, '02.328.280/0001-97' AS emitter_id, CAST(doc_id AS VARCHAR) || ',50' AS total FROM documents WHERE doc_id > 99")
+@query("SELECT doc_id, CAST(100000 + doc_id AS VARCHAR) AS number, CAST(doc_id % 9 + 1 AS VARCHAR) AS series, '0' || CAST(doc_id % 9 + 1 AS VARCHAR) || '/05/2026' AS issued, '02.328.280/0001-97' AS emitter_id, CAST(doc_id AS VARCHAR) || ',50' AS total FROM documents")
 def parse_fields(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("doc_id > 99")
+    docs = read(spark, sf_dir, "documents")
     k, small = F.col("doc_id").cast("string"), (F.col("doc_id") % 9 + 1).cast("string")
     page = F.concat(F.lit("Nº da NF-e: "), (F.col("doc_id") + 100000).cast("string"), F.lit(" Série "), small, F.lit(" Data de emissão: 0"), small, F.lit("/05/2026 CNPJ 02.328.280/0001-97 Valor total da nota: R$ "), k, F.lit(",50 "), F.col("text"))
     return docs.select("doc_id", classify.fields(page, "NF").alias("f")).select("doc_id", "f.*")
