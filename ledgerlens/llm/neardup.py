@@ -107,9 +107,9 @@ def each_unit(batch: pa.RecordBatch, text_index: int, cfg: Settings):
 
 
 def units(docs: DataFrame, cfg: Settings, id_column: str, text_column: str) -> DataFrame:
-    """(id, position, n_shingles, node, bands, signature) of each unit, written to the shared folder.
+    """(id, position, n_shingles, node, signature) of each unit, written to the shared folder.
 
-    bands and signature are given once for each node and task.
+    A signature is given once for each node and task, two bytes a value.
     """
 
     def run(batches):
@@ -127,25 +127,26 @@ def units(docs: DataFrame, cfg: Settings, id_column: str, text_column: str) -> D
                         fresh[u] = True
                 new = number * fresh
                 signature = sh.signatures(found[np.repeat(fresh, number)], new, cfg.size)
-                bands = sh.band_keys(signature, cfg.rows).view(np.int64)
-                short = signature.astype(np.uint16)
-                ends = np.cumsum(fresh.astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends * cfg.bands), pa.int32()), pa.array(bands.reshape(-1)), mask=pa.array(~fresh))
-                cut = iter(short)
+                cut = iter(signature.astype(np.uint16))
                 raw = pa.array([next(cut).tobytes() if f else None for f in fresh], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), pa.array(position, pa.int32()), pa.array(number, pa.int64()), pa.array(node, mask=~some), lists, raw],
-                    names=["id", "position", "n_shingles", "node", "bands", "signature"],
+                    [batch.column(0).take(pa.array(row)), pa.array(position, pa.int32()), pa.array(number, pa.int64()), pa.array(node, mask=~some), raw],
+                    names=["id", "position", "n_shingles", "node", "signature"],
                 )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, position int, n_shingles bigint, node bigint, bands array<bigint>, signature binary")
+    rows = docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, position int, n_shingles bigint, node bigint, signature binary")
     return written(rows, "units")
 
 
-def shared_buckets(found: DataFrame) -> DataFrame:
-    """(key, node) of the buckets that hold more than one node."""
-    members = found.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("key"))
+def shared_buckets(found: DataFrame, cfg: Settings) -> DataFrame:
+    """(key, node) of the buckets that hold more than one node; a key is a hash of a band's bytes.
+
+    Members are dealt by key once; counting and joining both read that exchange.
+    """
+    width = 2 * cfg.rows
+    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(cfg.bands)])
+    members = found.where(F.col("signature").isNotNull()).select("node", F.explode(keys).alias("key")).repartition("key")
     sizes = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     return written(members.join(sizes, "key"), "buckets")
 
@@ -285,10 +286,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def link_nodes(found: DataFrame, docs: DataFrame, cfg: Settings, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
     """Classes (node, label) by links to centres, and (node, label) of labels that further links join."""
-    buckets = shared_buckets(found)
+    buckets = shared_buckets(found, cfg)
     stars = written(with_centres(buckets).select(F.col("centre").alias("a"), F.col("node").alias("b")), "stars")
     nodes = buckets.select("node").distinct()
-    firsts = found.where(F.col("bands").isNotNull()).select("id", "position", "node", "signature").join(nodes, "node", "left_semi")
+    firsts = found.where(F.col("signature").isNotNull()).select("id", "position", "node", "signature").join(nodes, "node", "left_semi")
     firsts = written(firsts.dropDuplicates(["node"]), "candidates")
     sets = written(shingle_sets(docs, firsts.select("id", "position", "node"), cfg, id_column, text_column), "sets")
     likely = prune(stars, firsts, cfg).select("a", "b", F.lit(True).alias("likely"))

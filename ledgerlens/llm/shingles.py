@@ -135,14 +135,3 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
         x *= np.uint32(0x2C1B3C6D)
         out[:, k] = np.minimum.reduceat(x, first)
     return out
-
-
-def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
-    """A 64-bit key for each band of `rows` signature values; keys of different bands differ."""
-    bands = signature.shape[1] // rows
-    codes = odd_numbers(rows, 31)
-    out = np.empty((len(signature), bands), dtype=np.uint64)
-    for b in range(bands):
-        part = signature[:, b * rows : (b + 1) * rows].astype(np.uint64)
-        out[:, b] = mix((mix(part + np.uint64(b + 1)) * codes).sum(axis=1, dtype=np.uint64) + np.uint64(b))
-    return out
