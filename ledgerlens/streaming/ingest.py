@@ -15,7 +15,8 @@ from ..sources.files import named
 def new_files(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
     """A stream of text files; the checkpoint remembers which were seen, by path, not by content."""
     stream = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return named(stream.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")), root)
+    plain = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))  # the path comes as a URL
+    return named(stream.select(F.col("value").alias("text"), plain.alias("path")), root)
 
 
 def filed(rows: DataFrame) -> DataFrame:
