@@ -21,11 +21,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 #: Characters of text that are tokenised together at most; a longer text is cut at spaces.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
+#: Rows whose token ids are held and handed on together.
+ROWS = 256
 #: Interned words after which a worker starts a new table.
-MAX_WORDS = 400_000
+MAX_WORDS = 100_000
 #: A pair key is left * 2**20 + right.
 SHIFT = 20
 
@@ -246,12 +249,18 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", t
 
 def with_token_ids(docs: DataFrame, vocabulary: str, text_column: str = "text", to: str = "token_ids") -> DataFrame:
     """docs with an array column of token ids; all other columns stay as they are."""
-    from pyspark.sql import functions as F
+    docs = docs.drop(to)
+    place = docs.columns.index(text_column)
+    names = [*docs.columns, to]
 
-    @F.pandas_udf("array<int>")
-    def ids(texts):
-        import pandas as pd
-
-        return pd.Series([x.astype(np.int32) for x in loaded(vocabulary).encode_stream(t or "" for t in texts)], dtype=object)
-
-    return docs.withColumn(to, ids(F.col(text_column)))
+    def run(batches):
+        model = loaded(vocabulary)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                found = list(model.encode_stream(t.as_py() or "" for t in part.column(place)))
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(to, ArrayType(IntegerType()))]))
