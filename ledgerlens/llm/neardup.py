@@ -109,7 +109,8 @@ def each_unit(batch: pa.RecordBatch, text_index: int, cfg: Settings):
 def units(docs: DataFrame, cfg: Settings, id_column: str, text_column: str) -> DataFrame:
     """(id, position, n_shingles, node, signature) of each unit, written to the shared folder.
 
-    A signature is given once for each node and task, two bytes a value.
+    A signature is given once for each node and task, two bytes a value. Sets too small to be similar to any
+    other have none: the likest other set has one shingle more, and n / (n + 1) must reach the threshold.
     """
 
     def run(batches):
@@ -120,9 +121,9 @@ def units(docs: DataFrame, cfg: Settings, id_column: str, text_column: str) -> D
                 keys = sh.set_keys(found, number).view(np.int64)
                 node = np.zeros(len(number), dtype=np.int64)
                 node[some] = keys
-                fresh = np.zeros(len(number), dtype=bool)
+                fresh, able = np.zeros(len(number), dtype=bool), 100 * number >= cfg.percent * (number + 1)
                 for u, key in zip(np.flatnonzero(some).tolist(), keys.tolist(), strict=True):
-                    if key not in seen:
+                    if able[u] and key not in seen:
                         seen.add(key)
                         fresh[u] = True
                 new = number * fresh

@@ -39,8 +39,8 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Near-duplicate documents: sets of four-word shingles, Jaccard similarity 0.8.
 DOCUMENTS = neardup.Settings(shingle=4, percent=80, rows=5, bands=neardup.bands_for(80, 5, 1e-5))
-#: Repeated paragraphs: lines of at least one shingle's words; five-word shingles.
-PARAGRAPHS = neardup.Settings(shingle=5, percent=80, rows=4, bands=neardup.bands_for(80, 4, 1e-5), lines=True, least_words=5)
+#: Repeated paragraphs: every line that has a word; five-word shingles, a shorter line is one shingle.
+PARAGRAPHS = neardup.Settings(shingle=5, percent=80, rows=4, bands=neardup.bands_for(80, 4, 1e-5), lines=True)
 
 
 def op3_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,21 @@ def test_repeated_paragraphs(name, request):
         assert (r.n_paragraphs, r.n_removed, r.removed) == (number[i], len(gone[i]), sorted(gone[i]))
 
 
+def test_repeated_short_lines(spark):
+    """Lines of fewer words than a shingle are compared whole; blank ones are left alone."""
+    rows = [(1, "Read more\nalpha\n\nAll rights reserved\nRead more"), (2, "read  MORE\n\none two three four\nalpha beta"), (3, "one two three four\none two three four five\n \nalpha")]
+    got = {r.doc_id: r for r in neardup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), PARAGRAPHS).collect()}
+    assert {i: (r.n_paragraphs, r.removed, r.kept_in) for i, r in got.items()} == {1: (5, [4], [1]), 2: (4, [0], [1]), 3: (4, [0, 3], [1, 2])}
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_small_sets_are_similar_from_their_least_size_on(spark, percent):
+    """Sets of 1 to 6 shingles and the same with one more, at the size where a link first holds."""
+    cfg = replace(DOCUMENTS, shingle=1, percent=percent, rows=1, bands=40)
+    rows = [(10 * n + k, " ".join(f"w{n}x{i}" for i in range(n + k))) for n in range(1, 7) for k in range(2)]
+    check_documents(spark.createDataFrame(rows, "doc_id long, text string"), cfg)
+
+
 # -- exact strings
 
 
