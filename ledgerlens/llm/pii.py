@@ -2,7 +2,8 @@
 
 Plain identifiers are found by fixed patterns. For disguised ones small transducers rewrite the text:
 look-alike characters become ASCII, spelled digits become digits, and forms such as "(at)" or " dot "
-become "@" and ".". Each rewritten stretch remembers where it came from, so a span found in the rewritten
+become "@" and ".". Separators inside a spelled number go, first those up to commas; a span that another
+way of joining finds is taken where none of its kind was. Each rewritten stretch remembers where it came from, so a span found in the rewritten
 text is mapped back to the characters of the source. Plain spans always stay; a mapped span is added if it
 holds at least one rewritten stretch and is no plain span already.
 
@@ -60,17 +61,31 @@ def spelled(words) -> str:
 
 
 WORD = rf"(?:{spelled(DIGIT_WORDS)})"
-DIGIT_RUN = re.compile(rf"(?<!\w)(?:plus\s+)?(?:(?:double|triple)\s+)?{WORD}(?:(?:[\s,.-]+|\s+(?:dot|punto|punkt)\s+)(?:(?:double|triple)\s+)?(?:{WORD}|\d+)(?!\w)){{2,}}")
-DIGIT_PART = re.compile(rf"(?<!\w)(plus)\s+(?=\w)|(?<!\w)(?:(double|triple)\s+)?({WORD})(?!\w)")
+DIGIT_RUN = re.compile(rf"(?<!\w)(?:plus\s+)?(?:(?:double|triple)\s+)?{WORD}(?:(?:[\s,.-]+|\s+(?:dot|punto|punkt|point)\s+)(?:(?:double|triple)\s+)?(?:{WORD}|\d+)(?!\w)){{2,}}")
+DIGIT_PART = re.compile(rf"(?<!\w)(?:(plus)\s+(?=\w)|(?:(double|triple)\s+)?({WORD}|\d+)(?!\w))")
+#: Which separators inside a run are left out, tried in this order: up to commas, up to blanks and hyphens, all, none.
+JOINS = (1, 0, 2, -1)
 OPEN, CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
-AT_MARK = rf"{OPEN}(?:at|arroba|@){CLOSE}|_at_"
-DOT_MARK = rf"{OPEN}(?:dot|punto|punkt|point|\.){CLOSE}|_dot_"
+AT_MARK = rf"{OPEN}(?:at|arroba|arobase|@){CLOSE}|_(?:at|arroba|arobase)_"
+DOT_MARK = rf"{OPEN}(?:dot|punto|punkt|point|\.){CLOSE}|_(?:dot|punto|punkt|point)_"
 DISGUISE = re.compile(
     rf"(?P<at>{AT_MARK}|(?<=[a-z0-9])\s+(?:at|arroba)\s+(?!(?:the|an?|this|that)\s)(?=[a-z0-9-]+(?:\s+(?:dot|punto|punkt)\s+|{DOT_MARK})[a-z0-9]))"
     rf"|(?P<dot>{DOT_MARK}|(?<=[a-z0-9])\s+(?:dot|punto|punkt)\s+(?=[a-z0-9]))"
 )
 #: A cheap test that most texts fail.
-HINT = re.compile(r"[\[({<]\s*(?:at|arroba|@|dot|punto|punkt|point|\.)\s*[\])}>]|_at_|_dot_|\s(?:dot|punto|punkt)\s")
+HINT = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punto|punkt|point|\.)\s*[\])}>]|_(?:at|arroba|arobase|dot|punto|punkt|point)_|\s(?:dot|punto|punkt|point|arroba|arobase)\s|\sat\s+[a-z0-9-]+\.[a-z0-9]")
+
+# Addresses whose mark is told from prose by what stands around it.
+AT = re.compile(rf"(?P<sure>{AT_MARK}|(?<=[a-z0-9])\s+(?:arroba|arobase)\s+)|(?P<bare>(?<=[a-z0-9])\s+at\s+)|@")
+LABEL = re.compile(r"[a-z0-9-]+")
+DOT = re.compile(rf"(?P<point>\s+point\s+)|(?P<word>{DOT_MARK}|\s+(?:dot|punto|punkt)\s+)|\.")
+LOCAL_POINT = re.compile(r"(?<=[a-z0-9])\s+point\s+(?=[a-z0-9._%+-]+\Z)")
+#: Ends of domains that tell an address from "at some point in".
+ENDS = frozenset("com org net edu gov info biz io dev app eu fr de es it uk us ca ch be nl lu pt pl se dk no fi ie mx ar br co cl pe jp cn ru au nz xyz".split())
+#: Words that are no name before " at " or no domain after it, and words that announce an address.
+NO_NAME = frozenset("me us you him her them it is are was were be look looks looking shop page site online now here there and or available visit found live work works working stay out up down in on to".split())
+NO_DOMAIN = frozenset("the a an this that some which what one any every each no".split())
+CUE = re.compile(r"(?<!\w)(?:e-?mails?|mails?|write|contact|reach|address|adresse|courriel|correo|escrib\w*|schreib\w*|[ée]cri\w*)\W+(?:\w+\W+){0,2}\Z")
 ODD = re.compile("[" + re.escape("".join(LOOK_ALIKES)) + INVISIBLE + "！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
 
 
@@ -200,37 +215,100 @@ class Rewritten:
         return out
 
 
-def rewritten(text: str) -> Rewritten | None:
-    """The text without its disguises, or None if it has none."""
+def digit_edits(text: str, runs: list[re.Match], level: int) -> list[tuple[int, int, str]]:
+    """Spelled digits as digits. From level 0 on a dot word in a run is ".", and separators up to the level go."""
+    edits = []
+    for run in runs:
+        last = None
+        for m in DIGIT_PART.finditer(text, run.start(), run.end()):
+            if last is not None and level >= 0:
+                between = text[last : m.start()]
+                if any(c.isalpha() for c in between):
+                    edits.append((last, m.start(), "."))
+                elif level >= (2 if "." in between or "\n" in between else 1 if "," in between else 0):
+                    edits.append((last, m.start(), ""))
+            if m[1]:
+                edits.append((m.start(), m.end(), "+"))
+            elif m[2] or m[3] in DIGIT_WORDS:
+                edits.append((m.start(), m.end(), DIGIT_WORDS.get(m[3], m[3]) * {"double": 2, "triple": 3}.get(m[2], 1)))
+            last = None if m[1] else m.end()
+    return edits
+
+
+def named(text: str, at: int) -> bool:
+    """Whether what ends at `at` looks like the name of an address before a plain domain."""
+    start = at
+    while start > 0 and text[start - 1] in LOCAL_CHARS:
+        start -= 1
+    name = text[start:at]
+    return name not in NO_NAME and (bool(re.search(r"[a-z0-9][._%+0-9-]+[a-z0-9]|[a-z][0-9]", name)) or bool(CUE.search(text, max(0, start - 60), start)))
+
+
+def address_edits(text: str) -> list[tuple[int, int, str]]:
+    """Marks of addresses: the at, and the dots of its domain and name.
+
+    A bare " point " belongs to the domain if a known end or another dot follows, or if it is the first dot after
+    a mark that is no prose. A bare " at " before a domain of plain dots needs a name that looks like one.
+    """
+    edits: list[tuple[int, int, str]] = []
+    for m in AT.finditer(text):
+        first = label = LABEL.match(text, m.end())
+        if not first or edits and m.start() < edits[-1][1]:
+            continue
+        dots = []
+        while dot := DOT.match(text, label.end()):
+            following = LABEL.match(text, dot.end())
+            if not following or dot["point"] and not (following.group() in ENDS or m["sure"] and not dots or DOT.match(text, following.end())):
+                break
+            dots.append(dot)
+            label = following
+        if not dots:
+            continue
+        points = any(d["point"] for d in dots)
+        if m["bare"] and (first.group() in NO_DOMAIN or points and label.group() not in ENDS or not points and not any(d["word"] for d in dots) and not named(text, m.start())):
+            continue
+        if m["sure"]:
+            low = max(edits[-1][1] if edits else 0, m.start() - 100)
+            if p := LOCAL_POINT.search(text, low, m.start()):
+                edits.append((p.start(), p.end(), "."))
+        if m.group() != "@":
+            edits.append((m.start(), m.end(), "@"))
+        edits += [(d.start(), d.end(), ".") for d in dots if d.group() != "."]
+    return edits
+
+
+def rewritings(text: str) -> list[Rewritten]:
+    """The text without its disguises, once for each way to join its spelled digits that differs; none if it has none."""
     low = lowered(text)
     form = Rewritten(low)
     if not low.isascii():
         form = form.replace([(m.start(), m.end(), plain_form(m.group())) for m in ODD.finditer(low)])
-    edits = []
-    for run in DIGIT_RUN.finditer(form.text):
-        for m in DIGIT_PART.finditer(form.text, run.start(), run.end()):
-            if m[1]:
-                edits.append((m.start(), m.end(), "+"))
-            else:
-                edits.append((m.start(), m.end(), DIGIT_WORDS[m[3]] * {"double": 2, "triple": 3}.get(m[2], 1)))
-    form = form.replace(edits)
-    if HINT.search(form.text):
-        form = form.replace([(m.start(), m.end(), "@" if m["at"] else ".") for m in DISGUISE.finditer(form.text)])
-    return form if any(form.changed) else None
+    forms, tried, runs = [], [], list(DIGIT_RUN.finditer(form.text))
+    for level in JOINS if runs else JOINS[:1]:
+        edits = digit_edits(form.text, runs, level)
+        if edits in tried:
+            continue
+        tried.append(edits)
+        out = form.replace(edits)
+        if HINT.search(out.text):
+            out = out.replace(address_edits(out.text))
+            out = out.replace([(m.start(), m.end(), "@" if m["at"] else ".") for m in DISGUISE.finditer(out.text)])
+        if any(out.changed):
+            forms.append(out)
+    return forms
 
 
 def all_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The plain spans and those of disguised identifiers, by start and kind."""
-    form = rewritten(text)
-    if form is None:
-        return plain
-    known = {(k, s, e) for s, k, e in plain}
-    added = set()
-    for start, k, stop in plain_spans(form.text):
-        if form.holds_change(start, stop):
-            a, b = form.source(start, stop)
-            if (k, a, b) not in known and not any(k == q and s <= a and b <= e for s, q, e in plain):
-                added.add((a, k, b))
+    added: set[tuple[int, int, int]] = set()
+    for form in rewritings(text):
+        found = []
+        for start, k, stop in plain_spans(form.text):
+            if form.holds_change(start, stop):
+                a, b = form.source(start, stop)
+                if not any(k == q and s <= a and b <= e for s, q, e in plain) and not any(k == q and s < b and a < e for s, q, e in added):
+                    found.append((a, k, b))
+        added.update(found)
     return sorted({*plain, *added})
 
 

@@ -135,6 +135,43 @@ def test_disguised_spans_lie_on_the_source(text, kind, found):
     assert (kind, found) in {(pii.KINDS[k], text[a:b]) for a, k, b in spans}
 
 
+CARD_WORDS = ["four"] + ["one"] * 15
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        (f"card {', '.join(CARD_WORDS)} ok", "card", ", ".join(CARD_WORDS)),
+        (f"card {'  '.join(CARD_WORDS)} ok", "card", "  ".join(CARD_WORDS)),
+        ("card four\n" + "\n".join(CARD_WORDS[1:]), "card", "\n".join(CARD_WORDS)),
+        ("call plus four nine, three zero, one two three, four five six now", "phone", "plus four nine, three zero, one two three, four five six"),
+        (f"cards {' '.join(CARD_WORDS)}, {' '.join(CARD_WORDS)}.", "card", " ".join(CARD_WORDS)),
+        ("host one nine two dot one six eight dot one dot one up", "ip", "one nine two dot one six eight dot one dot one"),
+        ("hôte un neuf deux point un six huit point un point un ici", "ip", "un neuf deux point un six huit point un point un"),
+        ("écrire à jean arobase exemple point fr merci", "email", "jean arobase exemple point fr"),
+        ("jean (arobase) exemple point co point uk, merci", "email", "jean (arobase) exemple point co point uk"),
+        ("jean point petit arobase exemple point fr", "email", "jean point petit arobase exemple point fr"),
+        ("write jane at mail.example dot com now", "email", "jane at mail.example dot com"),
+        ("write jane at example dot co dot uk now", "email", "jane at example dot co dot uk"),
+        ("mail jane at example.com now", "email", "jane at example.com"),
+        ("jane.doe at example.com", "email", "jane.doe at example.com"),
+    ],
+)
+def test_separators_and_marks_of_disguises(text, kind, found):
+    spans = pii.all_spans(text, pii.plain_spans(text))
+    assert (kind, found) in {(pii.KINDS[k], text[a:b]) for a, k, b in spans}
+
+
+@pytest.mark.parametrize("text", ["they look at example.com often", "write to us at example.com", "it stopped at some point in time", "see you at noon.then go", "at that point com fell", "one, two. three\nfour", "le point de vue at home"])
+def test_prose_around_marks_stays(text):
+    assert pii.all_spans(text, pii.plain_spans(text)) == []
+
+
+def test_plain_address_before_the_word_point():
+    text = "ask a@b.org point taken"
+    assert pii.all_spans(text, pii.plain_spans(text)) == pii.plain_spans(text)
+
+
 @pytest.mark.parametrize("text", ["meet at noon dot", "three or four five people", "look at the dot com boom of one two three", "nothing here", "", "one two three four five six seven eight nine words"])
 def test_clean_texts_stay(text):
     assert pii.all_spans(text, pii.plain_spans(text)) == []
