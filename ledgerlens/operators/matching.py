@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_distance
 from ..functions.predicates import exact_value, kind_ok, ledger_kind, names_match, same_entity, value_basis
+from ..functions.text import digits, norm_company
+
+#: Characters of a company's name that files are looked up by.
+GRAM = 4
 
 
 def with_agreement(pairs: DataFrame) -> DataFrame:
@@ -151,14 +155,19 @@ def annotated(results: DataFrame, alerts: DataFrame, links: DataFrame) -> DataFr
 def company_match(docs: DataFrame, companies: DataFrame) -> DataFrame:
     """Each document's company: the first by id that its tax id, emitter or file name names.
 
-    Three equi-joins. A file name can only hold a company's name where it has the name's first word.
+    Tax ids are compared by their digits, names without accents, case and signs. A file name holds a company's
+    name at any place, within a longer word too. Three equi-joins: where the file holds the name it has the
+    name's first GRAM characters, or a shorter name whole.
     """
-    c = companies.select("company_id", "name", "tax_id")
-    by_id = docs.join(c, docs.emitter_id == c.tax_id)
-    by_name = docs.join(c, docs.emitter == c.name)
-    words = docs.withColumn("word", F.explode(F.array_distinct(F.split("file", r"[^\p{L}\p{N}]+"))))
-    first_word = F.regexp_extract("name", r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1)
-    by_file = words.join(c.withColumn("word", first_word), "word").where(F.contains("file", "name"))
+    c = companies.select("company_id", "name", digits("tax_id").alias("c_id"), norm_company(F.col("name")).alias("c_name"))
+    named = c.where("c_name <> ''").withColumn("gram", F.substring("c_name", 1, GRAM))
     columns = [*docs.columns, "company_id", "name"]
+    by_id = docs.withColumn("c_id", digits("emitter_id")).join(c.where("c_id <> ''"), "c_id")
+    by_name = docs.withColumn("c_name", norm_company(F.col("emitter"))).join(named, "c_name")
+    lengths = named.select(F.length("gram").alias("length")).distinct()
+    files = docs.withColumn("in_file", norm_company(F.col("file"))).where("in_file <> ''").crossJoin(F.broadcast(lengths))
+    grams = F.expr("array_distinct(transform(sequence(1, length(in_file)), i -> substring(in_file, i, length)))")
+    files = files.withColumn("f_gram", F.explode(grams))
+    by_file = files.join(named, (F.col("f_gram") == F.col("gram")) & F.contains("in_file", "c_name"))
     every = by_id.select(columns).unionByName(by_name.select(columns)).unionByName(by_file.select(columns))
     return every.groupBy("doc_seq").agg(F.min_by(F.struct(*columns), "company_id").alias("r")).select("r.*")

@@ -123,6 +123,14 @@ def test_bill_of_three_notes(spark):
     assert [(r.cents, r.members, r.numbers) for r in matching.consolidation(bills, notes).collect()] == [(30832, 3, "0, 1, 2")]
 
 
+def test_companies_by_normalised_names(spark):
+    """Accents, case, signs, names inside a longer word, names shorter than a gram, ids by digits."""
+    companies = spark.createDataFrame([(1, "São Paulo", None), (2, "Santander", None), (3, "OI", None), (4, "Alfa & Beta", "02.328.280/0001-97"), (5, "-", None), (6, None, "1")], "company_id long, name string, tax_id string")
+    docs = [(1, "SAO PAULO", None, "x.pdf"), (2, None, None, "GRUPOSANTANDER.pdf"), (3, None, None, "nota são-paulo 1.pdf"), (4, None, None, "fatura oi.pdf"), (5, "alfa beta", None, "y.pdf"), (6, None, "02328280000197", "z.pdf"), (7, "-", None, "-.pdf"), (8, None, "", "santand er"), (9, None, None, None), (10, "OI", None, "santander")]
+    got = matching.company_match(spark.createDataFrame(docs, "doc_seq long, emitter string, emitter_id string, file string"), companies)
+    assert {r.doc_seq: r.company_id for r in got.collect()} == {1: 1, 2: 2, 3: 1, 4: 3, 5: 4, 6: 4, 10: 2}
+
+
 def test_instalments_replace_a_file(spark):
     old = spark.createDataFrame([("x.pdf", "f", 1), ("y.pdf", "f", 2), ("x.pdf", "g", 3)], "file string, folder string, seq long")
     new = spark.createDataFrame([("x.pdf#p1", "f", 4), ("x.pdf#p2", "f", 5), ("x.pdf#p2", "f", 6)], "file string, folder string, seq long")
