@@ -3,9 +3,9 @@
 Plain identifiers are found by fixed patterns. For disguised ones small transducers rewrite the text:
 look-alike characters become ASCII, spelled digits become digits, and forms such as "(at)" or " dot "
 become "@" and ".". Separators inside a spelled number go, first those up to commas; a span that another
-way of joining finds is taken where none of its kind was. Each rewritten stretch remembers where it came from, so a span found in the rewritten
-text is mapped back to the characters of the source. Plain spans always stay; a mapped span is added if it
-holds at least one rewritten stretch and is no plain span already.
+way of joining finds is taken where none of its kind was. Each rewritten stretch remembers where it came
+from, so a span found in the rewritten text is mapped back to the characters of the source. Plain spans
+always stay; a mapped span is added if it holds at least one rewritten stretch and is no plain span already.
 
 Defined cases: a null text is the empty text and has no spans; spans count code points, the end is
 exclusive; kinds are found independently and may overlap; repeated rows give repeated results.
