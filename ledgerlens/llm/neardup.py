@@ -260,7 +260,8 @@ def around_centres(stars: DataFrame, labels: DataFrame, cfg: Settings) -> DataFr
     probes = written(probes, "probes")
     x = probes.select("centre", "d", F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("least").alias("least_x"), F.col("ds").alias("ds_x"), "linked")
     y = probes.where(~F.col("linked")).select("centre", "d", F.col("node").alias("y"), F.col("label").alias("label_y"), F.col("least").alias("least_y"), F.col("ds").alias("ds_y"))
-    enough = F.coalesce(F.size(F.array_intersect("ds_x", "ds_y")) >= F.greatest("least_x", "least_y"), F.lit(True))
+    # long lists are null here: said outright, since the size of null is -1 without ANSI
+    enough = F.col("ds_x").isNull() | F.col("ds_y").isNull() | (F.size(F.array_intersect("ds_x", "ds_y")) >= F.greatest("least_x", "least_y"))
     failed = x.where(~F.col("linked")).join(y, ["centre", "d"]).where((F.col("x") < F.col("y")) & (F.col("label_x") != F.col("label_y")) & enough)
     other = parts.where(~F.col("linked")).select("centre", "d", F.col("node").alias("y"), F.col("label").alias("label_y"))
     mixed = x.where("linked").join(other, ["centre", "d"]).where("label_x <> label_y")

@@ -76,6 +76,21 @@ def test_crowd_around_a_failed_centre(spark):
     check_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), DOCUMENTS)
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_long_lists_of_differences_with_and_without_ansi(spark, ansi):
+    """Two failed members of one centre, each far from it in more shingles than are intersected at once."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        cfg = replace(DOCUMENTS, shingle=1)
+        stars = [(1, 2, 300, 300, 200, False, list(range(200))), (1, 3, 300, 300, 200, False, list(range(10, 210)))]
+        compared = spark.createDataFrame(stars, "a long, b long, na long, nb long, shared long, linked boolean, differences array<bigint>")
+        labels = spark.createDataFrame([], "node long, label long")
+        assert [tuple(r) for r in neardup.around_centres(compared, labels, cfg).collect()] == [(2, 3)]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def test_empty_table_of_documents(nothing):
     assert neardup.near_duplicates(nothing, DOCUMENTS).collect() == []
     assert neardup.repeated_paragraphs(nothing, PARAGRAPHS).collect() == []
