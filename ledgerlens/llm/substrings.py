@@ -2,20 +2,24 @@
 
 A string of `length` bytes at s holds the window of its first `window` 8-byte grams. The gram of the least
 hash there, leftmost on ties, is the string's anchor: equal strings have their anchors at equal places. A run
-of starts that share an anchor is one row. All strings of a run hold the `core` bytes after the anchor, so a
-string can only be repeated if its anchor's core is.
+of starts that share an anchor is one row. The candidates are narrowed step by step, and at every step what
+is settled leaves:
 
-* Cores are counted by hash; runs whose core is unique are done. This leaves a small part of the corpus.
+* All strings of a run hold the `core` bytes after the anchor. A run whose core is unique holds no repeat.
 * Runs of equal extent and content are one class; a class of two or more is repeated as a whole.
-* The others stand at the edges of repeated passages. Their bytes are fetched, and each single string is
-  compared by hash within its core's group, start by start.
-
-Nothing is collected: copies of a passage are summed before they move, and a group larger than `GROUP`
-distinct contexts is compared by exploded rows instead of in a task's memory.
-
-Defined cases: null texts are empty; texts shorter than `length` keep everything; a string may repeat within
-its own document and overlap itself; rows of one id are separate documents only if their texts differ in
-length or content, and equal rows repeat each other. Strings are compared by 64-bit hashes of their bytes.
+* What is left stands at the edges of repeated passages. One run of each class is cut into blocks of `BLOCK`
+  starts, at equal places behind the anchor, and blocks are settled as runs were: by what their strings share,
+  then by all they hold.
+* The single strings of the last open blocks are counted.
+
+Every step is a count by key, summed before it moves, and a join with the keys found twice; no group is ever
+gathered, so a passage in a third of all rows takes the same path as any other.
+
+Defined cases: null texts are empty and keep nothing; an empty table gives an empty result; texts shorter than
+`length` keep everything; very long texts are one row each and are handled whole; a string may repeat within
+its own document and overlap itself; null ids and repeated ids are documents of their own, since rows are told
+apart by a hash of id and text; rows equal in both repeat each other; other columns of the input, whatever
+their names, are not looked at. Strings are compared by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
@@ -33,10 +37,8 @@ from .common import written
 LENGTH = 400
 WINDOW = 200
 GRAM = 8
-#: Distinct contexts of one core that are compared in a task's memory.
-GROUP = 2_000
-#: Rows of contexts that a task compares at once, besides the last group.
-BLOCK = 1_000
+#: Starts in a block of an edge run.
+BLOCK = 16
 BASE = 0x9E3779B97F4A7C15 | 1
 BYTE_VALUE = sh.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 _powers = np.ones(1, dtype=np.uint64)
@@ -85,36 +87,49 @@ def window_least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(raw: np.ndarray, length: int, window: int) -> tuple[np.ndarray, ...]:
-    """(first start, last start, core hash, context hash) of each run of one text's starts."""
-    n = len(raw)
-    if n < length:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+    """(first start, last start, anchor, core hash, context hash) of each run of one text's starts.
+
+    Anchors of windows that start no string follow with a first start of -1: they only tell that their core
+    stands here too.
+    """
+    n, core_bytes = len(raw), length - window + 1
+    if n < max(core_bytes, window + GRAM - 1):
+        return tuple(np.zeros(0, dtype=t) for t in (np.int32, np.int32, np.int32, np.uint64, np.uint64))
     grams = gram_hashes(raw)
     packed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-    anchor = (window_least(packed, window)[: n - length + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-    last = np.append(first[1:], len(anchor)) - 1
-    at = anchor[first]
+    anchor = (window_least(packed, window) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    strings, rest = anchor[: max(n - length + 1, 0)], np.unique(anchor[max(n - length + 1, 0) :])
+    rest = rest[(rest + core_bytes <= n) & ~np.isin(rest, strings[-1:])]
+    first = np.flatnonzero(np.append(True, strings[1:] != strings[:-1])) if len(strings) else np.zeros(0, dtype=np.int64)
+    last = np.append(first[1:], len(strings)) - 1 if len(strings) else first
+    at = np.append(strings[first], rest)
     prefix = prefix_hash(raw)
-    core = span_hash(prefix, at, at + length - window + 1)
-    context = sh.mix(span_hash(prefix, first, last + length) + sh.mix((at - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64)))
-    return first, last, core, context
+    core = span_hash(prefix, at, at + core_bytes)
+    none = np.full(len(rest), -1, dtype=np.int64)
+    context = np.append(block_context(prefix, first, last, at[: len(first)], length), none.astype(np.uint64))
+    return np.append(first, none).astype(np.int32), np.append(last, none - 1).astype(np.int32), at.astype(np.int32), core, context
+
+
+def block_context(prefix: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of all that the strings from first to last hold, and of their places before the anchor."""
+    place = (at - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64)
+    return sh.mix(span_hash(prefix, first, last + length) + sh.mix(place))
 
 
 def runs(docs: DataFrame, length: int, window: int) -> DataFrame:
-    """(id, first, last, core, context) of every run of docs (id, text)."""
+    """(key, first, last, at, core, context) of every run of docs (key, text)."""
 
     def run(batches):
         for batch in batches:
             values, offsets = sh.utf8(batch.column(1))
-            at, size = 0, 0
+            size = 0
             parts: list[tuple[np.ndarray, ...]] = []
             owners: list[int] = []
 
             def made():
                 rows = pa.array(np.repeat(owners, [len(p[0]) for p in parts]).astype(np.int64))
-                columns = [np.concatenate([p[k] for p in parts]) for k in range(4)]
-                return pa.RecordBatch.from_arrays([batch.column(0).take(rows), *(pa.array(c, pa.int64()) for c in columns[:2]), *(pa.array(c.view(np.int64)) for c in columns[2:])], names=["id", "first", "last", "core", "context"])
+                columns = [np.concatenate([p[k] for p in parts]) for k in range(5)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(rows), *(pa.array(c) for c in columns[:3]), *(pa.array(c.view(np.int64)) for c in columns[3:])], names=["key", "first", "last", "at", "core", "context"])
 
             for i in range(batch.num_rows):
                 parts.append(runs_of(values[offsets[i] : offsets[i + 1]], length, window))
@@ -126,110 +141,81 @@ def runs(docs: DataFrame, length: int, window: int) -> DataFrame:
             if parts:
                 yield made()
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, first bigint, last bigint, core bigint, context bigint")
+    return docs.mapInArrow(run, "key bigint, first int, last int, at int, core bigint, context bigint")
 
 
-def contexts(docs: DataFrame, places: DataFrame, length: int, window: int) -> DataFrame:
-    """(core, id, first, last, hashes, edge): the hash of each single string of the placed runs."""
-    listed = places.groupBy("id").agg(F.collect_list(F.struct("core", "first", "last", "edge")).alias("places"))
-    texts = docs.join(listed, "id")
+def blocks(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """(key, first, edge, shared, context, hashes) of the blocks of the placed runs.
+
+    shared is a hash of the bytes that all strings at a block's places hold, hashes are those of its strings.
+    """
+    listed = places.groupBy("key").agg(F.collect_list(F.struct("first", "last", "at", "edge")).alias("places"))
+    texts = docs.join(listed, "key")
+    step = min(BLOCK, length)
 
     def run(batches):
         for batch in batches:
             values, offsets = sh.utf8(batch.column(1))
-            for i, asked in enumerate(batch.column(2).to_pylist()):
+            for i, asked in enumerate(batch.column(2)):
                 prefix = prefix_hash(values[offsets[i] : offsets[i + 1]])
-                # rows of one id may have texts of their own
-                asked = [p for p in asked if p["last"] + length < len(prefix)]
-                for at in range(0, len(asked), 1000):
-                    some = asked[at : at + 1000]
-                    first, last = (np.array([p[k] for p in some], dtype=np.int64) for k in ("first", "last"))
-                    number = last - first + 1
-                    starts = sh.ragged(first, number)
-                    strings = span_hash(prefix, starts, starts + length)
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(number)), pa.int32()), pa.array(strings.view(np.int64)))
+                whole = asked.values
+                for begin in range(0, len(whole), 1000):
+                    some = whole.slice(begin, 1000)
+                    first, last, at = (some.field(k).to_numpy().astype(np.int64) for k in ("first", "last", "at"))
+                    least, most = (at - last) // step, (at - first) // step
+                    number = most - least + 1
+                    owner, block = np.repeat(np.arange(len(first)), number), sh.ragged(least, number)
+                    far = at[owner] - block * step
+                    lo, hi = np.maximum(first[owner], far - step + 1), np.minimum(last[owner], far)
+                    strings = sh.ragged(lo, hi - lo + 1)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(hi - lo + 1)), pa.int32()), pa.array(span_hash(prefix, strings, strings + length).view(np.int64)))
+                    shared = span_hash(prefix, far, far - step + 1 + length)
+                    context = block_context(prefix, lo, hi, at[owner], length)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([p["core"] for p in some], pa.int64()), batch.column(0).take(pa.array([i] * len(some))), pa.array(first), pa.array(last), lists, pa.array([p["edge"] for p in some])],
-                        names=["core", "id", "first", "last", "hashes", "edge"],
+                        [batch.column(0).take(pa.array(np.full(len(owner), i))), pa.array(lo.astype(np.int32)), some.field("edge").take(pa.array(owner)), pa.array(shared.view(np.int64)), pa.array(context.view(np.int64)), lists],
+                        names=["key", "first", "edge", "shared", "context", "hashes"],
                     )
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return texts.select("id", "text", "places").mapInArrow(run, f"core bigint, id {kind}, first bigint, last bigint, hashes array<bigint>, edge boolean")
+    return texts.select("key", "text", "places").mapInArrow(run, "key bigint, first int, edge boolean, shared bigint, context bigint, hashes array<bigint>")
 
 
-def repeated_starts(groups: DataFrame) -> DataFrame:
-    """(id, first, last) of the runs of starts, at edges, whose string occurs twice within a core's group.
+def twice(rows: DataFrame, column: str) -> DataFrame:
+    """The values of a column that more than one row has."""
+    return rows.groupBy(column).agg(F.count("*").alias("n")).where("n > 1").select(column)
 
-    Rows come dealt by core and sorted by it, so a group is whole in one task; groups are taken by blocks.
-    """
 
-    def found(rows: pa.Table):
-        lists = rows.column("hashes").combine_chunks()
-        number = np.diff(lists.offsets.to_numpy())
-        strings = lists.flatten().to_numpy()
-        core = np.repeat(rows.column("core").to_numpy(), number)
-        key = sh.mix(strings.view(np.uint64)) ^ core.view(np.uint64)
-        order = np.argsort(key, kind="stable")
-        twin = np.append(False, key[order][1:] == key[order][:-1])
-        again = np.zeros(len(key), dtype=bool)
-        again[order] = twin | np.append(twin[1:], False)
-        owner = np.repeat(np.arange(len(number)), number)
-        again &= np.repeat(rows.column("edge").to_numpy(zero_copy_only=False), number)
-        place = np.arange(len(key)) - np.repeat(np.cumsum(number) - number, number) + np.repeat(rows.column("first").to_numpy(), number)
-        at = np.flatnonzero(again)
-        if not len(at):
-            return None
-        new = np.append(True, (np.diff(at) != 1) | (np.diff(owner[at]) != 0))
-        begin, end = at[new], at[np.append(new[1:], True)]
-        return pa.RecordBatch.from_arrays([rows.column("id").combine_chunks().take(pa.array(owner[begin])), pa.array(place[begin]), pa.array(place[end])], names=["id", "first", "last"])
+def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """(key, first, last, shared) of docs (key, text): ranges of starts of repeated strings.
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                held.append(part)
-                size += part.num_rows
-                if size < BLOCK:
-                    continue
-                rows = pa.Table.from_batches(held)
-                core = rows.column("core").to_numpy()
-                cut = int(np.searchsorted(core, core[-1]))  # the last group may go on
-                if cut and (out := found(rows.slice(0, cut))) is not None:
-                    yield out
-                held, size = rows.slice(cut).to_batches(), len(core) - cut
-        if held and (out := found(pa.Table.from_batches(held))) is not None:
-            yield out
-
-    kind = groups.schema["id"].dataType.simpleString()
-    dealt = groups.repartition("core").sortWithinPartitions("core")
-    return dealt.select("core", "id", "first", "last", "hashes", "edge").mapInArrow(run, f"id {kind}, first bigint, last bigint")
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """(id, first, last): ranges of starts of repeated strings, of docs (id, text)."""
+    A row of a null first tells how many anchors of the document have a core that stands elsewhere too.
+    """
     every = runs(docs, length, window)
-    twice = every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    some = written(every.join(twice, "core"), "runs")
-    kinds = written(some.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "first", "last")).alias("one")), "contexts")
-    whole = some.join(kinds.where("n > 1").select("core", "context"), ["core", "context"]).select("id", "first", "last")
-    crowd = kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    places = kinds.join(crowd, "core").select("core", "one.id", "one.first", "one.last", (F.col("n") == 1).alias("edge"), "kinds")
-    placed = written(contexts(docs, places, length, window), "edges")
-    big = crowd.where(F.col("kinds") > GROUP).select("core")
-    near = repeated_starts(placed.join(big, "core", "left_anti"))
-    singles = placed.join(big, "core", "left_semi").select("core", "id", "edge", F.posexplode("hashes").alias("k", "string"), F.col("first").alias("base"))
-    several = singles.groupBy("core", "string").agg(F.count("*").alias("n")).where("n > 1").select("core", "string")
-    far = singles.where("edge").join(several, ["core", "string"]).select("id", (F.col("base") + F.col("k")).alias("first"), (F.col("base") + F.col("k")).alias("last"))
-    return whole.unionByName(near).unionByName(far)
+    some = written(every.join(twice(every, "core"), "core"), "runs")
+    strings = some.where("first >= 0")
+    kinds = written(strings.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last", "at")).alias("one")), "classes")
+    whole = strings.join(kinds.where("n > 1").select("core", "context"), ["core", "context"]).select("key", "first", "last")
+    places = kinds.join(twice(kinds, "core"), "core").select("one.*", (F.col("n") == 1).alias("edge"))
+    cut = written(blocks(docs, places, length), "blocks")
+    some_blocks = written(cut.join(twice(cut, "shared"), "shared"), "open-blocks")
+    block_kinds = written(some_blocks.groupBy("shared", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "edge", "hashes")).alias("one")), "block-classes")
+    equal = some_blocks.where("edge").join(block_kinds.where("n > 1").select("shared", "context"), ["shared", "context"]).select("key", "first", (F.col("first") + F.size("hashes") - 1).alias("last"))
+    last_ones = block_kinds.join(twice(block_kinds, "shared"), "shared").select("one.key", "one.first", (F.col("one.edge") & (F.col("n") == 1)).alias("edge"), F.posexplode("one.hashes").alias("k", "string"))
+    start = F.col("first") + F.col("k")
+    single = last_ones.where("edge").join(twice(last_ones, "string"), "string").select("key", start.alias("first"), start.alias("last"))
+    found = whole.unionByName(equal).unionByName(single).withColumn("shared", F.lit(0).cast("bigint"))
+    anchors = some.groupBy("key").agg(F.count("*").alias("shared")).select("key", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), "shared")
+    return found.unionByName(anchors)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    spans = repeated_spans(rows, length, window).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_anchors) of each document.
+
+    n_shared_anchors counts anchors whose core stands elsewhere too: passages too short to be removed show there.
+    """
+    ids, text = F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")
+    rows = docs.select(F.xxhash64(id_column, text_column).alias("key"), text, ids)
+    spans = F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", "last"))).alias("spans")
+    found = repeated_starts(rows.select("key", "text"), length, window).groupBy("key").agg(spans, F.sum("shared").alias("shared"))
 
     def run(batches):
         for batch in batches:
@@ -237,20 +223,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
             out = []
             for i, spans in enumerate(batch.column(2)):
                 raw = values[offsets[i] : offsets[i + 1]]
-                if not spans.is_valid:
+                if not spans.is_valid or not len(spans.values):
                     out.append((len(raw), 0, 0, hashlib.sha256(raw.tobytes()).hexdigest()))
                     continue
                 marks = spans.values
                 edge = np.zeros(len(raw) + 1, dtype=np.int64)
-                np.add.at(edge, np.minimum(marks.field("first").to_numpy(), len(raw)), 1)
-                np.add.at(edge, np.minimum(marks.field("last").to_numpy() + length, len(raw)), -1)
+                np.add.at(edge, marks.field("first").to_numpy(), 1)
+                np.add.at(edge, marks.field("last").to_numpy() + length, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 count = int(gone.sum())
-                n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
+                n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 out.append((len(raw), count, n_spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
             columns = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), batch.column(3)], names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_anchors"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    both = rows.join(spans, "id", "left").select("id", "text", "spans")
-    return both.mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    both = rows.join(found, "key", "left").select("id", "text", "spans", F.coalesce("shared", F.lit(0)).cast("bigint").alias("shared"))
+    return both.mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared_anchors bigint")

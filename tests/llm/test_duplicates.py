@@ -149,12 +149,12 @@ def test_small_sets_are_similar_from_their_least_size_on(spark, percent):
 
 def removed(texts, length):
     """texts: bytes; what remains of each, by counting every string."""
-    count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    count = Counter(hash(t[i : i + length]) for t in texts for i in range(len(t) - length + 1))
     out = []
     for t in texts:
         gone = bytearray(len(t))
         for i in range(len(t) - length + 1):
-            if count[t[i : i + length]] > 1:
+            if count[hash(t[i : i + length])] > 1:
                 gone[i : i + length] = b"\1" * length
         runs = len(re.findall(b"\1+", bytes(gone)))
         out.append((len(t), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()))
@@ -170,15 +170,13 @@ def check_strings(rows, df, **how):
 @pytest.mark.parametrize("name", ["edges", "documents"])
 def test_repeated_strings(name, request):
     df = request.getfixturevalue(name)
-    rows = [(r.doc_id, (r.text or "")[:60_000]) for r in df.select("doc_id", "text").collect()]
-    spark = df.sparkSession
-    check_strings(rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    check_strings([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()], df)
 
 
-@pytest.mark.parametrize("group", [1, 2_000])
-def test_strings_with_overlaps_and_few_letters(spark, group, monkeypatch):
-    """Short strings over two letters, periods and copies; also by the way that large groups take."""
-    monkeypatch.setattr(substrings, "GROUP", group)
+@pytest.mark.parametrize("block", [1, 5, 16])
+def test_strings_with_overlaps_and_few_letters(spark, block, monkeypatch):
+    """Short strings over two letters, periods and copies, cut into blocks of several sizes."""
+    monkeypatch.setattr(substrings, "BLOCK", block)
     r = random.Random(3)
     rows = []
     for i in range(60):
@@ -191,5 +189,27 @@ def test_strings_with_overlaps_and_few_letters(spark, group, monkeypatch):
     check_strings(rows, df, length=24, window=12)
 
 
+def test_strings_of_null_and_repeated_ids(spark):
+    """Rows are told apart by id and text; null ids are documents too."""
+    r = random.Random(4)
+    part = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    shared = part(60)
+    rows = [(None, part(40) + shared), (None, shared + part(30)), (1, part(80)), (1, part(20) + shared + part(20)), (2, part(50)), (2, None), (None, None)]
+    texts = [(t or "").encode() for _, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(df, length=24, window=12).collect())
+    assert got == sorted(removed(texts, 24)) and sum(x[1] for x in got) == 180
+
+
+def test_shared_anchors(spark):
+    """A passage too short to be removed shows in n_shared_anchors; other texts have none."""
+    r = random.Random(6)
+    part = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    shared = part(390)
+    rows = [(1, part(500) + shared + part(300)), (2, part(200) + shared), (3, part(900)), (4, None), (5, "")]
+    got = {r.doc_id: (r.n_removed, r.n_shared_anchors > 0) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, True), 2: (0, True), 3: (0, False), 4: (0, False), 5: (0, False)}
+
+
 def test_no_strings(nothing):
     assert substrings.remove_repeats(nothing).collect() == []
