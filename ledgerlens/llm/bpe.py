@@ -7,19 +7,23 @@ all its occurrences from left to right; words without a known pair drop out. Rou
 
 Defined cases: a null text is the empty text and has no tokens; special tokens that stand in a text are
 single tokens; white space separates words and is not kept; any UTF-8 text can be encoded because the
-initial symbols are bytes. Rows are independent, so repeated rows give repeated results.
+initial symbols are bytes. Rows are independent, so repeated rows give repeated results; an empty table gives
+an empty result; a very long text is taken in pieces, which changes no id; columns of other names stay or are
+not looked at. Executors get the vocabulary file from the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -77,6 +81,8 @@ class WordBpe:
         self.inner = np.array([vocab[s] for s in symbols], dtype=np.int64)
         self.last = np.array([vocab[s + self.suffix] for s in symbols], dtype=np.int64)
         self.split = regex.compile("|".join(regex.escape(s) for s in self.specials)) if self.specials else None
+        #: Characters of which a text with a special token holds one, a cheap test that most texts fail.
+        self.first_of_specials = {s[0] for s in self.specials}
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         #: White space is Unicode's White_Space; Python's own \s has four control characters more.
         self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
@@ -91,7 +97,7 @@ class WordBpe:
     def pieces(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Stretches of plain text, and special tokens with their ids."""
         at = 0
-        for m in self.split.finditer(text) if self.split and "<" in text else ():
+        for m in self.split.finditer(text) if self.split and any(c in text for c in self.first_of_specials) else ():
             yield text[at : m.start()], None
             yield m.group(), self.specials[m.group()]
             at = m.end()
@@ -222,18 +228,26 @@ def long_parts(text: str) -> Iterator[str]:
 _loaded: dict[str, WordBpe] = {}
 
 
-def loaded(path: str) -> WordBpe:
-    """One encoder a worker and file."""
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+def loaded(name: str) -> WordBpe:
+    """One encoder a worker and file; the file came with the session's files."""
+    if name not in _loaded:
+        _loaded[name] = WordBpe(SparkFiles.get(name))
+    return _loaded[name]
+
+
+def sent(docs: DataFrame, vocabulary: str) -> str:
+    """Send the vocabulary file to all executors; its name there."""
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    return os.path.basename(vocabulary)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each document; other columns are ignored."""
 
+    name = sent(docs, vocabulary)
+
     def run(batches):
-        model = loaded(vocabulary)
+        model = loaded(name)
         for batch in batches:
             texts = (t if t is not None else "" for t in (x.as_py() for x in batch.column(1)))
             counts, hashes, decoded = [], [], []
@@ -253,8 +267,10 @@ def with_token_ids(docs: DataFrame, vocabulary: str, text_column: str = "text",
     place = docs.columns.index(text_column)
     names = [*docs.columns, to]
 
+    name = sent(docs, vocabulary)
+
     def run(batches):
-        model = loaded(vocabulary)
+        model = loaded(name)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)

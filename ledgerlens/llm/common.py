@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
+_written: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine) a temporary folder is set once and kept.
+    Where a session on one machine names none, as in tests, a temporary folder is set once and kept; on a cluster
+    a folder of the driver would be of no use, so that is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
         current = context._jsc.sc().getCheckpointDir()
     return named or current.get()
@@ -45,9 +51,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Delete the tables that written() left, once the results made from them are stored; how many there were."""
+    n = len(_written)
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, _written):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written.clear()
+    return n
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -4,10 +4,15 @@ A sketch grows with its document, so two sketches of very unequal documents stil
 the sketch of a union is the union of the sketches. Sketches are sorted arrays of distinct 64-bit hashes and
 all work is done by DataFrame functions.
 
+A text of which no hash falls below the threshold keeps its smallest one as a stand-in, so that short texts
+remain comparable. A stand-in lies above the threshold, which tells it from a member: where a sketch is joined
+or compared with one that has members, stand-ins do not count, so merging gives the union's sketch exactly.
+
 Defined cases: a null text is the empty text; words are separated by white space and lowered; a text of
-fewer words than a shingle has one shingle of all its words; the empty text has the empty sketch; a text of
-which no hash falls below the threshold keeps its smallest one, so that short texts remain comparable. Two
-empty sketches are alike (1), an empty one and another are not (0).
+fewer words than a shingle has one shingle of all its words; the empty text has the empty sketch. Two empty
+sketches are alike (1), an empty one and another are not (0). An empty table gives an empty result; a very
+long text is one row, its sketch a fixed share of its shingles; ids are whole numbers, rows of one id follow
+each other by their texts' hashes and null ids come last; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -19,31 +24,39 @@ from .common import WORD_BREAK
 
 #: Words in a shingle.
 SHINGLE = 5
-#: One hash in so many is kept.
+#: One hash in so many is kept: a text of a hundred words still has some 25, whose likeness is known to a tenth.
 SCALE = 4
-#: Slices of the id order at most; each is sorted by itself.
-MAX_SLICES = 4096
+#: Slices of the id order for each shuffle partition; each is sorted by itself.
+SLICES_PER_PARTITION = 4
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def threshold(scale: int) -> Column:
+    return F.lit(min(-(1 << 63) + (1 << 64) // scale, (1 << 63) - 1))
+
+
 def with_sketch(df: DataFrame, text: str, to: str, scale: int = SCALE, shingle: int = SHINGLE) -> DataFrame:
     """df with the sketch of a text column. Steps are columns of their own, so each is computed once."""
     words, kept = f"_{to}_words", f"_{to}_all"
-    limit = F.lit(min(-(1 << 63) + (1 << 64) // scale, (1 << 63) - 1))
     bare = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(SPACES))
     df = df.withColumn(words, F.when(bare == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(bare, WORD_BREAK), lambda w: F.xxhash64(w))))
     places = F.sequence(F.lit(0), F.greatest(F.size(words) - shingle, F.lit(0)))
     hashes = F.transform(places, lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(shingle)]))
     df = df.withColumn(kept, F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(hashes)).drop(words)
-    low = F.filter(F.col(kept), lambda h: h <= limit)
+    low = F.filter(F.col(kept), lambda h: h <= threshold(scale))
     df = df.withColumn(to, F.array_sort(F.array_distinct(low)))
     return df.withColumn(to, F.when((F.size(to) == 0) & (F.size(kept) > 0), F.array(F.array_min(kept))).otherwise(F.col(to))).drop(kept)
 
 
-def likeness(a: str, b: str) -> Column:
-    """Estimated Jaccard similarity of two sketch columns, 0 to 1."""
-    common = F.size(F.array_intersect(a, b))
-    every = F.size(a) + F.size(b) - common
+def members(sketch: str, scale: int = SCALE) -> Column:
+    """The number of members. Sketches are sorted, so either all hashes are members or there is one stand-in."""
+    return F.when(F.get(F.col(sketch), 0) <= threshold(scale), F.size(sketch)).otherwise(0)
+
+
+def likeness(a: str, b: str, scale: int = SCALE) -> Column:
+    """Estimated Jaccard similarity of two sketch columns, 0 to 1; two stand-ins are alike if they are equal."""
+    common, known = F.size(F.array_intersect(a, b)), members(a, scale) + members(b, scale)
+    every = F.when(known > 0, known).otherwise(F.size(a) + F.size(b)) - common
     return F.when(every == 0, F.lit(1.0)).otherwise(common / every)
 
 
@@ -52,9 +65,10 @@ def containment(a: str, b: str) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def merged(a: str, b: str) -> Column:
-    """The sketch of both documents' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+def merged(a: str, b: str, scale: int = SCALE) -> Column:
+    """The sketch of both documents' shingles together: the members of both, or the lesser stand-in."""
+    every = F.array_sort(F.array_union(a, b))
+    return F.when((members(a, scale) > 0) | (members(b, scale) > 0), F.filter(every, lambda h: h <= threshold(scale))).otherwise(F.slice(every, 1, 1))
 
 
 def shown(sketch: str) -> Column:
@@ -71,26 +85,27 @@ def id_slices(ids: DataFrame, column: str, slices: int) -> list[int]:
 
 
 def with_slice(df: DataFrame, column: str, cuts: list[int], to: str = "_slice") -> DataFrame:
-    """The number of cuts up to a row's id, by binary search over a literal array."""
+    """The number of cuts up to a row's id, by binary search; the cuts are one row that every task gets."""
     steps = [1 << k for k in reversed(range(max(1, len(cuts)).bit_length()))]
-    array = F.array(*[F.lit(c).cast("bigint") for c in cuts + [(1 << 63) - 1] * (2 * steps[0] - len(cuts))])
-    df = df.withColumn(to, F.lit(0))
+    filled = cuts + [(1 << 63) - 1] * (2 * steps[0] - len(cuts))
+    row = df.sparkSession.createDataFrame([(filled,)], "_cuts array<bigint>")
+    df = df.crossJoin(F.broadcast(row)).withColumn(to, F.lit(0))
     for step in steps:
-        df = df.withColumn(to, F.when(F.element_at(array, F.col(to) + step) <= F.col(column), F.col(to) + step).otherwise(F.col(to)))
-    return df
+        df = df.withColumn(to, F.when(F.element_at("_cuts", F.col(to) + step) <= F.col(column), F.col(to) + step).otherwise(F.col(to)))
+    return df.drop("_cuts")
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", scale: int = SCALE) -> DataFrame:
     """Each text, its edited form and its likeness to that and to the next document.
 
     The next document is the one of the next smaller id, and the first one after the last; rows of one id
-    follow each other by their texts' hashes, null ids come last. Ids are cut into slices by quantiles; a
-    slice is sorted by itself, and the first rows of the slice below stand behind it as guests, so no task
-    sees more than a slice. The text is shuffled once.
+    follow each other by their texts' hashes, null ids come last. Ids are cut into slices by quantiles, as
+    many as shuffle partitions and some; a slice is sorted by itself, and the first rows of the slice below
+    stand behind it as guests, so no task sees more than a slice. The text is shuffled once.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    slices = min(MAX_SLICES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slices = SLICES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = id_slices(docs, "id", slices)
     heads = with_slice(docs.select("id"), "id", cuts).groupBy("_slice").agg(F.max("id").alias("id"))
     order = Window.orderBy("_slice")  # a row a slice
@@ -108,5 +123,5 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = rows.withColumn("next_sketch", F.coalesce(F.lead("sketch").over(follow), F.array().cast("array<bigint>"))).where(~F.col("guest"))
     return rows.select(
         F.col("id").alias(id_column), "n_chars", "edited_sha256", shown("sketch").alias("fingerprint"), shown("edited_sketch").alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"), containment("sketch", "edited_sketch").alias("contained"),
+        likeness("sketch", "edited_sketch", scale).alias("near_edited"), likeness("sketch", "next_sketch", scale).alias("near_next"), containment("sketch", "edited_sketch").alias("contained"),
     )

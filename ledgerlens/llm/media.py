@@ -6,8 +6,10 @@ digest; pages hold references only. Resolving joins the references with what is
 and leaves positions and captions as they were.
 
 Defined cases: null HTML has no parts; a reference without a stored medium stays, with null features; equal
-payloads share one medium; a null or empty payload is padded like any other. Pixels are 8-bit grey, 64 a
-row, in a lossless PNG.
+payloads share one medium; a null or empty payload is padded like any other; a caption that is never closed
+ends with its figure, or with the page, and outside a figure it is text; a tag that is never closed is text.
+Repeated rows give repeated results and an empty table an empty one; very long pages are parsed whole, in time
+that grows with their length; other columns are not looked at. Pixels are 8-bit grey, 64 a row, in a lossless PNG.
 """
 
 from __future__ import annotations
@@ -96,6 +98,7 @@ class Parts(HTMLParser):
         self.parts: list[dict] = []
         self.words: list[str] = []
         self.silent, self.figure, self.caption = 0, [], None
+        self.inside, self.pending = False, ""
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -103,32 +106,55 @@ class Parts(HTMLParser):
         if text:
             self.parts.append({"position": len(self.parts), "kind": "text", "text": text, "ref": None, "caption": None})
 
+    def end_caption(self) -> None:
+        """Give the open caption to its figure's media, once there is one; outside a figure it is text."""
+        said, self.caption = " ".join("".join(self.caption or []).split()), None
+        for part in self.figure:
+            part["caption"] = said or part["caption"]
+        if self.inside and not self.figure:
+            self.pending = said
+        elif not self.inside and said:
+            self.words.append(said)
+            self.flush()
+
+    def end_figure(self) -> None:
+        if self.caption is not None:
+            self.end_caption()
+        for part in self.figure if self.pending else ():
+            part["caption"] = self.pending
+        if self.pending and not self.figure:
+            self.words.append(self.pending)
+        self.flush()
+        self.inside, self.figure, self.pending = False, [], ""
+
     def handle_starttag(self, tag, attrs):
         if tag in SILENT:
             self.silent += 1
         elif tag in BLOCKS:
             self.flush()
         if tag == "figure":
-            self.figure = []
+            self.end_figure()
+            self.inside = True
         elif tag == "figcaption":
+            if self.caption is not None:
+                self.end_caption()
             self.caption = []
         elif tag in ("img", "audio", "video", "source") and (src := dict(attrs).get("src")):
             self.flush()
             part = {"position": len(self.parts), "kind": "media", "text": None, "ref": src, "caption": dict(attrs).get("alt")}
             self.parts.append(part)
-            self.figure.append(part)
+            if self.inside:
+                self.figure.append(part)
 
     def handle_endtag(self, tag):
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            for part in self.figure:
-                part["caption"] = said or part["caption"]
+            self.end_caption()
+        elif tag == "figure":
+            self.end_figure()
         elif tag in BLOCKS:
             self.flush()
-        if tag == "figure":
-            self.figure = []
 
     def handle_data(self, data):
         if self.caption is not None:
@@ -137,14 +163,31 @@ class Parts(HTMLParser):
             self.words.append(data)
 
 
+def closed(page: str) -> str:
+    """The page with marks that nothing closes written as text, so that no parser looks for their ends again and again."""
+    at = page.rfind("-->") + 1
+    page = page[:at] + page[at:].replace("<!--", "&lt;!--")
+    at = page.rfind(">") + 1
+    return page[:at] + page[at:].replace("<", "&lt;")
+
+
 def parts_of(page: str | None) -> list[dict]:
     parser = Parts()
-    parser.feed(page or "")
+    parser.feed(closed(page or ""))
     parser.close()
-    parser.flush()
+    parser.end_figure()
     return parser.parts
 
 
+def sequence_digest(parts: list[dict]) -> str:
+    """SHA-256 over each part's position, kind, and text or reference, in order."""
+    h = hashlib.sha256()
+    for part in parts:
+        said = f"{part['position']}:{part['kind']}:{part['ref'] if part['kind'] == 'media' else part['text']}"
+        h.update(f"{len(said)}:{said}".encode("utf-8", "surrogatepass"))
+    return h.hexdigest()
+
+
 def rendered(text: str, digest: str, caption: str) -> str:
     """A page of a text's lines and one figure."""
     lines = "".join(f"<p>{html.escape(line)}</p>" for line in text.split("\n"))
@@ -228,25 +271,30 @@ def resolve(refs: DataFrame, features: DataFrame) -> DataFrame:
 def document_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each document as a page of its text and one figure that holds the text's bytes as samples.
 
-    The page is drawn and parsed in one pass; of its sequence only the media parts leave the task.
+    The page is drawn and parsed in one pass. Of its sequence the media parts leave the task, and of the whole
+    the number of parts and a digest over their order, kinds, texts and references.
     """
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(at, SLICE)
-                sizes, media = [], []
+                sizes, media, numbers, digests = [], [], [], []
                 for value in rows.column(1):
                     text = value.as_py() or ""
                     raw = text.encode("utf-8", "surrogatepass")
                     sizes.append(len(raw))
                     page = rendered(text, hashlib.sha256(padded(raw)).hexdigest(), f"{len(raw)} bytes")
-                    media.append([part for part in parts_of(page) if part["kind"] == "media"])
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(media, PART_TYPE)], names=[id_column, "n_bytes", "parts"])
+                    parts = parts_of(page)
+                    numbers.append(len(parts))
+                    digests.append(sequence_digest(parts))
+                    media.append([part for part in parts if part["kind"] == "media"])
+                columns = [rows.column(0), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(digests, pa.string()), pa.array(media, PART_TYPE)]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_column, "n_bytes", "n_parts", "sequence_sha256", "parts"])
 
     features = read_back(store(docs.select(F.col(text_column).alias("payload"))))
     kind = docs.schema[id_column].dataType.simpleString()
-    sequences = docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, parts {PARTS}")
-    refs = references(sequences.select(F.struct(id_column, "n_bytes").alias("key"), "parts"), "key").select(f"key.{id_column}", "key.n_bytes", "position", "caption", "digest")
+    sequences = docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, n_parts bigint, sequence_sha256 string, parts {PARTS}")
+    refs = references(sequences.select(F.struct(id_column, "n_bytes", "n_parts", "sequence_sha256").alias("key"), "parts"), "key").select("key.*", "position", "caption", "digest")
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return resolve(refs, features).select(id_column, "n_bytes", *names, "position", "caption")
+    return resolve(refs, features).select(id_column, "n_bytes", *names, "position", "caption", "n_parts", "sequence_sha256")

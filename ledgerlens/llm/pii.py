@@ -8,7 +8,9 @@ from, so a span found in the rewritten text is mapped back to the characters of
 always stay; a mapped span is added if it holds at least one rewritten stretch and is no plain span already.
 
 Defined cases: a null text is the empty text and has no spans; spans count code points, the end is
-exclusive; kinds are found independently and may overlap; repeated rows give repeated results.
+exclusive; kinds are found independently and may overlap; repeated rows give repeated results; an empty table
+gives an empty result; other columns, whatever their names, are not looked at. Very long texts are scanned whole, in
+time that grows with their length.
 """
 
 from __future__ import annotations
@@ -65,7 +67,8 @@ DIGIT_RUN = re.compile(rf"(?<!\w)(?:plus\s+)?(?:(?:double|triple)\s+)?{WORD}(?:(
 DIGIT_PART = re.compile(rf"(?<!\w)(?:(plus)\s+(?=\w)|(?:(double|triple)\s+)?({WORD}|\d+)(?!\w))")
 #: Which separators inside a run are left out, tried in this order: up to commas, up to blanks and hyphens, all, none.
 JOINS = (1, 0, 2, -1)
-OPEN, CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
+#: Blanks before a bracket are tried from the first of them on only, so a long run of blanks costs no more than its length.
+OPEN, CLOSE = r"(?:(?<!\s)\s++)?[\[({<]\s*+", r"\s*+[\])}>]\s*+"
 AT_MARK = rf"{OPEN}(?:at|arroba|arobase|@){CLOSE}|_(?:at|arroba|arobase)_"
 DOT_MARK = rf"{OPEN}(?:dot|punto|punkt|point|\.){CLOSE}|_(?:dot|punto|punkt|point)_"
 DISGUISE = re.compile(

@@ -7,8 +7,9 @@ prior around the parent's rate, whose strength is estimated from how much siblin
 all documents. A document's score joins its evidence with its path's rate, its own part left out.
 
 Defined cases: null host and path are the empty name; a document without words has score 0 and is rejected;
-without labels of both kinds the model has no evidence and the site rates decide; repeated rows count each;
-a tie at the threshold is kept.
+without labels of both kinds the model has no evidence and the site rates decide; repeated rows count each in
+the rates, and once, by their least features, in the fit; a tie at the threshold is kept; an empty table gives
+an empty result; very long texts are counted whole; other columns keep their names and values.
 """
 
 from __future__ import annotations
@@ -122,8 +123,9 @@ def logit(p: Column) -> Column:
 
 def fit(known: DataFrame, labels: DataFrame, id_column: str, label_column: str = "quality", rows: int = TRAINING_ROWS) -> Model:
     """The model from a bounded sample of labels; known holds (id, features)."""
-    sample = labels.where(F.col(label_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(label_column).cast("double").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    got = known.select(F.col(id_column).alias("id"), "features").join(F.broadcast(sample), "id").select("y", "features").limit(2 * rows).toArrow()  # ids may repeat
+    said = labels.where(F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(F.col(label_column).cast("double")).alias("y"))
+    sample = said.orderBy(F.xxhash64("id"), "id").limit(rows)
+    got = known.select(F.col(id_column).alias("id"), "features").join(F.broadcast(sample), "id").groupBy("id").agg(F.min(F.struct("y", "features")).alias("r")).orderBy("id").select("r.*").toArrow()
     x = np.array(got.column("features").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     y = got.column("y").to_numpy()
     keep = x[:, 0] > 0
@@ -184,10 +186,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
 def kept(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that are not rejected, with their own columns."""
     own = [F.col(f"doc.`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*docs.columns).alias("doc"))
-    lean = docs.select(id_column, text_column, host.alias("h"), path.alias("g"))
-    known = written(site_columns(lean, F.col("h"), F.col("g"), text_column).select(id_column, *SITE, "features"), "features")
-    model = fit(known, labels, id_column)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), host.alias("h"), path.alias("g"), F.col(text_column).alias("t"), F.col(id_column).alias("i"))
+    known = written(site_columns(rows, F.col("h"), F.col("g"), "t").select("doc", "i", *SITE, "features"), "features")
+    model = fit(known, labels.select(F.col(id_column).alias("i"), "quality"), "i")
     sites, base = site_rates(known.select(*SITE, own_probability(model).alias("p")))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), host.alias("h"), path.alias("g"), F.col(text_column).alias("t"))
-    return judged(site_columns(rows, F.col("h"), F.col("g"), "t"), model, sites, base).where("keep").select(*own)
+    return judged(known, model, sites, base).where("keep").select(*own)

@@ -1,10 +1,12 @@
 """Quality, mixing and the pipeline against brute force."""
 
 import hashlib
+import re
 
 import corpus_pipeline
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -64,6 +66,30 @@ def test_quality_agrees_with_labels(spark):
     assert np.mean(good) > 0.9 and np.mean(bad) < 0.3
 
 
+def test_quality_of_held_out_labels(spark):
+    """The model learns from four fifths of the labels and agrees with the others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    got = {r.doc_id: r.keep for r in quality.classify(docs, labels.where(~held), F.col("source"), F.col("lang")).collect()}
+    rest = [(r.doc_id, r.quality) for r in labels.where(held).where("quality is not null").collect()]
+    assert len(rest) > 50 and np.mean([got[i] == (q == 1) for i, q in rest]) > 0.85
+
+
+def test_quality_features():
+    """Each feature again in plain Python."""
+    texts = ["", "One two, two.\nOne two, two.\nx", "été 12!!  a A a", " \n", "word " * 50, "#$% a\n\nb"]
+    for text, row in zip(texts, quality.features(pa.array(texts)).tolist(), strict=True):
+        raw, words = text.encode(), re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+        lines = [b" ".join(re.findall(rb"[^\x20\x09-\x0D]+", x.lower())) for x in re.findall(rb"[^\n]*\n|[^\n]+$", raw)]
+        size, many = max(len(raw), 1), max(len(words), 1)
+        share = lambda kind: sum(quality.CLASSES[b] == kind for b in raw) / size  # noqa: B023, E731
+        want = [
+            np.log1p(len(words)), share(0), share(2), share(3), share(5), share(6), len(lines) / many, (size - sum(b in b" \t\r\n" for b in raw)) / many,
+            sum(a == b for a, b in zip(words, words[1:], strict=False)) / many, 1 - (len(words) - len(set(words))) / many, (len([x for x in lines if x]) - len({x for x in lines if x})) / max(len(lines), 1),
+        ]
+        assert row == pytest.approx(want), text
+
+
 def test_quality_of_odd_rows(spark, edges, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(8, 1, 0), (0, 0, 0), (4, None, None), (12, 1, 0), (5, 0, 1), (8, 1, 0)], "doc_id long, quality int, toxic int")

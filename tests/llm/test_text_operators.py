@@ -1,7 +1,9 @@
 """Operators on single texts: sketches, PII, language, BPE and media, against brute force."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -71,10 +73,32 @@ def test_equal_texts_have_equal_sketches_and_likeness_follows_jaccard(documents)
 def test_sketches_merge(spark):
     df = spark.createDataFrame([("a b c d e f g h", "f g h i j k l m")], "x string, y string")
     df = fingerprint.with_sketch(fingerprint.with_sketch(df, "x", "sx", scale=1), "y", "sy", scale=1)
-    row = df.select(F.size(fingerprint.merged("sx", "sy")).alias("n"), F.size("sx").alias("a"), F.size("sy").alias("b"), fingerprint.containment("sx", "sx").alias("c")).first()
+    row = df.select(F.size(fingerprint.merged("sx", "sy", 1)).alias("n"), F.size("sx").alias("a"), F.size("sy").alias("b"), fingerprint.containment("sx", "sx").alias("c")).first()
     assert (row.n, row.c) == (row.a + row.b, 1.0)
 
 
+@pytest.mark.parametrize("scale", [1, 4, 16])
+def test_merged_sketches_equal_the_union_s(spark, scale):
+    """Texts of 0 to 60 words: the sketch of all shingles of both, by members and stand-ins."""
+    r = np.random.default_rng(1)
+    text = lambda n: " ".join(f"w{x}" for x in r.integers(0, 1000, n))
+    rows = [(text(a), text(b)) for a in (0, 3, 5, 12, 60) for b in (0, 1, 5, 30, 60)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    df = fingerprint.with_sketch(fingerprint.with_sketch(df, "x", "sx", scale), "y", "sy", scale)
+    df = fingerprint.with_sketch(fingerprint.with_sketch(df, "x", "ax", 1), "y", "ay", 1)
+    got = df.select("ax", "ay", fingerprint.merged("sx", "sy", scale).alias("m"), fingerprint.likeness("sx", "sy", scale).alias("l")).collect()
+    limit = min(-(1 << 63) + (1 << 64) // scale, (1 << 63) - 1)
+
+    def sketch(hashes):
+        return sorted(h for h in hashes if h <= limit) or sorted(hashes)[:1]
+
+    for row in got:
+        both = sketch({*row.ax, *row.ay})
+        assert row.m == both
+        common = {*sketch(row.ax)} & {*sketch(row.ay)}
+        assert 0 <= row.l <= 1 and (row.l > 0) == (bool(common) or not (row.ax or row.ay))
+
+
 def test_sketches_of_an_empty_table_and_of_many_slices(spark, nothing, documents):
     assert fingerprint.fingerprints(nothing).collect() == []
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -178,6 +202,45 @@ def test_clean_texts_stay(text):
     assert pii.masked(text) == text
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "(at)", "a (at) b" + " " * 1_000_000 + "(dot)", "(" * 200_000 + " at )", "x at" + "\n" * 500_000 + "y dot z", "one" + ", " * 300_000 + "two", "one " * 200_000, "+1" + " " * 500_000])
+def test_time_grows_with_length_only(text):
+    """A million blanks or marks; a quadratic pattern would take hours."""
+    began = time.perf_counter()
+    pii.all_spans(text, pii.plain_spans(text))
+    assert time.perf_counter() - began < 20
+
+
+def disguised(r):
+    """(text, kind, start, end): an identifier in one of many disguises between clean words."""
+    words = lambda n: " ".join(r.choice("river stone of the candle and window paper lantern field".split()) for _ in range(n))
+    spelled = {str(i): w for i, w in enumerate("zero one two three four five six seven eight nine".split())}
+    name, host, end = r.choice(["jane", "max.muster", "o_k"]), r.choice(["example", "mail-box", "foo"]), r.choice(["com", "org", "de"])
+    mark, dot = r.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), ("_at_", "_dot_"), (" {at} ", "."), (" arroba ", " punto "), (" arobase ", " point ")])
+    number = "49" + "".join(r.choice("0123456789") for _ in range(10))
+    ip = [str(r.randrange(256)) for _ in range(4)]
+    wide = str.maketrans("0123456789+.", "０１２３４５６７８９＋．")
+    kind, form = r.choice([
+        ("email", name + mark + host + dot + end), ("email", name.replace("a", "а").replace("o", "о") + "@" + host + "." + end),
+        ("phone", "plus " + " ".join(spelled[d] for d in number)), ("phone", f"+{number}".translate(wide)),
+        ("ip", " dot ".join(" ".join(spelled[d] for d in part) for part in ip)), ("ip", ".".join(ip).translate(wide)),
+    ])
+    if "а" not in form and "о" not in form and form == name + "@" + host + "." + end:
+        return disguised(r)
+    before = words(r.randrange(1, 9)) + " "
+    return before + form + " " + words(5), kind, len(before), len(before) + len(form)
+
+
+def test_recall_of_generated_disguises():
+    """Known identifiers at known places: nearly all are found where they stand, and nothing else is."""
+    r, hit, wrong, n = random.Random(8), 0, 0, 600
+    for _ in range(n):
+        text, kind, start, end = disguised(r)
+        found = pii.all_spans(text, pii.plain_spans(text))
+        hit += any(pii.KINDS[k] == kind and s <= start + 1 and e >= end - 1 for s, k, e in found)
+        wrong += sum(e <= start or s >= end for s, _, e in found)
+    assert hit >= 0.95 * n and wrong == 0
+
+
 def test_masking(edges, nothing):
     got = {r.doc_id: r.text for r in pii.mask_pii(edges).collect()}
     assert got[0] is None and got[3] == "one"
@@ -214,6 +277,39 @@ def test_ngram_counts():
     assert sorted(counts.tolist()) == sorted(want.values())
 
 
+def out_of_place(texts, held, size=langid.PROFILE):
+    """Rank-order profiles in plain Python: (language, distance share) of each text."""
+
+    def grams(text):
+        norm = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+        norm = re.sub(" +", " ", norm)
+        found = Counter(norm[k : k + n] for n in (1, 2, 3) for k in range(len(norm) - n + 1))
+        return Counter({g: c for g, c in found.items() if g.strip() and not (len(g) == 3 and g[1] == " ")})
+
+    def code(gram):
+        return [sum((1 if c == " " else ord(c) + 1) << 21 * (len(gram) - 1 - i) for i, c in enumerate(gram))]
+
+    def ranked(counter):
+        return sorted(counter, key=lambda g: (-counter[g], code(g)))[:size]
+
+    totals = {}
+    for i, text, lang in texts:
+        if lang is not None and not held(i):
+            totals.setdefault(lang, Counter()).update(grams(text))
+    profiles = {lang: {g: k for k, g in enumerate(ranked(c))} for lang, c in sorted(totals.items())}
+    for i, text, _ in texts:
+        own = ranked(grams(text))
+        apart = {lang: sum(abs(p[g] - k) if g in p else size for k, g in enumerate(own)) for lang, p in profiles.items()}
+        yield i, min(apart, key=lambda x: (apart[x], x)) if own else "und"
+
+
+def test_predictions_equal_plain_rank_orders(documents):
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.select("doc_id", "text", "lang").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    got = {r.doc_id: r.lang_pred for r in langid.predict(documents, langid.learn(documents.where(~langid.held_out()))).collect()}
+    assert got == dict(out_of_place(rows, held))
+
+
 def test_language_of_odd_texts(edges, nothing):
     got = {r.doc_id: r for r in langid.predict(edges, langid.learn(edges)).collect()}
     assert [got[i].lang_pred for i in (0, 1, 2)] == ["und"] * 3
@@ -287,6 +383,34 @@ def test_pages_keep_the_order_of_text_and_media(spark):
     assert {(r.digest, r.payload_bytes, r.caption) for r in found} == {("aa", 64, "A cap"), ("b.png", None, "plain")}
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<figure><img src="a"><figcaption>cap</figure>after', [("a", "cap"), ("after", None)]), ('<figure><figcaption>first</figcaption><img src="a"></figure>', [("a", "first")]),
+    ("<figcaption>lost and found", [("lost and found", None)]), ('<img src="a"><figcaption>text</figcaption>b', [("a", None), ("text", None), ("b", None)]),
+    ("one <b", [("one <b", None)]), ("a<!-- b", [("a<!-- b", None)]), ("<figure><figcaption>alone</figcaption></figure>end", [("alone", None), ("end", None)]),
+])
+def test_unclosed_and_odd_marks_lose_nothing(page, want):
+    assert [(p["text"] or p["ref"], p["caption"]) for p in media.parts_of(page)] == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 200_000, "<!-- " * 200_000 + ">", "<p>" * 100_000, "<img src='" * 50_000, "&" * 200_000, "<script>" + "<" * 200_000])
+def test_parsing_time_grows_with_length_only(page):
+    began = time.perf_counter()
+    media.parts_of(page)
+    assert time.perf_counter() - began < 20
+
+
+def test_pages_through_the_store(spark):
+    """References of pages, payloads in a store, captions and positions side by side after the digest join."""
+    digest = lambda b: sha(media.padded(b))
+    page = f'<p>one</p><figure><img src="sha256:{digest(b"abc")}"><figcaption>A</figcaption></figure>two<img src="sha256:{digest(b"")}" alt="B"><img src="gone.png">'
+    features = media.read_back(media.store(spark.createDataFrame([(b"abc",), (b"abc",), (None,)], "payload binary")))
+    refs = media.references(media.interleaved(spark.createDataFrame([(7, page), (8, page)], "page_id long, html string")))
+    got = {(r.page_id, r.position): (r.caption, r.payload_bytes, r.payload_sha256) for r in media.resolve(refs, features).collect()}
+    for i in (7, 8):
+        assert [got[i, k] for k in (1, 3, 4)] == [("A", 64, digest(b"abc")), ("B", 64, digest(b"")), (None, None, None)]
+    assert len(got) == 6
+
+
 def test_pages_table(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     rows = media.interleaved(pages).collect()
