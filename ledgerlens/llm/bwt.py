@@ -1,0 +1,72 @@
+"""Repeated strings by merging the Burrows-Wheeler transforms of shards: an attempt, see README.
+
+Each task sorts the suffixes of its shard and keeps, for every rank, the symbol in front of the next compared
+place and the rank of the suffix that follows it. The shards are then interleaved by refinement: all suffixes
+start in one interval, and a pass splits every interval by one symbol more. A suffix alone in its interval is
+settled and leaves, and so do, a pass later, those in front of it. After length / stride passes the intervals
+left hold the repeated strings; the pass at which a suffix leaves bounds its longest common prefix.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import shingles as sh
+from .common import written
+from .substrings import prefix_hash, span_hash
+
+
+def shard_order(raw: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
+    """The rank of each suffix of the shard by its first `length` bytes, by prefix doubling; ends of texts part them."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    rank, step = raw.astype(np.int64) + 1, 1
+    while step < length:
+        ahead = np.zeros(len(raw), dtype=np.int64)
+        inside = np.flatnonzero(np.arange(len(raw)) + step < np.append(bounds, bounds[-1])[owner + 1])
+        ahead[inside] = rank[inside + step]
+        _, rank = np.unique((rank << 32) | ahead, return_inverse=True)
+        rank, step = rank + 1, 2 * step
+    return np.argsort(np.argsort(rank, kind="stable"), kind="stable")
+
+
+def shard_transforms(docs: DataFrame, length: int, stride: int) -> DataFrame:
+    """(key, start, suffix, following, symbol): suffix and following are ranks in a shard, named by it."""
+
+    def run(batches):
+        for batch in batches:
+            values, offsets = sh.utf8(batch.column(1))
+            own, bounds = values[offsets[0] : offsets[-1]], offsets - offsets[0]
+            if not len(own):
+                continue
+            size = np.diff(bounds)
+            owner = np.repeat(np.arange(batch.num_rows), size)
+            at, end = np.arange(len(own)), bounds[owner + 1]
+            shard = int(sh.mix(np.array([batch.column(0)[0].as_py()], dtype=np.int64).view(np.uint64))[0]) >> 32 << 31
+            name = shard_order(own, bounds, length) + shard
+            whole = at + stride <= end
+            symbol = span_hash(prefix_hash(own), at[whole], at[whole] + stride).view(np.int64)
+            after = np.append(name, np.full(stride, -1))[at[whole] + stride]
+            after[at[whole] + stride >= end[whole]] = -1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[whole])), pa.array((at - bounds[owner])[whole]), pa.array(name[whole]), pa.array(after), pa.array(symbol)], names=["key", "start", "suffix", "following", "symbol"])
+
+    return docs.mapInArrow(run, "key bigint, start bigint, suffix bigint, following bigint, symbol bigint")
+
+
+def repeated_starts(docs: DataFrame, length: int = 400, stride: int = 16, passes: int | None = None, report=None) -> DataFrame:
+    """(key, start) of strings of `length` bytes that start twice; docs holds (key, text)."""
+    base = written(shard_transforms(docs, length, stride), "shards")
+    state = written(base.select("suffix", F.col("symbol").alias("interval")), "interleave")
+    for k in range(1, (passes or length // stride) + 1):
+        many = state.groupBy("interval").agg(F.count("*").alias("n")).where("n > 1").select("interval")
+        alive = written(state.join(many, "interval"), "alive")
+        if report:
+            report(k, alive)
+        if k == (passes or length // stride):
+            return alive.join(base, "suffix").select("key", "start")
+        following = alive.select(F.col("suffix").alias("following"), "interval")
+        refined = base.join(following, "following").join(alive.select("suffix"), "suffix")
+        state = written(refined.select("suffix", F.xxhash64("symbol", "interval").alias("interval")), "interleave")
+    return state
