@@ -180,8 +180,11 @@ def blocks(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
 
 
 def twice(rows: DataFrame, column: str) -> DataFrame:
-    """The values of a column that more than one row has."""
-    return rows.groupBy(column).agg(F.count("*").alias("n")).where("n > 1").select(column)
+    """The values of a column that more than one row has.
+
+    They are written, so that a join with them has an exchange on either side and a hot value's rows can be split.
+    """
+    return written(rows.groupBy(column).agg(F.count("*").alias("n")).where("n > 1").select(column), "keys")
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
