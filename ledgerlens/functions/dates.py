@@ -41,19 +41,33 @@ def month_name(c: Column) -> Column:
     return F.concat(name, F.lit("/"), F.substring(c, 4, 4))
 
 
+# Dates in file names and folders, and periods with the lengths of their parts.
+FILE_DATES = ((r"(?<!\d)(20\d{2})\.(\d{2})\.(\d{2})(?!\d)", (1, 2, 3)), (r"(?<!\d)(\d{2})\.(\d{2})\.(20\d{2})(?!\d)", (3, 2, 1)))
+FOLDER_DATES = ((r"(?:^|/)(\d{4})\.(\d{2})\.(\d{2})(?:/|$)", (1, 2, 3)), (r"(?:^|/)(\d{2})\.(\d{2})\.(\d{4})(?:/|$)", (3, 2, 1)))
+PERIODS = ((2, 2, 4), (4, 2, 2), (2, 4), (4, 2))
+
+
+def first_date(c: Column, shapes) -> Column:
+    """The date of the first shape that is found; year, month and day stand in the groups that it names."""
+    out = F.lit(None).cast("date")
+    for pattern, places in reversed(shapes):
+        year, month, day = (F.regexp_extract(c, pattern, i) for i in places)
+        out = F.when(year != "", made(year, month, day)).otherwise(out)
+    return out
+
+
 def file_date(c: Column) -> Column:
     """The first YYYY.MM.DD that touches no other digit, else the first DD.MM.YYYY."""
-    name = base_file(c)
-    iso, local = r"(?<!\d)(20\d{2})\.(\d{2})\.(\d{2})(?!\d)", r"(?<!\d)(\d{2})\.(\d{2})\.(20\d{2})(?!\d)"
-    first = [F.regexp_extract(name, iso, i) for i in (1, 2, 3)]
-    other = [F.regexp_extract(name, local, i) for i in (3, 2, 1)]
-    return F.when(first[0] != "", made(*first)).when(other[0] != "", made(*other))
+    return first_date(base_file(c), FILE_DATES)
+
+
+def folder_date(c: Column) -> Column:
+    """A whole segment of the path that is YYYY.MM.DD, else one that is DD.MM.YYYY."""
+    return first_date(c, FOLDER_DATES)
 
 
 def flipped(c: Column) -> Column:
-    """Day and year exchanged: DD.MM.YYYY and YYYY.MM.DD, MM.YYYY and YYYY.MM."""
-    c1 = F.regexp_replace(c, r"^(\d{2})\.(\d{2})\.(\d{4})$", "$3.$2.$1")
-    c2 = F.regexp_replace(c, r"^(\d{4})\.(\d{2})\.(\d{2})$", "$3.$2.$1")
-    c3 = F.regexp_replace(c, r"^(\d{2})\.(\d{4})$", "$2.$1")
-    c4 = F.regexp_replace(c, r"^(\d{4})\.(\d{2})$", "$2.$1")
-    return F.when(c1 != c, c1).when(c2 != c, c2).when(c3 != c, c3).when(c4 != c, c4).otherwise(c)
+    """The parts of a period in reverse order: DD.MM.YYYY and YYYY.MM.DD, MM.YYYY and YYYY.MM; others stay."""
+    parts = F.split(c, r"\.")
+    shapes = [c.rlike("^" + r"\.".join(rf"\d{{{n}}}" for n in shape) + "$") for shape in PERIODS]
+    return F.when(F.greatest(*shapes), F.array_join(F.reverse(parts), ".")).otherwise(c)

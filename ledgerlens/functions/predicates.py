@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import B, E, entity_core, norm
+from .text import B, E, base_file, entity_core, norm
 
 #: Cents by which equal values may differ, and the most instalments of a purchase.
 TOLERANCE, INSTALMENTS = 2, 24
@@ -20,14 +20,21 @@ def is_card_entry(number: Column, entity: Column) -> Column:
     return F.upper(F.trim(number)).rlike(r"^CC\d|^CR[.\s]") | entity.rlike(rf"{B}CAR(TAO)?\s*CRED|{B}CARTAO\s+DE\s+CREDITO{E}")
 
 
+# Number series of tax slips, and the marks of card files.
+TAX_SERIES = (r"9039\d{2}$", r"9049\d{2}$")
+CARD_MARKS = (rf"{B}CC\s?\d{{2,}}{E}", rf"{B}CART[ÃA]O\s+DE\s+CR[ÉE]DITO{E}")
+
+
 def is_tax(kind: Column, number: Column, emitter: Column, file: Column) -> Column:
     """Taxes: by kind, by number series, or by a public emitter."""
-    tests = (kind == "IMPOSTO", number.rlike(r"^90[34]9\d{2}"), emitter.rlike("GOVERNO|PREFEITURA"), F.upper(file).rlike(rf"{B}GOVERNO{E}"))
+    tests = (norm(kind) == "IMPOSTO", *[number.rlike(f"^{s}") for s in TAX_SERIES], F.upper(emitter).rlike("GOVERNO|PREFEITURA"), F.upper(file).rlike(rf"{B}GOVERNO{E}"))
     return F.greatest(*[F.coalesce(t, F.lit(False)) for t in tests])
 
 
 def is_card_file(file: Column) -> Column:
-    return F.coalesce(F.upper(file).rlike(rf"{B}CC\d|CART(AO|ÃO) (DE )?CRED"), F.lit(False))
+    """Card statements, by a code of two digits or more or by the card's words in the file's name."""
+    name = F.upper(base_file(file))
+    return F.coalesce(F.greatest(*[name.rlike(m) for m in CARD_MARKS]), F.lit(False))
 
 
 def ledger_kind(category: Column) -> Column:
@@ -79,16 +86,17 @@ def first_words(c: Column, n: int = 3) -> Column:
 def names_match(a: Column, b: Column, core_a: Column | None = None, core_b: Column | None = None) -> Column:
     """Equal, sharing first words, or one name's core within the other's; an absent name never matches.
 
-    The cores can be given as columns, so that they are computed once before a join.
+    Where the cores are given as columns, computed once before a join, the names must be normalised too.
     """
-    a, b = norm(a), norm(b)
-    core_a, core_b = (entity_core(a) if core_a is None else core_a), (entity_core(b) if core_b is None else core_b)
+    if core_a is None or core_b is None:
+        a, b = norm(a), norm(b)
+        core_a, core_b = entity_core(a), entity_core(b)
     wa, wb = first_words(a), first_words(b)
     words = (a == b) | (wa == wb) | F.contains(a, wb) | F.contains(b, wa)
     core = (core_a != "") & (core_b != "") & (F.contains(core_a, core_b) | F.contains(core_b, core_a))
     return F.coalesce((a != "") & (b != "") & (words | core), F.lit(False))
 
 
-def same_entity(name_a: Column, id_a: Column, name_b: Column, id_b: Column) -> Column:
+def same_entity(name_a: Column, id_a: Column, name_b: Column, id_b: Column, core_a: Column | None = None, core_b: Column | None = None) -> Column:
     """Equal tax ids are proof; different ones prove nothing and the names decide."""
-    return F.coalesce(id_a == id_b, F.lit(False)) | names_match(name_a, name_b)
+    return F.coalesce(id_a == id_b, F.lit(False)) | names_match(name_a, name_b, core_a, core_b)

@@ -6,6 +6,8 @@ no-break space and the byte-order mark, so results do not depend on a regex engi
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +15,20 @@ BLANK = r"[\s\u00A0\uFEFF]+"
 #: A word boundary before and after, for ASCII letters, digits and the underscore.
 B, E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
-# Accented capitals and what they become.
-ACCENTED = "ÁÀÂÃÄÅÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜÝ"
-UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUY"
+def _decomposed() -> tuple[str, str, str]:
+    """Letters below U+2000 with marks and the letters under them, and the marks themselves, by Unicode's decomposition."""
+    letters, plain, marks = [], [], []
+    for c in map(chr, range(0x80, 0x2000)):
+        base = [d for d in unicodedata.normalize("NFD", c) if not 0x300 <= ord(d) <= 0x36F]
+        if not base:
+            marks.append(c)
+        elif base != [c] and len(base) == 1:
+            letters.append(c)
+            plain.append(base[0])
+    return "".join(letters), "".join(plain), "".join(marks)
+
+
+ACCENTED, UNACCENTED, MARKS = _decomposed()
 
 # The pattern of a tax id (14 digits) and of a personal one (11 digits), with or without signs.
 TAX_ID = r"\d{2}[.\s]?\d{3}[.\s]?\d{3}[/\s]?\d{4}[-\s]?\d{2}"
@@ -24,6 +37,22 @@ PERSON_ID = r"\d{3}[.\s]?\d{3}[.\s]?\d{3}[-\s]?\d{2}"
 CORE_NOISE = r"S/?A|S\.?A\.?|LTDA|ME|EPP|EIRELI|CIA|COMPANHIA|REDES?|DISTRIBUIDORA|COMERCIO|COM|IND(?:USTRIA)?|SERVICOS?|S\.A|EI"
 # Marks before a document's number in a file name.
 NUMBER_MARK = r"(?:NFS?|NF-?e|CTE|CT-?e|RCB|RC|FAT|FT)"
+# Numbers, orders, amounts and emitters as they stand in file names, and words that mean nothing.
+LAST_NUMBER = r"[.\s](\d{3,})\s*$"
+ORDER_MARK = rf"(?i){B}OCP?\s*[-#.]?\s*(\d{{4,}})"
+FILE_AMOUNT = r"(?i)DOC[-\s]*(?:R\$\s*)?(\d{1,3}(?:\.\d{3})*,\d{2}|\d+,\d{2})"
+FILE_EMITTER = (
+    rf"(?i)\d{{4}}\.\d{{2}}\.\d{{2}}\s*[.,]?\s*(.+?)\s*[.,]?\s*{B}{NUMBER_MARK}\s*\.?\s*\d",
+    rf"(?i){B}DOC[-\s]+[\d.,]+\s*[-–]\s*[\d.]+\s*[.,]\s*(.+?)\s*[.,]?\s*{B}NF\s+\d",
+    rf"(?i){B}DOC[-\s]+[\d.,]+[-–]\d{{4}}-\d{{2}}-\d{{2}}[-–\s]+(.+?)\s*[-–]\s*NF\s+\d",
+)
+NULL_WORDS = r"(?i)(?:^|\s*[-–]\s*)(?:null|undefined|n/a)\s*$"
+BARE_TAX_ID = r"(?<!\d)\d{14}(?!\d)"
+# What a document mark, a date and a document's prefix look like in a normalised file name.
+KIND_MARK = rf"{B}(?:RCB|RC|RECIBO|FAT|FT|FATURA|NFS|NFE|NF|BOL|BOLETO|GUIA|DARF|GPS|INSS|FGTS|CTE|DACTE|IMOVEL|OCP|OC){E}"
+NAME_DATE = rf"(?:20\d{{2}}\.\d{{2}}\.\d{{2}}|\d{{2}}\.\d{{2}}\.20\d{{2}}|{B}20\d{{2}})\.?"
+NAME_PREFIX = r"^\d{1,4}\.?DOC[-\s]*[\d.,]*\s*-?\s*"
+TAIL_CODES = r"\s+[A-Z]?\d[A-Za-z0-9_]*(?:\s+[A-Z]?\d[A-Za-z0-9_]*)*$"
 
 
 def absent(c: Column) -> Column:
@@ -42,7 +71,7 @@ def norm(c: Column) -> Column:
 
 def norm_ascii(c: Column) -> Column:
     """As norm, without accents."""
-    return F.trim(F.regexp_replace(F.translate(F.upper(c), ACCENTED, UNACCENTED), BLANK, " "))
+    return F.trim(F.regexp_replace(F.translate(F.upper(c), ACCENTED + MARKS, UNACCENTED), BLANK, " "))
 
 
 def norm_company(c: Column) -> Column:
@@ -60,7 +89,7 @@ def entity_core(c: Column) -> Column:
 
 def tax_id(c: Column) -> Column:
     """The first 14-digit id, written out or bare, as digits."""
-    return F.coalesce(absent(digits(F.regexp_extract(c, TAX_ID, 0))), found(c, r"(?<!\d)\d{14}(?!\d)", 0))
+    return F.coalesce(absent(digits(F.regexp_extract(c, TAX_ID, 0))), found(c, BARE_TAX_ID, 0))
 
 
 def labelled_tax_id(c: Column) -> Column:
@@ -103,25 +132,40 @@ def stem(c: Column) -> Column:
 def number_in_file(c: Column) -> Column:
     """The number behind a document mark, else a last block of three digits or more."""
     marked = found(base_file(c), rf"(?i){B}{NUMBER_MARK}\s*\.?\s*(\d+)")
-    bare = found(stem(c), r"[.\s](\d{3,})\s*$")
+    bare = found(stem(c), LAST_NUMBER)
     n = F.coalesce(marked, bare)
     return F.coalesce(absent(no_zeros(n)), n)
 
 
 def order_in_file(c: Column) -> Column:
     """A purchase order's number."""
-    return absent(no_zeros(F.regexp_extract(base_file(c), rf"(?i){B}OCP?\s*[-#.]?\s*(\d{{4,}})", 1)))
+    return absent(no_zeros(F.regexp_extract(base_file(c), ORDER_MARK, 1)))
 
 
 def emitter_in_file(c: Column) -> Column:
     """The emitter between a date or an amount and the document mark, by three patterns in order."""
     name = F.trim(stem(c))
-    patterns = (
-        rf"(?i)\d{{4}}\.\d{{2}}\.\d{{2}}\s*[.,]?\s*(.+?)\s*[.,]?\s*{B}{NUMBER_MARK}\s*\.?\s*\d",
-        rf"(?i){B}DOC[-\s]+[\d.,]+\s*[-–]\s*[\d.]+\s*[.,]\s*(.+?)\s*[.,]?\s*{B}NF\s+\d",
-        rf"(?i){B}DOC[-\s]+[\d.,]+[-–]\d{{4}}-\d{{2}}-\d{{2}}[-–\s]+(.+?)\s*[-–]\s*NF\s+\d",
-    )
-    return absent(F.trim(F.regexp_replace(F.coalesce(*[found(name, p) for p in patterns]), r"[.,\s]+$", "")))
+    return absent(F.trim(F.regexp_replace(F.coalesce(*[found(name, p) for p in FILE_EMITTER]), r"[.,\s]+$", "")))
+
+
+def bare_edges(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"^[\s.,\-]+|[\s.,\-]+$", ""))
+
+
+def emitter_by_marks(c: Column) -> Column:
+    """The emitter between a file name's date, or its prefix, and the first document mark; codes at its end go.
+
+    If nothing is left before the mark, the mark is part of the name.
+    """
+    name = norm_ascii(F.regexp_replace(c, "(?i)\\.pdf$", ""))
+    date = F.regexp_instr(name, F.lit(NAME_DATE))
+    after_date = F.substring(name, date + F.length(F.regexp_extract(name, NAME_DATE, 0)), F.length(name))
+    rest = F.when(date > 0, after_date).otherwise(F.regexp_replace(name, NAME_PREFIX, ""))
+    mark = F.regexp_instr(rest, F.lit(KIND_MARK))
+    before = bare_edges(F.when(mark > 0, F.substring(rest, F.lit(1), mark - 1)).otherwise(rest))
+    whole = F.when(F.length(before) < 2, bare_edges(rest)).otherwise(before)
+    short = bare_edges(F.regexp_replace(whole, TAIL_CODES, ""))
+    return F.when((F.length(short) >= 2) & ~short.rlike(r"^[\d.,\s]+$"), short)
 
 
 def money_cents(c: Column) -> Column:
@@ -132,9 +176,9 @@ def money_cents(c: Column) -> Column:
 
 
 def amount_in_file(c: Column) -> Column:
-    return money_cents(found(base_file(c), r"(?i)DOC[-\s]*(?:R\$\s*)?(\d{1,3}(?:\.\d{3})*,\d{2}|\d+,\d{2})"))
+    return money_cents(found(base_file(c), FILE_AMOUNT))
 
 
 def without_null_words(c: Column) -> Column:
     """Trimmed, without a trailing null, undefined or n/a."""
-    return F.trim(F.regexp_replace(F.trim(c), r"(?i)(?:^|\s*[-–]\s*)(?:null|undefined|n/a)\s*$", ""))
+    return F.trim(F.regexp_replace(F.trim(c), NULL_WORDS, ""))

@@ -31,6 +31,10 @@ WEAK = (
     ("NF", "NOTA FISCAL"),
     ("RECIBO", w("RECIBO")),
 )
+# An electronic invoice's key, the nature of its operation and its purchase order.
+ACCESS_KEY = rf"{B}(\d[\d ]{{42,52}}\d){E}"
+NATURE = r"NATUREZA DA OPERACAO[:\s]*([A-Z0-9 .,/-]{4,40})"
+PURCHASE_ORDER = (r"(?:ORDEM\s+DE\s+COMPRA[-–\s]*OCP|OCP|ORDEM\s+DE\s+COMPRA)[:\s#Nº°.]*(\d{4,})", rf"{B}OC[:\s#]*(\d{{4,}}){E}")
 UNKNOWN = "Não identificado"
 MONEY = r"R?\$?\s*([\d.,]{3,})"
 # A field's label and shape, by document kind.
@@ -56,13 +60,21 @@ FIELDS = {
     },
 }
 # Marks of a payment slip, and of its repeated parts.
-SLIP = "NOSSO NUMERO|FICHA DE COMPENSA|BENEFICIARIO|LINHA DIGITAVEL|" + w("CEDENTE|PAGADOR|SACADO")
+SLIP = "NOSSO NUMERO|FICHA DE COMPENSA|" + w("CEDENTE") + "|BENEFICIARIO|" + w("PAGADOR|SACADO") + "|LINHA DIGITAVEL"
 SLIP_PARTS = (r"\d{5}[.\s]\d{5}\s+\d{5}[.\s]\d{6}\s+\d{5}[.\s]\d{6}\s+\d\s+\d{14}", r"NOSSO NUMERO\D{0,8}[\d./-]{6,}", r"VENCIMENTO\D{0,8}\d{2}[/.]\d{2}[/.]\d{2,4}")
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once, not wherever body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def classified(text: Column, emitter: Column) -> Column:
     """(kind, evidence, origin): the first strong mark, a public emitter, the first weak mark."""
-    t, e = norm_ascii(text), norm_ascii(emitter)
+    return bound(norm_ascii(text), lambda t: verdict_of(t, norm_ascii(emitter)))
+
+
+def verdict_of(t: Column, e: Column) -> Column:
     verdict = lambda kind, evidence, origin: F.struct(F.lit(kind).alias("kind"), evidence.alias("evidence"), F.lit(origin).alias("origin"))
     rules = [(t.rlike(p), verdict(k, F.regexp_extract(t, p, 0), "strong")) for k, p in STRONG]
     rules.append((F.coalesce(e.rlike(PUBLIC_BODY), F.lit(False)), verdict("IMPOSTO", F.concat(F.lit("emitter: "), e), "emitter")))
@@ -73,17 +85,25 @@ def classified(text: Column, emitter: Column) -> Column:
 
 def fields(text: Column, kind: str) -> Column:
     """The labelled fields of a kind; what is not there is NULL."""
-    t = norm_ascii(text)
-    return F.struct(*[F.trim(found(t, p)).alias(name) for name, p in FIELDS[kind].items()])
+    return bound(norm_ascii(text), lambda t: F.struct(*[F.trim(found(t, p)).alias(name) for name, p in FIELDS[kind].items()]))
 
 
-def access_key(text: Column) -> Column:
-    """The long digit key of an electronic document, without spaces."""
-    return absent(F.regexp_replace(F.regexp_extract(norm_ascii(text), rf"{B}(\d[\d ]{{42,52}}\d){E}", 1), r"\s+", ""))
+def product_fields(text: Column) -> Column:
+    """The fields of a product invoice, with its key, the nature of the operation and the purchase order."""
+
+    def found_in(t: Column) -> Column:
+        named = [F.trim(found(t, p)).alias(name) for name, p in FIELDS["NF"].items()]
+        key = absent(F.regexp_replace(F.regexp_extract(t, ACCESS_KEY, 1), r"\s+", ""))
+        return F.struct(*named, key.alias("access_key"), F.trim(found(t, NATURE)).alias("nature"), F.coalesce(*[found(t, p) for p in PURCHASE_ORDER]).alias("order_nr"))
+
+    return bound(norm_ascii(text), found_in)
 
 
 def may_hold_slips(text: Column, pages: Column) -> Column:
     """A payment slip with two different lines, own numbers or due dates, or of two pages."""
-    t = norm_ascii(text)
-    repeated = [F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(p), F.lit(0)))) >= 2 for p in SLIP_PARTS]
-    return t.rlike(SLIP) & (reduce(lambda a, b: a | b, repeated) | (F.coalesce(pages, F.lit(0)) >= 2))
+
+    def gate(t: Column) -> Column:
+        repeated = [F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(p), F.lit(0)))) >= 2 for p in SLIP_PARTS]
+        return t.rlike(SLIP) & (reduce(lambda a, b: a | b, repeated) | (F.coalesce(pages, F.lit(0)) >= 2))
+
+    return bound(norm_ascii(text), gate)

@@ -44,8 +44,12 @@ def number_or_zero(c: Column) -> Column:
 
 
 def invoices(payload: Column) -> Column:
-    """Invoices of a payload: items need a description, labels are no names, bad numbers are zero."""
-    parsed = F.coalesce(F.from_json(json_text(payload), INVOICES)["notas"], F.array().cast("array<struct<numero:string,emitente:string,itens:array<" + ITEM + ">>>"))
+    """Invoices of a payload: items need a description, labels are no names, bad numbers are zero.
+
+    The payload is parsed as it stands, and once more between its outer braces only where that gives nothing.
+    """
+    braces = absent(F.regexp_extract(payload, r"(?s)\{.*\}", 0))
+    parsed = F.coalesce(F.from_json(payload, INVOICES)["notas"], F.from_json(braces, INVOICES)["notas"], F.array().cast("array<struct<numero:string,emitente:string,itens:array<" + ITEM + ">>>"))
     item = lambda i: F.struct(F.trim(i["descricao"]).alias("text"), number_or_zero(i["quantidade"]).alias("quantity"), (number_or_zero(i["valorTotal"]) * 100).cast("bigint").alias("cents"))
     described = lambda i: i.isNotNull() & (F.coalesce(F.trim(i["descricao"]), F.lit("")) != "")
     note = lambda n: F.struct(without_null_words(n["numero"]).alias("number"), clean_name(n["emitente"]).alias("emitter"), F.transform(F.filter(F.coalesce(n["itens"], F.array().cast(f"array<{ITEM}>")), described), item).alias("items"))

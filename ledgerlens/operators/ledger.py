@@ -32,7 +32,7 @@ def notes(lines: DataFrame) -> DataFrame:
 
     One shuffle; the first line is chosen by min_by, so nothing is sorted but a note's own items.
     """
-    header = F.struct("nf_clean", "category", "header_cents", "issue_date", "entry_date", "due_date", "branch")
+    header = F.struct("nf_clean", "category", "header_cents", "issue_date", "entry_date", "due_date", "branch", *[c for c in ("entity_id",) if c in lines.columns])
     item = F.when(F.col("item_cents") > 0, F.struct("seq", "item_cents"))
     grouped = payable(lines).groupBy("period", "nf", "entity_norm").agg(F.min("seq").alias("seq"), F.min_by(header, "seq").alias("h"), F.sum("item_cents").alias("item_sum"), F.array_sort(F.collect_list(item)).alias("i"))
     return grouped.select("seq", "period", "nf", F.col("entity_norm").alias("entity"), "h.*", "item_sum", F.transform("i", lambda x: x["item_cents"]).alias("items"))
@@ -53,6 +53,6 @@ def collisions(lines: DataFrame, number: Column) -> DataFrame:
 
 
 def search(lines: DataFrame, target: str) -> DataFrame:
-    """Lines that hold the target, with why: the number, the entity's code, or a part of the entity's name."""
-    reason = F.when(clean_number(F.col("nf")) == target, "number").when(F.col("entity_code") == target, "code").when(F.contains(F.upper("entity"), F.lit(target.upper())), "entity")
+    """Lines that hold the target, with why: the number as it stands or cleaned, the entity's code, or a part of its name."""
+    reason = F.when((F.col("nf") == target) | (clean_number(F.col("nf")) == target), "number").when(F.col("entity_code") == target, "code").when(F.contains(F.upper("entity"), F.lit(target.upper())), "entity")
     return lines.withColumn("reason", reason).where(F.col("reason").isNotNull())

@@ -9,20 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import day_distance
-from ..functions.predicates import exact_value, kind_ok, ledger_kind, names_match, same_entity, value_basis
-from ..functions.text import digits, norm_company
+from ..functions.predicates import TOLERANCE, exact_value, first_words, is_card_file, is_tax, kind_ok, ledger_kind, names_match, same_entity, value_basis
+from ..functions.text import digits, entity_core, norm, norm_company
 
-#: Characters of a company's name that files are looked up by.
-GRAM = 4
+#: Characters of a company's name that files are looked up by, and of a name that other names are looked up by.
+GRAM, NAME_GRAM = 4, 24
+
+
+def with_names(df: DataFrame, column: str) -> DataFrame:
+    """A name normalised and its core as columns, computed once a row before any join."""
+    return df.withColumns({f"{column}_name": norm(F.col(column)), f"{column}_core": entity_core(F.col(column))})
 
 
 def with_agreement(pairs: DataFrame) -> DataFrame:
-    """Value basis, kind and entity agreement of joined notes and documents."""
+    """Value basis, kind and entity agreement of joined notes and documents, which carry with_names()."""
     return pairs.withColumns({
         "basis": value_basis(F.col("cents"), F.col("header_cents"), F.col("item_sum"), F.col("items")),
         "kind_agrees": kind_ok(F.col("kind"), ledger_kind(F.col("category"))),
-        "entity_agrees": same_entity(F.col("emitter"), F.col("emitter_id"), F.col("entity"), F.col("entity_id")),
+        "entity_agrees": same_entity(F.col("emitter_name"), F.col("emitter_id"), F.col("entity_name"), F.col("entity_id"), F.col("emitter_core"), F.col("entity_core")),
     })
 
 
@@ -40,8 +44,9 @@ def number_candidates(notes: DataFrame, docs: DataFrame) -> DataFrame:
     the value agrees. A note without an entity takes any. Within a tier the better score goes first, then
     the earlier document; availability never changes this order, so it is a fixed list of preferences.
     """
-    d = document_keys(docs).withColumnsRenamed({"nf": "doc_nf", "period": "doc_period"})
-    pairs = with_agreement(notes.join(d, (notes.nf_clean == d.key) & (notes.period == d.doc_period)))
+    d = document_keys(with_names(docs, "emitter")).withColumnsRenamed({"nf": "doc_nf", "period": "doc_period"})
+    n = with_names(notes, "entity")
+    pairs = with_agreement(n.join(d, (n.nf_clean == d.key) & (n.period == d.doc_period)))
     named = F.col("emitter").isNotNull() | F.col("emitter_id").isNotNull()
     value_ok = F.col("basis").isNotNull()
     compatible = F.when(F.coalesce(F.col("entity"), F.lit("")) == "", True).when(named, F.col("entity_agrees")).otherwise((F.coalesce("cents", F.lit(0)) <= 0) | value_ok)
@@ -61,63 +66,102 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("n", F.row_number().over(rank)).where("n = 1").drop("n")
 
 
-def assign(candidates: DataFrame, keep) -> DataFrame:
+def assign(candidates: DataFrame, keep, asker: str = "seq", asked_for: str = "doc_seq", order: list[Column] | None = None) -> DataFrame:
     """One document for each note, one note for each document, earlier notes first.
 
     The sequential pass equals deferred acceptance with documents that prefer earlier notes: every free note
     asks for its next choice, a document keeps the earliest asker, the refused ask on. Rounds end when none
-    is refused. keep() cuts the lineage between rounds.
+    is refused. keep() cuts the lineage between rounds. asker and asked_for exchange the sides, and order is
+    then the askers' order of wishes.
     """
-    rank = Window.partitionBy("seq").orderBy(*preference())
+    rank = Window.partitionBy(asker).orderBy(*(order or preference()))
     wishes = keep(candidates.withColumn("n", F.row_number().over(rank)))
-    at = keep(wishes.groupBy("seq").agg(F.lit(1).alias("n")))
+    at = keep(wishes.groupBy(asker).agg(F.lit(1).alias("n")))
     while True:
-        asked = wishes.join(at, ["seq", "n"])
-        held = asked.groupBy("doc_seq").agg(F.min("seq").alias("winner"))
-        judged = keep(asked.join(held, "doc_seq").withColumn("won", F.col("seq") == F.col("winner")).drop("winner"))
+        asked = wishes.join(at, [asker, "n"])
+        held = asked.groupBy(asked_for).agg(F.min(asker).alias("winner"))
+        judged = keep(asked.join(held, asked_for).withColumn("won", F.col(asker) == F.col("winner")).drop("winner"))
         if judged.where(~F.col("won")).isEmpty():
             return judged.drop("n", "won")
-        at = keep(judged.select("seq", F.when(F.col("won"), F.col("n")).otherwise(F.col("n") + 1).alias("n")))
+        at = keep(judged.select(asker, F.when(F.col("won"), F.col("n")).otherwise(F.col("n") + 1).alias("n")))
 
 
-def global_number_match(docs: DataFrame, notes: DataFrame) -> DataFrame:
-    """A document's first note of any period by number, alternative number, then order."""
-    d = document_keys(docs).withColumnsRenamed({"nf": "doc_nf", "period": "doc_period"})
-    pairs = with_agreement(d.join(notes, d.key == notes.nf_clean))
+def first_for_document(pairs: DataFrame, *order: str) -> DataFrame:
+    """Each document's first pair, whoever else wants the note."""
+    place = Window.partitionBy("doc_seq").orderBy(*order)
+    return pairs.withColumn("n", F.row_number().over(place)).where("n = 1").drop("n")
+
+
+def global_number_pairs(docs: DataFrame, notes: DataFrame) -> DataFrame:
+    """(doc_seq, seq, rank, tier): notes of any period by number, alternative number, then order."""
+    d = document_keys(with_names(docs, "emitter")).withColumnsRenamed({"nf": "doc_nf", "period": "doc_period"})
+    n = with_names(notes, "entity")
+    pairs = with_agreement(d.join(n, d.key == n.nf_clean))
     named = F.col("emitter").isNotNull() | F.col("emitter_id").isNotNull()
     value_ok = F.col("basis").isNotNull()
     compatible = F.when(named, (F.coalesce(F.col("entity"), F.lit("")) == "") | F.col("entity_agrees")).otherwise((F.coalesce("cents", F.lit(0)) <= 0) | value_ok)
     pairs = pairs.withColumn("tier", F.when(compatible, 0).when(named & value_ok, 1)).where(F.col("tier").isNotNull())
-    order = Window.partitionBy("doc_seq").orderBy("rank", "tier", "seq")
-    return pairs.withColumn("n", F.row_number().over(order)).where("n = 1").select("doc_seq", "seq", "rank", "tier")
+    return pairs.select("doc_seq", "seq", "rank", "tier")
+
+
+def global_number_match(docs: DataFrame, notes: DataFrame) -> DataFrame:
+    """A document's first note of any period by number, alternative number, then order."""
+    return first_for_document(global_number_pairs(docs, notes), "rank", "tier", "seq")
+
+
+def band_pairs(docs: DataFrame, notes: DataFrame, days: int = 3) -> DataFrame:
+    """(doc_seq, seq) of documents without number and order: notes of the month entered within some days, entity and value agreeing.
+
+    A document is listed under each day of its band, so the join is on period and day.
+    """
+    d = with_names(docs.where("nf is null and order_nr is null and doc_date is not null"), "emitter").withColumnsRenamed({"nf": "doc_nf", "period": "doc_period"})
+    d = d.withColumn("_day", F.explode(F.sequence(F.date_sub("doc_date", days), F.date_add("doc_date", days))))
+    n = with_names(notes.where(F.coalesce(F.col("entity"), F.lit("")) != ""), "entity")
+    pairs = with_agreement(d.join(n, (d.doc_period == n.period) & (d["_day"] == n.entry_date)))
+    return pairs.where("entity_agrees and basis is not null").select("doc_seq", "seq")
 
 
 def band_match(docs: DataFrame, notes: DataFrame, days: int = 3) -> DataFrame:
-    """Documents without any number: the first note of the month entered within some days, entity and value agreeing."""
-    d = docs.where("nf is null and nf_alt is null and order_nr is null and doc_date is not null").withColumnsRenamed({"nf": "doc_nf", "period": "doc_period"})
-    close = day_distance(d.doc_date, notes.entry_date) <= days
-    pairs = with_agreement(d.join(notes, (d.doc_period == notes.period) & close & (F.coalesce(notes.entity, F.lit("")) != "")))
-    order = Window.partitionBy("doc_seq").orderBy("seq")
-    return pairs.where("entity_agrees and basis is not null").withColumn("n", F.row_number().over(order)).where("n = 1").select("doc_seq", "seq")
+    """The first note of each document that has no number at all."""
+    return first_for_document(band_pairs(docs.where("nf_alt is null"), notes, days), "seq")
 
 
-def value_entity_recovery(docs: DataFrame, notes: DataFrame) -> DataFrame:
-    """Documents whose number fails: the first note of an exact value and an agreeing entity.
+def value_entity_pairs(docs: DataFrame, notes: DataFrame) -> DataFrame:
+    """(doc_seq, seq, place): notes of an exact value and an agreeing entity.
 
-    First in the document's own month, by any value of the note; then in any month, by header. Both are
+    Place 0 is in the document's own month, by any value of the note; place 1 in any month, by header. Both are
     joins on cents: a note is listed under each of its values and those a tolerance away.
     """
-    d = docs.where("cents > 0 and (emitter is not null or emitter_id is not null)").withColumnsRenamed({"nf": "doc_nf", "period": "doc_period"})
-    n = notes.where(F.coalesce(F.col("entity"), F.lit("")) != "")
+    d = with_names(docs.where("cents > 0 and (emitter is not null or emitter_id is not null)"), "emitter").withColumnsRenamed({"nf": "doc_nf", "period": "doc_period"})
+    n = with_names(notes.where(F.coalesce(F.col("entity"), F.lit("")) != ""), "entity")
     values = F.array_distinct(F.concat(F.array("header_cents", "item_sum"), "items"))
-    around = F.array_distinct(F.flatten(F.transform(F.filter(values, lambda v: v > 0), lambda v: F.sequence(v - 2, v + 2))))
+    around = F.array_distinct(F.flatten(F.transform(F.filter(values, lambda v: v > 0), lambda v: F.sequence(v - TOLERANCE, v + TOLERANCE))))
     listed = n.withColumn("at", F.explode(around))
     month = d.join(listed, (d.doc_period == listed.period) & (d.cents == listed["at"])).withColumn("place", F.lit(0)).drop("at")
     anywhere = d.join(n, d.cents == n.header_cents).withColumn("place", F.lit(1))
-    pairs = month.unionByName(anywhere).where(names_match(F.col("emitter"), F.col("entity")) | F.coalesce(F.col("emitter_id") == F.col("entity_id"), F.lit(False)))
-    pairs = pairs.where(exact_value(F.col("cents"), F.col("header_cents"), F.col("item_sum"), F.col("items")))
-    order = Window.partitionBy("doc_seq").orderBy("place", "seq")
-    return pairs.withColumn("n", F.row_number().over(order)).where("n = 1").select("doc_seq", "seq", "place")
+    pairs = month.unionByName(anywhere)
+    pairs = pairs.where(same_entity(F.col("emitter_name"), F.col("emitter_id"), F.col("entity_name"), F.col("entity_id"), F.col("emitter_core"), F.col("entity_core")))
+    return pairs.where(exact_value(F.col("cents"), F.col("header_cents"), F.col("item_sum"), F.col("items"))).select("doc_seq", "seq", "place")
+
+
+def value_entity_recovery(docs: DataFrame, notes: DataFrame) -> DataFrame:
+    """Documents whose number fails: the first note of an exact value and an agreeing entity."""
+    return first_for_document(value_entity_pairs(docs, notes), "place", "seq")
+
+
+def fallback_wishes(docs: DataFrame, notes: DataFrame) -> DataFrame:
+    """(doc_seq, seq, via, wish): all notes a document may take when the month's numbers fail, in its order of wishes.
+
+    First by number in any period, then by day, then by value and entity. A note that several legs find is wished once.
+    """
+    wish = lambda leg, a, b: F.struct(F.lit(leg).alias("leg"), a.cast("int").alias("a"), b.cast("int").alias("b"), F.col("seq"))
+    none = F.lit(0)
+    pairs = global_number_pairs(docs, notes).select("doc_seq", "seq", wish(0, F.col("rank"), F.col("tier")).alias("wish"))
+    pairs = pairs.unionByName(band_pairs(docs, notes).select("doc_seq", "seq", wish(1, none, none).alias("wish")))
+    pairs = pairs.unionByName(value_entity_pairs(docs, notes).select("doc_seq", "seq", wish(2, F.col("place"), none).alias("wish")))
+    best = pairs.groupBy("doc_seq", "seq").agg(F.min("wish").alias("wish"))
+    names = F.array(F.lit("nf-global"), F.lit("date"), F.lit("value-entity"))
+    return best.select("doc_seq", "seq", F.get(names, F.col("wish.leg")).alias("via"), "wish")
 
 
 def consolidation(bills: DataFrame, notes: DataFrame, most: int = 12) -> DataFrame:
@@ -130,26 +174,137 @@ def consolidation(bills: DataFrame, notes: DataFrame, most: int = 12) -> DataFra
     members = notes.where("header_cents > 0").withColumn("n", F.row_number().over(pool)).where(F.col("n") <= most)
     grouped = members.groupBy("period", "entity").agg(F.array_sort(F.collect_list(F.struct("seq", "nf", "header_cents"))).alias("pool")).where(F.size("pool") >= 2)
     rows = bills.where("cents > 0").join(grouped, ["period", "entity"])
-    masks = F.expr("sequence(1, shiftleft(1, size(pool)) - 1)")
+    rows = rows.withColumn("best", subset(F.col("pool"), F.col("cents"), F.lit(False))).where(F.col("best").isNotNull())
+    chosen = F.filter("pool", lambda _, i: F.getbit(F.col("best.mask").cast("bigint"), i) == 1)
+    return rows.select(*bills.columns, F.col("best.size").alias("members"), F.array_join(F.transform(chosen, lambda x: x["nf"]), ", ").alias("numbers"))
 
-    def chosen(mask: Column) -> Column:
-        return F.filter(F.col("pool"), lambda _, i: F.getbit(mask.cast("bigint"), i) == 1)
 
-    def total(mask: Column) -> Column:
-        return F.aggregate(chosen(mask), F.lit(0).cast("bigint"), lambda s, x: s + x["header_cents"])
+def subset(pool: Column, cents: Column, forced: Column) -> Column:
+    """(size, mask) of the fewest members of a pool, two at least, that add up to cents; the first is in if forced."""
+    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(pool)) - 1)
+    inside = lambda m: F.filter(pool, lambda _, i: F.getbit(m.cast("bigint"), i) == 1)
+    total = lambda m: F.aggregate(inside(m), F.lit(0).cast("bigint"), lambda s, x: s + x["header_cents"])
+    fits = F.filter(masks, lambda m: (F.bit_count(m) >= 2) & (~forced | (m % 2 == 1)) & (F.abs(total(m) - cents) <= F.bit_count(m) * TOLERANCE + 1))
+    return F.array_min(F.transform(fits, lambda m: F.struct(F.bit_count(m).alias("size"), m.alias("mask"))))
 
-    fits = F.filter(masks, lambda m: (F.bit_count(m) >= 2) & (F.abs(total(m) - F.col("cents")) <= F.bit_count(m) * 2 + 1))
-    best = F.array_min(F.transform(fits, lambda m: F.struct(F.bit_count(m).alias("size"), m.alias("mask"))))
-    rows = rows.withColumn("best", best).where(F.col("best").isNotNull())
-    return rows.select(*bills.columns, F.col("best.size").alias("members"), F.array_join(F.transform(chosen(F.col("best.mask")), lambda x: x["nf"]), ", ").alias("numbers"))
+
+def consolidated(bills: DataFrame, notes: DataFrame, keep, most: int = 12) -> DataFrame:
+    """(bill, members): bills that stand for several notes of one entity and month, each note for one bill.
+
+    bills: (bill, turn, period, entity, cents, base) in the order of turn; base is the note (seq, nf, header_cents)
+    that must be among the members, or NULL. notes are the free ones. Of an entity's free notes the first `most`
+    are tried, behind the base. A round settles in every (period, entity) the first bill that adds up and those
+    before it that do not, so there are as many rounds as bills that one entity consolidates in a month.
+    """
+    place = Window.partitionBy("period", "entity").orderBy("seq")
+    open_bills = keep(bills.where("cents > 0"))
+    free = keep(notes.where("header_cents > 0").select("period", "entity", "seq", "nf", "header_cents"))
+    done = None
+    while True:
+        first = free.withColumn("n", F.row_number().over(place)).where(F.col("n") <= most)
+        pools = first.groupBy("period", "entity").agg(F.array_sort(F.collect_list(F.struct("seq", "nf", "header_cents"))).alias("free"))
+        rows = open_bills.join(pools, ["period", "entity"])
+        forced = F.col("base").isNotNull()
+        rows = rows.withColumn("pool", F.slice(F.when(forced, F.concat(F.array("base"), "free")).otherwise(F.col("free")), 1, most)).where(F.size("pool") >= 2)
+        solved = rows.withColumn("best", subset(F.col("pool"), F.col("cents"), forced)).where("best is not null")
+        winner = keep(solved.groupBy("period", "entity").agg(F.min_by(F.struct("bill", "turn", F.expr("filter(pool, (x, i) -> getbit(cast(best.mask as bigint), i) = 1)").alias("members")), "turn").alias("w")))
+        if winner.isEmpty():
+            return done if done is not None else winner.select("w.bill", "w.members")
+        now = winner.select("w.bill", "w.members")
+        done = now if done is None else done.unionByName(now)
+        taken = winner.select(F.explode("w.members.seq").alias("seq"))
+        free = keep(free.join(taken, "seq", "left_anti"))
+        # a group without a winner has only bills that do not add up, and nothing of it will change
+        open_bills = keep(open_bills.join(winner.select("period", "entity", F.col("w.turn").alias("settled")), ["period", "entity"]).where(F.col("turn") > F.col("settled")).drop("settled"))
+
+
+def reconciled(notes: DataFrame, docs: DataFrame, keep) -> DataFrame:
+    """(doc_seq, seq, via, basis, kind_agrees, members): every document and note once, with what became of it.
+
+    * Notes take documents of their month by number, in order of seq (via nf or ocp).
+    * Card statements and taxes among the other documents stand by themselves (via card, tax).
+    * The others take free notes in order of doc_seq: by number in any period, by day, by value and entity.
+    * A document worth more than its note, or without one, may be the bill of several notes of one entity and month:
+      bills of number matches by their notes' order, then the rest by doc_seq (members; via consolidated without a note).
+    * What is left has no via: documents without a note and notes without a document; members of a bill are not left.
+
+    Bills come after all single matches here, so a bill never takes a note that a later document could have had.
+    """
+    n, d = keep(notes), keep(docs)
+    first = keep(assign(number_candidates(n, d), keep).select("doc_seq", "seq", "via"))
+    rest = keep(d.join(first, "doc_seq", "left_anti").withColumn("apart", F.when(is_card_file(F.col("file")), "card").when(is_tax(F.col("kind"), F.col("nf"), F.col("emitter"), F.col("file")), "tax")))
+    plain, free = rest.where("apart is null").drop("apart"), n.join(first, "seq", "left_anti")
+    later = assign(fallback_wishes(plain, free), keep, "doc_seq", "seq", [F.col("wish")]).select("doc_seq", "seq", "via")
+    single = keep(first.withColumn("phase", F.lit(0)).unionByName(later.withColumn("phase", F.lit(1))))
+    d2 = d.withColumnsRenamed({"nf": "doc_nf", "period": "doc_period"})
+    pairs = keep(with_agreement(single.join(with_names(d2, "emitter"), "doc_seq").join(with_names(n, "entity"), "seq")))
+    free = free.join(later, "seq", "left_anti")
+    base = F.struct("seq", "nf", "header_cents")
+    turn = F.struct("phase", F.when(F.col("phase") == 0, F.col("seq")).otherwise(F.col("doc_seq")).alias("at"))
+    bills = pairs.where(F.col("basis").isNull() & (F.col("cents") > F.col("header_cents") + TOLERANCE)).select(F.col("doc_seq").alias("bill"), turn.alias("turn"), "period", "entity", "cents", base.alias("base"))
+    unmatched = plain.join(single, "doc_seq", "left_anti")
+    billed = billed_entities(unmatched, free)
+    lone = billed.select(F.col("doc_seq").alias("bill"), F.struct(F.lit(1).alias("phase"), F.col("doc_seq").alias("at")).alias("turn"), "period", "entity", "cents", F.lit(None).cast("struct<seq:bigint,nf:string,header_cents:bigint>").alias("base"))
+    found = keep(consolidated(bills.unionByName(lone), free, keep))
+    numbers = F.array_join(F.transform("members", lambda x: x["nf"]), ", ")
+    rows = pairs.join(found.select(F.col("bill").alias("doc_seq"), numbers.alias("members")), "doc_seq", "left").select("doc_seq", "seq", "via", "basis", "kind_agrees", "members")
+    by_bill = unmatched.join(found, unmatched.doc_seq == found.bill).select("doc_seq", F.get("members", 0)["seq"].alias("seq"), F.lit("consolidated").alias("via"), F.lit(None).cast("string").alias("basis"), F.lit(True).alias("kind_agrees"), numbers.alias("members"))
+    blank = {"basis": F.lit(None).cast("string"), "kind_agrees": F.lit(None).cast("boolean"), "members": F.lit(None).cast("string")}
+    apart = rest.where("apart is not null").select("doc_seq", F.lit(None).cast("bigint").alias("seq"), F.col("apart").alias("via")).withColumns(blank)
+    no_note = unmatched.join(found, unmatched.doc_seq == found.bill, "left_anti").select("doc_seq", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("via")).withColumns(blank)
+    no_doc = free.join(found.select(F.explode("members.seq").alias("seq")), "seq", "left_anti").select(F.lit(None).cast("bigint").alias("doc_seq"), "seq", F.lit(None).cast("string").alias("via")).withColumns(blank)
+    return rows.unionByName(by_bill).unionByName(apart).unionByName(no_note).unionByName(no_doc)
+
+
+def billed_entities(docs: DataFrame, notes: DataFrame) -> DataFrame:
+    """docs with the entity, of their month's free notes, that the emitter's name stands for: that of the earliest note."""
+    d = docs.where("emitter is not null and cents > 0").select("doc_seq", "period", "emitter", "cents")
+    pairs = name_pairs(d.select(F.col("emitter").alias("name")), notes.where("header_cents > 0").select(F.col("entity").alias("name")))
+    first = notes.where("header_cents > 0").groupBy("period", "entity").agg(F.min("seq").alias("first"))
+    asked = d.join(pairs.withColumnsRenamed({"a": "emitter", "b": "entity"}), "emitter").join(first, ["period", "entity"])
+    return asked.groupBy("doc_seq", "period", "cents").agg(F.min_by("entity", F.struct("first", "entity")).alias("entity"))
 
 
 def annotated(results: DataFrame, alerts: DataFrame, links: DataFrame) -> DataFrame:
-    """Results with false alerts by (nf, file, entity) and manual links by (nf, entity, period)."""
-    a = alerts.select(F.col("period").alias("p"), "nf", "file", "entity", F.lit(True).alias("false_alert"), "reason")
-    out = results.join(a.where("p is not null").drop("p"), ["nf", "file", "entity"], "left")
-    out = out.join(links.select("nf", "entity", "period", F.col("entry").alias("link_entry")), ["nf", "entity", "period"], "left")
-    return out.withColumns({"false_alert": F.coalesce("false_alert", F.lit(False)), "linked": F.col("link_entry").isNotNull()})
+    """Results with false alerts by (period, nf, file, entity) and manual links by (period, nf, entity); absent parts are empty."""
+
+    def noted(rows: DataFrame, notes: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+        said = notes.groupBy(*[F.coalesce(k, F.lit("")).alias(f"_{k}") for k in keys]).agg(F.lit(True).alias("_noted"), *[F.min(c).alias(to) for c, to in values.items()])
+        here = rows.withColumns({f"_{k}": F.coalesce(k, F.lit("")) for k in keys})
+        return here.join(said, [f"_{k}" for k in keys], "left").drop(*[f"_{k}" for k in keys])
+
+    out = noted(results, alerts, ["period", "nf", "file", "entity"], {"reason": "reason"}).withColumnRenamed("_noted", "false_alert")
+    out = noted(out, links, ["period", "nf", "entity"], {"entry": "link_entry"}).withColumnRenamed("_noted", "linked")
+    return out.withColumns({"false_alert": F.coalesce("false_alert", F.lit(False)), "linked": F.coalesce("linked", F.lit(False))})
+
+
+def name_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): the distinct names of two frames (name) that match.
+
+    Two names match only if one holds the other's first words or core, so it holds the first NAME_GRAM characters
+    of them: an equi-join of all stretches of a name with the beginnings of the others.
+    """
+    l, r = (with_names(df.select("name").distinct(), "name").withColumnsRenamed({"name_name": "n", "name_core": "core"}) for df in (left, right))
+
+    def lookups(df: DataFrame) -> DataFrame:
+        short = F.array(F.struct(F.lit(0).alias("kind"), first_words(F.col("n")).alias("part")), F.struct(F.lit(1).alias("kind"), F.col("core").alias("part")))
+        parts = df.select("name", F.explode(short).alias("s")).where("s.part <> ''")
+        return parts.select(F.col("name").alias("short"), "s.kind", F.left("s.part", F.lit(NAME_GRAM)).alias("gram")).distinct()
+
+    def holders(df: DataFrame, lengths: DataFrame) -> DataFrame:
+        every = F.array(F.struct(F.lit(0).alias("kind"), F.col("n").alias("part")), F.struct(F.lit(1).alias("kind"), F.col("core").alias("part")))
+        parts = df.select("name", F.explode(every).alias("s")).where("s.part <> ''").select("name", "s.*").join(F.broadcast(lengths), "kind").where("length(part) >= length")
+        grams = F.expr("array_distinct(transform(sequence(1, length(part) - length + 1), i -> substring(part, i, length)))")
+        return parts.select(F.col("name").alias("long"), "kind", F.explode(grams).alias("gram"))
+
+    def found(long: DataFrame, short: DataFrame) -> DataFrame:
+        asked = lookups(short)
+        lengths = asked.select("kind", F.length("gram").alias("length")).distinct()  # two kinds of NAME_GRAM lengths at most
+        return holders(long, lengths).join(asked, ["kind", "gram"]).select("long", "short").distinct()
+
+    pairs = found(l, r).select(F.col("long").alias("a"), F.col("short").alias("b")).union(found(r, l).select(F.col("short").alias("a"), F.col("long").alias("b"))).distinct()
+    both = pairs.join(l.select(F.col("name").alias("a"), F.col("n").alias("na"), F.col("core").alias("ca")), "a").join(r.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("core").alias("cb")), "b")
+    return both.where(names_match(F.col("na"), F.col("nb"), F.col("ca"), F.col("cb"))).select("a", "b")
 
 
 def company_match(docs: DataFrame, companies: DataFrame) -> DataFrame:

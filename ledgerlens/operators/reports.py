@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_file
 
 KEY = ["file", "folder"]
+#: Reports are apart by these.
+REPORT = ["report_type", "period"]
 
 
 def latest(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -17,19 +19,57 @@ def latest(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old rows that no new row replaces, and the last new row of each key.
+    """Old rows that no new row of their report replaces, and the last new row of each key.
 
     Writing instalments of a file removes the whole file's row and all its earlier instalments; writing the
-    whole file removes its instalments.
+    whole file removes its instalments. Rows of other reports stay as they are.
     """
-    fresh = latest(new, KEY)
-    base = fresh.select(base_file(F.col("file")).alias("b"), F.col("folder").alias("f")).distinct()
-    stays = old.join(base, (base_file(old.file) == base.b) & (old.folder == base.f), "left_anti")
+    fresh = latest(new, [*REPORT, *KEY])
+    base = fresh.select(*REPORT, "folder", base_file(F.col("file")).alias("_base")).distinct()
+    stays = old.withColumn("_base", base_file(F.col("file"))).join(base, [*REPORT, "folder", "_base"], "left_anti").drop("_base")
     return stays.unionByName(fresh)
 
 
-def without(rows: DataFrame, deletions: DataFrame) -> DataFrame:
-    return rows.join(deletions.select(*KEY), KEY, "left_anti")
+def posted(old: DataFrame, new: DataFrame, deletions: DataFrame) -> DataFrame:
+    """A report sent whole: daily ones replace their period, monthly ones lose the deleted keys and take the new rows by key.
+
+    deletions: (report_type, period, file, folder).
+    """
+    fresh = latest(new, [*REPORT, *KEY])
+    daily = old.where("report_type = 'D'").join(fresh.select(*REPORT).distinct(), REPORT, "left_anti")
+    monthly = old.where("report_type <> 'D'").join(deletions.select(*REPORT, *KEY), [*REPORT, *KEY], "left_anti")
+    return daily.unionByName(monthly.join(fresh.select(*REPORT, *KEY), [*REPORT, *KEY], "left_anti")).unionByName(fresh)
+
+
+def purged(rows: DataFrame) -> DataFrame:
+    """Without company reports of the old form, whose period names a company too."""
+    return rows.where(~((F.col("report_type") == "C") & F.contains("period", F.lit("-"))))
+
+
+def company_reports(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of all monthly reports that belong to a company, as one company report a month; found: (seq, company_id)."""
+    monthly = rows.where("report_type = 'M'").join(found.select("seq", "company_id"), "seq")
+    return latest(monthly.withColumn("report_type", F.lit("C")), [*REPORT, *KEY])
+
+
+def annotated_store(old: DataFrame, new: DataFrame, deletions: DataFrame) -> DataFrame:
+    """Annotations by (period, key): the last new one replaces what there was, and deleted keys go before that."""
+    at = ["period", "key"]
+    fresh = latest(new.where("period <> '' and key <> ''"), at)
+    stays = old.join(deletions.select(*at), at, "left_anti").join(fresh.select(*at), at, "left_anti")
+    return stays.unionByName(fresh)
+
+
+def filed_days(files: DataFrame) -> DataFrame:
+    """files (day, seq) with undated ones on the first day of the month that most dated ones have; today without any."""
+    months = files.where("day is not null").select(F.date_format("day", "yyyy-MM").alias("month"), "seq")
+    fallback = predominant_month(months).select(F.to_date(F.concat("month", F.lit("-01"))).alias("_most"))
+    return files.crossJoin(F.broadcast(fallback)).withColumn("day", F.coalesce("day", "_most", F.current_date())).drop("_most")
+
+
+def to_reread(rows: DataFrame, forced: Column) -> DataFrame:
+    """Rows that must be read again: with forced reading those whose origin is no answer of a model."""
+    return rows.where(forced & ~F.coalesce(F.col("origin").rlike("(?i)(?<![A-Za-z0-9_])IA(?![A-Za-z0-9_])"), F.lit(False)))
 
 
 def best_by_payload(rows: DataFrame) -> DataFrame:

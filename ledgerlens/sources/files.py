@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,19 @@ from pyspark.sql import functions as F
 PICTURE_BELOW = 15
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, spark.checkpoint.dir; on one machine a temporary one will do."""
+    context = spark.sparkContext
+    said = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
+        if not said and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(said or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        current = context._jsc.sc().getCheckpointDir()
+    return said or current.get()
+
+
 def named(df: DataFrame, root: str) -> DataFrame:
     """name and folder, relative to the root, of a frame with a path column."""
     path = F.regexp_replace("path", r"^[a-z]+:/*", "/")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.dates import file_date, period
+from ..functions.dates import file_date, folder_date, period
 from ..sources.files import named
 
 
@@ -21,7 +21,7 @@ def new_files(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFra
 
 def filed(rows: DataFrame) -> DataFrame:
     """Each file's day by name, then by folder; the period follows."""
-    day = F.coalesce(file_date(F.col("name")), file_date(F.col("folder")))
+    day = F.coalesce(file_date(F.col("name")), folder_date(F.col("folder")))
     return rows.withColumn("day", day).withColumn("period", period(F.col("day")))
 
 

@@ -1,6 +1,10 @@
 """Every query of the document-to-ledger operators against its SQL, and worked cases of single rules."""
 
+import datetime
 import math
+import random
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -8,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates, predicates, text
 from ledgerlens.operators import classify, extract, ledger, matching, reports
-from ledgerlens.plans.catalogue import ORACLE_SQL, QUERIES, keep
+from ledgerlens.plans.catalogue import ORACLE_SQL, QUERIES, STATUSES, keep
 from ledgerlens.sources import csv
 from ledgerlens.streaming import ingest
 
@@ -60,11 +64,15 @@ def test_assignment_equals_the_sequential_pass(spark):
 
 
 def test_summary_adds_up(spark):
+    """Each status against the rows, and the rows against the tables."""
     counts = {r.status: r.n for r in QUERIES["reconcile_summary"](spark, SMALL).collect()}
-    notes, docs = QUERIES["ledger_notes"](spark, SMALL).count(), QUERIES["filename_extract"](spark, SMALL).count()
-    found = sum(n for s, n in counts.items() if s.startswith("found"))
-    assert found + counts["notes without a document"] == notes
-    assert found + counts["documents without a note"] + counts["taxes"] == docs
+    rows = QUERIES["reconcile_rows"](spark, SMALL).collect()
+    assert {r.doc_seq for r in rows} - {None} == {r.doc_seq for r in QUERIES["filename_extract"](spark, SMALL).collect()}
+    assert len({r.doc_seq for r in rows if r.doc_seq is not None}) == sum(r.doc_seq is not None for r in rows)
+    want = Counter(r.via or ("document without a note" if r.seq is None else "note without a document") for r in rows)
+    want["value differs"] = sum(r.seq is not None and r.doc_seq is not None and r.basis is None and r.members is None for r in rows)
+    want["kind differs"] = sum(r.kind_agrees is False for r in rows)
+    assert counts == {s: want[s] for s in STATUSES}
 
 
 @pytest.mark.parametrize(
@@ -132,9 +140,198 @@ def test_companies_by_normalised_names(spark):
 
 
 def test_instalments_replace_a_file(spark):
-    old = spark.createDataFrame([("x.pdf", "f", 1), ("y.pdf", "f", 2), ("x.pdf", "g", 3)], "file string, folder string, seq long")
-    new = spark.createDataFrame([("x.pdf#p1", "f", 4), ("x.pdf#p2", "f", 5), ("x.pdf#p2", "f", 6)], "file string, folder string, seq long")
-    assert {(r.file, r.folder, r.seq) for r in reports.upserted(old, new).collect()} == {("y.pdf", "f", 2), ("x.pdf", "g", 3), ("x.pdf#p1", "f", 4), ("x.pdf#p2", "f", 6)}
+    schema = "report_type string, period string, file string, folder string, seq long"
+    old = spark.createDataFrame([("M", "05", "x.pdf", "f", 1), ("M", "05", "y.pdf", "f", 2), ("M", "05", "x.pdf", "g", 3), ("M", "04", "x.pdf", "f", 7), ("C", "05", "x.pdf", "f", 8)], schema)
+    new = spark.createDataFrame([("M", "05", "x.pdf#p1", "f", 4), ("M", "05", "x.pdf#p2", "f", 5), ("M", "05", "x.pdf#p2", "f", 6)], schema)
+    assert sorted(r.seq for r in reports.upserted(old, new).collect()) == [2, 3, 4, 6, 7, 8]
+
+
+def test_posted_reports(spark):
+    """A daily report is replaced whole; a monthly one loses deleted rows and takes the others by key, instalments or not."""
+    schema = "report_type string, period string, file string, folder string, seq long"
+    old = spark.createDataFrame([("D", "01", "a", "f", 1), ("D", "02", "a", "f", 2), ("M", "05", "a", "f", 3), ("M", "05", "b", "f", 4), ("M", "05", "c", "f", 5), ("M", "04", "b", "f", 6)], schema)
+    new = spark.createDataFrame([("D", "01", "z", "f", 7), ("M", "05", "c", "f", 8), ("M", "05", "a#p1", "f", 9)], schema)
+    gone = spark.createDataFrame([("M", "05", "b", "f")], "report_type string, period string, file string, folder string")
+    assert sorted(r.seq for r in reports.posted(old, new, gone).collect()) == [2, 3, 6, 7, 8, 9]
+
+
+def test_annotation_store(spark):
+    schema = "period string, key string, reason string, seq long"
+    old = spark.createDataFrame([("05", "a", "x", 1), ("05", "b", "x", 2), ("04", "a", "x", 3)], schema)
+    new = spark.createDataFrame([("05", "a", "y", 4), ("05", "a", "z", 5), ("05", "", "no", 6), (None, "c", "no", 7)], schema)
+    gone = spark.createDataFrame([("05", "b"), ("04", "b")], "period string, key string")
+    assert {(r.period, r.key, r.reason) for r in reports.annotated_store(old, new, gone).collect()} == {("05", "a", "z"), ("04", "a", "x")}
+
+
+def test_annotations_of_other_months_do_not_count(spark):
+    rows = spark.createDataFrame([(1, "05", "7", "f", None), (2, "05", None, "f", "e")], "id long, period string, nf string, file string, entity string")
+    alerts = spark.createDataFrame([("05", "7", "f", "", "a"), ("04", "7", "f", None, "b"), ("03", "", "f", "e", "c"), ("05", "", "f", "e", "d"), ("05", None, "f", "e", "e")], "period string, nf string, file string, entity string, reason string")
+    links = spark.createDataFrame([("05", "", "e", "in"), ("04", "7", "", "in")], "period string, nf string, entity string, entry string")
+    assert {(r.id, r.false_alert, r.reason, r.linked) for r in matching.annotated(rows, alerts, links).collect()} == {(1, True, "a", False), (2, True, "d", True)}
+
+
+# -- the whole reconciliation against a sequential pass
+
+
+def plain_norm(s):
+    return " ".join((s or "").upper().split())
+
+
+def plain_core(s):
+    s = plain_norm(s)
+    for p in (rf"\b{text.TAX_ID}\b", rf"\b{text.PERSON_ID}\b", rf"\b(?:{text.CORE_NOISE})\b", r"[.,/\-]"):
+        s = re.sub(p, " ", s)
+    return " ".join(s.split())
+
+
+def plain_names(a, b):
+    a, b = plain_norm(a), plain_norm(b)
+    if not a or not b:
+        return False
+    wa, wb = (" ".join(x.split(" ")[:3]) for x in (a, b))
+    ca, cb = plain_core(a), plain_core(b)
+    return a == b or wa == wb or wb in a or wa in b or bool(ca and cb and (ca in cb or cb in ca))
+
+
+def plain_entity(d, n):
+    return (d["emitter_id"] is not None and d["emitter_id"] == n["entity_id"]) or plain_names(d["emitter"], n["entity"])
+
+
+def plain_exact(c, n):
+    return "header" if n["header_cents"] > 0 and abs(c - n["header_cents"]) <= 2 else "items" if n["item_sum"] > 0 and abs(c - n["item_sum"]) <= 2 else "item" if any(abs(c - v) <= 2 for v in n["items"]) else None
+
+
+def plain_basis(c, n):
+    c, h = c or 0, n["header_cents"]
+    if c <= 0:
+        return None
+    if found := plain_exact(c, n):
+        return found
+    even = [k for k in range(2, 25) if abs(c * k - h) * 10 <= k * 15 + 20]
+    if h > c and even:
+        return f"instalment {even[0]}x"
+    k = (h * 2 + c) // (c * 2)
+    return f"instalment {k}x" if h * 2 > c * 3 and 2 <= k <= 24 and abs(h - k * c) * 100 <= c else None
+
+
+def plain_kind(d, n):
+    k, want = plain_norm(d["kind"]), predicates.KINDS.get(plain_norm(n["category"]))
+    return not want or not k or want == "*" or k == want or k == "NÃO IDENTIFICADO" or (k in ("NF", "NFS") and want in ("NF", "NFS", "FATURA"))
+
+
+def plain_subset(pool, cents, forced):
+    best = None
+    for mask in range(1, 1 << len(pool)):
+        some = [n for i, n in enumerate(pool) if mask >> i & 1]
+        if len(some) >= 2 and (not forced or mask & 1) and abs(sum(n["header_cents"] for n in some) - cents) <= 2 * len(some) + 1 and (best is None or len(some) < len(best)):
+            best = some
+    return best
+
+
+def plain_reconciled(notes, docs):
+    """Note by note, document by document, bill by bill."""
+    notes, docs = sorted(notes, key=lambda n: n["seq"]), sorted(docs, key=lambda d: d["doc_seq"])
+    keys = lambda d: [k for k in (d["nf"], d["nf_alt"], d["order_nr"]) if k is not None]
+    named = lambda d: d["emitter"] is not None or d["emitter_id"] is not None
+    doc_of, note_of, via = {}, {}, {}
+
+    def fits(d, n):
+        return plain_entity(d, n) if named(d) else (d["cents"] or 0) <= 0 or plain_basis(d["cents"], n) is not None
+
+    def take(d, n, how):
+        doc_of[n["seq"]], note_of[d["doc_seq"]], via[d["doc_seq"]] = d, n, how
+
+    for n in notes:
+        found = [(d, "nf" if n["nf_clean"] in (d["nf"], d["nf_alt"]) else "ocp") for d in docs if d["doc_seq"] not in note_of and d["period"] == n["period"] and n["nf_clean"] is not None and n["nf_clean"] in keys(d)]
+        if n["entity"]:
+            good = [x for x in found if fits(x[0], n)]
+            found = good or [x for x in found if plain_basis(x[0]["cents"], n)]
+        if found:
+            score = lambda x: 2 * (plain_basis(x[0]["cents"], n) is not None) + plain_kind(x[0], n)  # noqa: B023, E731
+            take(*[(d, n, how) for d, how in sorted(found, key=lambda x: (-score(x), x[1] != "nf", x[0]["doc_seq"]))][0])
+    apart = {}
+    for d in docs:
+        if d["doc_seq"] in note_of:
+            continue
+        if re.search(r"\bCC\s?\d{2,}\b|\bCART[ÃA]O\s+DE\s+CR[ÉE]DITO\b", (d["file"] or "").upper()):
+            apart[d["doc_seq"]] = "card"
+            continue
+        if d["kind"] == "IMPOSTO" or re.match(r"90[34]9\d\d$", d["nf"] or "") or re.search("GOVERNO|PREFEITURA", (d["emitter"] or "").upper()) or re.search(r"\bGOVERNO\b", (d["file"] or "").upper()):
+            apart[d["doc_seq"]] = "tax"
+            continue
+        free = [n for n in notes if n["seq"] not in doc_of]
+        pick, how = None, None
+        for key in keys(d):
+            here = [n for n in free if n["nf_clean"] == key]
+            if named(d):
+                here = [n for n in here if not n["entity"] or plain_entity(d, n)] or [n for n in here if plain_basis(d["cents"], n)]
+            elif (d["cents"] or 0) > 0:
+                here = [n for n in here if plain_basis(d["cents"], n)]
+            if here:
+                pick, how = here[0], "nf-global"
+                break
+        if not pick and d["nf"] is None and d["order_nr"] is None and d["doc_date"] is not None:
+            here = [n for n in free if n["period"] == d["period"] and n["entity"] and abs((n["entry_date"] - d["doc_date"]).days) <= 3 and plain_entity(d, n) and plain_basis(d["cents"], n)]
+            pick, how = (here[0], "date") if here else (None, None)
+        if not pick and named(d) and (d["cents"] or 0) > 0:
+            here = [n for n in free if n["entity"] and plain_entity(d, n) and plain_exact(d["cents"], n)]
+            here = [n for n in here if n["period"] == d["period"]] + [n for n in here if n["header_cents"] == d["cents"]]
+            pick, how = (here[0], "value-entity") if here else (None, None)
+        if pick:
+            take(d, pick, how)
+    members, spent = {}, set()
+    first = sorted((d for d in docs if via.get(d["doc_seq"]) in ("nf", "ocp")), key=lambda d: note_of[d["doc_seq"]]["seq"])
+    for d in first + [d for d in docs if d not in first and d["doc_seq"] not in apart]:
+        base = note_of.get(d["doc_seq"])
+        if base and (plain_basis(d["cents"], base) or (d["cents"] or 0) <= base["header_cents"] + 2) or (d["cents"] or 0) <= 0:
+            continue
+        free = [n for n in notes if n["seq"] not in doc_of and n["header_cents"] > 0 and n["period"] == d["period"]]
+        if base:
+            free = [n for n in notes if n["seq"] not in doc_of and n["header_cents"] > 0 and n["period"] == base["period"]]
+        entity = base["entity"] if base else next((n["entity"] for n in free if d["emitter"] is not None and plain_names(d["emitter"], n["entity"])), None)
+        pool = [n for n in free if n["entity"] == entity and n["seq"] not in spent]
+        pool = (([base] if base else []) + pool)[:12]
+        if entity is not None and (some := plain_subset(pool, d["cents"], bool(base))):
+            members[d["doc_seq"]] = some
+            spent.update(n["seq"] for n in some)
+    out = set()
+    for d in docs:
+        i, some = d["doc_seq"], members.get(d["doc_seq"])
+        numbers = ", ".join(n["nf"] for n in some) if some else None
+        if i in note_of:
+            out.add((i, note_of[i]["seq"], via[i], plain_basis(d["cents"], note_of[i]), plain_kind(d, note_of[i]), numbers))
+        elif some:
+            out.add((i, some[0]["seq"], "consolidated", None, True, numbers))
+        else:
+            out.add((i, None, apart.get(i), None, None, None))
+    return out | {(None, n["seq"], None, None, None, None) for n in notes if n["seq"] not in doc_of and n["seq"] not in spent}
+
+
+def crowded(r, count):
+    """Notes and documents of few numbers, names, days and values, so that most want the same."""
+    names = ["ALFA REDES LTDA", "ALFA", "BETA S.A.", "GAMA COMERCIO", "", "DELTA 02.328.280/0001-97"]
+    day = lambda: datetime.date(2026, 5, r.randrange(1, 9))
+    notes, docs = [], []
+    for i in range(count):
+        items = [r.choice([1000, 2000, 3000, 4500]) for _ in range(r.randrange(1, 4))]
+        notes.append({"seq": i, "period": r.choice(["05", "06"]), "nf": str(r.randrange(12)), "nf_clean": r.choice([str(r.randrange(1, 12)), None]), "entity": r.choice(names), "entity_id": r.choice([None, None, "1", "2"]), "category": r.choice(["FATURA", "NOTA FISCAL RFB", "X"]), "header_cents": r.choice([sum(items), 1000, 2000, 6000]), "item_sum": sum(items), "items": items, "entry_date": day()})
+        docs.append({"doc_seq": i, "period": r.choice(["05", "06"]), "nf": r.choice([None, str(r.randrange(1, 15)), "903912"]), "nf_alt": r.choice([None, None, str(r.randrange(1, 12))]), "order_nr": r.choice([None, None, str(r.randrange(1, 12))]), "emitter": r.choice([None, "ALFA", "BETA", "GAMA", "DELTA", "PREFEITURA"]), "emitter_id": r.choice([None, None, "1", "2"]), "cents": r.choice([None, 0, 1000, 2000, 3000, 5000, 6000, 8000, 500, 9000]), "kind": r.choice(["NF", "FATURA", "IMPOSTO", None, "NFS"]), "doc_date": r.choice([day(), None]), "file": r.choice(["a.pdf", "CC 278.pdf", "b.pdf", "c.pdf", "GOVERNO x.pdf"]), "folder": "f"})
+    return notes, docs
+
+
+NOTE_SCHEMA = "seq long, period string, nf string, nf_clean string, entity string, entity_id string, category string, header_cents long, item_sum long, items array<long>, entry_date date"
+DOC_SCHEMA = "doc_seq long, period string, nf string, nf_alt string, order_nr string, emitter string, emitter_id string, cents long, kind string, doc_date date, file string, folder string"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reconciliation_equals_the_sequential_pass(spark, seed):
+    notes, docs = crowded(random.Random(seed), 70)
+    tuples = lambda rows, schema: [tuple(x[c.split()[0]] for c in schema.split(", ")) for x in rows]
+    got = matching.reconciled(spark.createDataFrame(tuples(notes, NOTE_SCHEMA), NOTE_SCHEMA), spark.createDataFrame(tuples(docs, DOC_SCHEMA), DOC_SCHEMA), keep).collect()
+    rows = {(r.doc_seq, r.seq, r.via, r.basis, r.kind_agrees, r.members) for r in got}
+    want = plain_reconciled(notes, docs)
+    assert len(got) == len(rows) and rows == want
+    assert {x[2] for x in want} >= {"nf", "value-entity", "card", "tax", None} and any(x[5] for x in want)
 
 
 def test_cut_payload(spark):
