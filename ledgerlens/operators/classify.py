@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import PERSON_ID, TAX_ID, B, E, absent, found, norm_ascii
+from ..functions.text import PERSON_ID, TAX_ID, B, E, absent, bound, found, norm_ascii
 
 
 def w(words: str) -> str:
@@ -64,11 +64,6 @@ SLIP = "NOSSO NUMERO|FICHA DE COMPENSA|" + w("CEDENTE") + "|BENEFICIARIO|" + w("
 SLIP_PARTS = (r"\d{5}[.\s]\d{5}\s+\d{5}[.\s]\d{6}\s+\d{5}[.\s]\d{6}\s+\d\s+\d{14}", r"NOSSO NUMERO\D{0,8}[\d./-]{6,}", r"VENCIMENTO\D{0,8}\d{2}[/.]\d{2}[/.]\d{2,4}")
 
 
-def bound(value: Column, body) -> Column:
-    """body of a value that is computed once, not wherever body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def classified(text: Column, emitter: Column) -> Column:
     """(kind, evidence, origin): the first strong mark, a public emitter, the first weak mark."""
     return bound(norm_ascii(text), lambda t: verdict_of(t, norm_ascii(emitter)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..functions.text import absent, digits, no_zeros, norm
+from ..functions.text import absent, bound, digits, no_zeros, norm
 from .extract import due_key, json_text, number_or_zero, without_null_words
 
 MAP = "map<string,string>"
@@ -122,10 +122,19 @@ ANSWER = f"struct<tipo:string,emitente:string,cnpj:string,dataEmissao:string,dat
 
 def answers(c: Column) -> Column:
     """A full reading of a document: kind of the known ones, numbers as digits, distinct instalments by due date."""
-    a = F.from_json(json_text(c), ANSWER)
-    parts = F.filter(F.coalesce(a["parcelas"], F.array().cast(f"array<{PART}>")), lambda x: due_key(x["vencimento"]).isNotNull())
-    own = F.transform(parts, lambda x: F.coalesce(F.concat(F.lit("n"), absent(F.trim(x["nossoNumero"]))), F.concat_ws("|", F.lit("d"), x["vencimento"], number_or_zero(x["valor"]).cast("string"))))
-    first = F.filter(parts, lambda x, i: F.array_position(own, F.get(own, i)) == i + 1)
+    return bound(json_text(c), lambda t: bound(F.from_json(t, ANSWER), lambda a: bound(distinct_parts(a["parcelas"]), lambda first: clean_answer(a, first))))
+
+
+def distinct_parts(parts: Column) -> Column:
+    """Instalments with a due date, the first of each own number, or else of each due date and value."""
+    due = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda x: due_key(x["vencimento"]).isNotNull())
+    key = lambda x: F.coalesce(F.concat(F.lit("n"), absent(F.trim(x["nossoNumero"]))), F.concat_ws("|", F.lit("d"), x["vencimento"], number_or_zero(x["valor"]).cast("string")))
+    keyed = F.transform(due, lambda x: F.struct(key(x).alias("key"), x.alias("part")))
+    fresh = lambda every: F.filter(every, lambda x, i: F.array_position(every["key"], x["key"]) == i + 1)
+    return F.transform(bound(keyed, fresh), lambda x: x["part"])
+
+
+def clean_answer(a: Column, first: Column) -> Column:
     tax_id = digits(a["cnpj"])
     return F.struct(
         known_kind(a["tipo"]).alias("kind"), cut(a["emitente"], 1 << 20).alias("emitter"), F.when(F.length(tax_id).isin(11, 14), tax_id).otherwise("").alias("tax_id"), cut(a["dataEmissao"], 40).alias("issued"), cut(a["dataVencimento"], 40).alias("due"),
@@ -158,7 +167,7 @@ NOTE = "struct<numero:string,dataEmissao:string,emitente:struct<razaoSocial:stri
 
 def summary_notes(c: Column) -> Column:
     """Notes of a short reading: items are descriptions, ids that are none are blank, totals that are none are zero."""
-    notes = F.coalesce(F.from_json(json_text(c), f"struct<notas:array<{NOTE}>>")["notas"], F.array().cast(f"array<{NOTE}>"))
+    notes = F.coalesce(bound(json_text(c), lambda t: F.from_json(t, f"struct<notas:array<{NOTE}>>"))["notas"], F.array().cast(f"array<{NOTE}>"))
     said = lambda x: F.coalesce(without_null_words(x), F.lit(""))
     valid = lambda x: F.when(F.coalesce(said(x).rlike(f"^(?:{text.TAX_ID}|{text.PERSON_ID})$"), F.lit(False)), said(x)).otherwise("")
     lines = lambda n: F.filter(F.transform(F.coalesce(n["itens"], F.array().cast("array<struct<descricao:string>>")), lambda i: said(i["descricao"])), lambda d: d != "")
@@ -168,9 +177,12 @@ def summary_notes(c: Column) -> Column:
 
 def kind_answer(c: Column) -> Column:
     """(kind, confidence) of a classifier's answer; a kind that is none of the known is unknown with low confidence."""
-    a = F.from_json(json_text(c), "struct<category:string,confidence:string>")
-    known = F.coalesce(a["category"].isin(*KINDS, UNKNOWN), F.lit(False))
-    return F.struct(F.when(known, a["category"]).otherwise(UNKNOWN).alias("kind"), F.when(known, a["confidence"]).otherwise(UNSURE).alias("confidence"))
+
+    def judged(a: Column) -> Column:
+        known = F.coalesce(a["category"].isin(*KINDS, UNKNOWN), F.lit(False))
+        return F.struct(F.when(known, a["category"]).otherwise(UNKNOWN).alias("kind"), F.when(known, a["confidence"]).otherwise(UNSURE).alias("confidence"))
+
+    return bound(json_text(c), lambda t: bound(F.from_json(t, "struct<category:string,confidence:string>"), judged))
 
 
 def typed_fields(c: Column, kind: Column) -> Column:

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates, predicates, text
 from ledgerlens.operators import classify, extract, ledger, matching, reports
+import ledgerlens.plans.documents  # noqa: F401  registers its queries
 from ledgerlens.plans.catalogue import ORACLE_SQL, QUERIES, STATUSES, keep
 from ledgerlens.sources import csv
 from ledgerlens.streaming import ingest
 
 SMALL = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels pages conversations".split()
 
 
 @pytest.fixture(scope="module")
