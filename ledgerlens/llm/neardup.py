@@ -17,6 +17,9 @@ Similar pairs are links, and linked nodes form classes by label propagation.
 Defined cases: a null or wordless unit has the empty set and is linked with nothing; a unit of fewer words
 than a shingle has one shingle of all its words; A-Z are lowered, words end at space and the control
 characters 9 to 13. A pair at the threshold is missed by all bands with the chance `miss_chance` states.
+Repeated rows are units of their own with equal sets; rows of one id and position count as one in what is removed.
+An empty table gives an empty result; very long texts are cut into shingles whole, one at a time; ties of centres
+go to the larger node and those of classes to the least id; other columns, whatever their names, are not looked at.
 Nodes are 64-bit hashes of sets: n distinct sets hold n * n / 2**65 false equalities on average.
 """
 
@@ -35,8 +38,10 @@ from .common import checkpoint, written
 
 #: Signature values compared before each look at the posterior.
 BATCH = 32
-#: Lists of at most so many differences are intersected where pairs are found.
+#: Lists of at most so many differences are intersected where pairs are found; of longer ones the sets are compared, to the same end.
 SHORT = 64
+#: One node in so many is looked at to find buckets that would fill a task.
+LOOK = 64
 
 
 @dataclass(frozen=True)
@@ -143,21 +148,32 @@ def units(docs: DataFrame, cfg: Settings, id_column: str, text_column: str) -> D
 def shared_buckets(found: DataFrame, cfg: Settings) -> DataFrame:
     """(key, node) of the buckets that hold more than one node; a key is a hash of a band's bytes.
 
-    Members are dealt by key once; counting and joining both read that exchange.
+    Members are dealt by key once; counting and joining both read that exchange. A bucket that a look at some
+    nodes shows to be larger than a quarter of a task's share is known to hold several nodes, and its members
+    are not dealt at all. There are at most four such buckets for each shuffle partition.
     """
     width = 2 * cfg.rows
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(cfg.bands)])
-    members = found.where(F.col("signature").isNotNull()).select("node", F.explode(keys).alias("key")).repartition("key")
-    sizes = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    return written(members.join(sizes, "key"), "buckets")
+    signed = found.where(F.col("signature").isNotNull())
+    members = signed.select("node", F.explode(keys).alias("key"))
+    look = signed.where(F.pmod(F.xxhash64("node"), F.lit(LOOK)) == 0)
+    share = max(2, look.count() * cfg.bands // (4 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    seen = look.select("node", F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    hot = F.broadcast(written(seen.where((F.col("n") > share) & (F.col("lo") != F.col("hi"))).select("key"), "hot-buckets"))
+    dealt = members.join(hot, "key", "left_anti").repartition("key")
+    sizes = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    return written(dealt.join(sizes, "key").select("key", "node").unionByName(members.join(hot, "key").select("key", "node")), "buckets")
 
 
 def with_centres(buckets: DataFrame) -> DataFrame:
-    """Distinct (centre, node): in each bucket the node with the most company in all its buckets is the centre."""
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
+    """Distinct (centre, node): in each bucket the node with the most company in all its buckets is the centre.
+
+    Sizes and centres are written, so that each join has an exchange on either side and a large bucket can be split.
+    """
+    sizes = written(buckets.groupBy("key").agg(F.count("*").alias("size")), "sizes")
     company = buckets.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("score"))
     scored = buckets.join(company, "node")
-    centres = scored.groupBy("key").agg(F.max(F.struct("score", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
+    centres = written(scored.groupBy("key").agg(F.max(F.struct("score", "node")).alias("c")).select("key", F.col("c.node").alias("centre")), "centres")
     return buckets.join(centres, "key").where("node <> centre").select("centre", "node").distinct()
 
 

@@ -59,6 +59,12 @@ def test_classes_of_documents(name, request):
     check_documents(request.getfixturevalue(name), DOCUMENTS)
 
 
+def test_buckets_that_are_not_dealt(documents, monkeypatch):
+    """Where every node is looked at, all larger buckets take the way of hot ones."""
+    monkeypatch.setattr(neardup, "LOOK", 1)
+    check_documents(documents, DOCUMENTS)
+
+
 def test_crowd_around_a_failed_centre(spark):
     """A large family whose members are far from most others: links must not hang on one centre."""
     r = random.Random(11)
