@@ -1,9 +1,11 @@
 """Every query of the document-to-ledger operators against its SQL, and worked cases of single rules."""
 
 import datetime
+import io
 import math
 import random
 import re
+import zipfile
 from collections import Counter
 
 import duckdb
@@ -14,7 +16,7 @@ from ledgerlens.functions import dates, predicates, text
 from ledgerlens.operators import classify, extract, ledger, matching, reports
 import ledgerlens.plans.documents  # noqa: F401  registers its queries
 from ledgerlens.plans.catalogue import ORACLE_SQL, QUERIES, STATUSES, keep
-from ledgerlens.sources import csv
+from ledgerlens.sources import csv, files, workbook
 from ledgerlens.streaming import ingest
 
 SMALL = "/root/testdata/sf0.001"
@@ -346,6 +348,52 @@ def test_reports_as_csv(spark, tmp_path):
     assert {tuple(r) for r in csv.read(spark, str(tmp_path / "r"), "file string, note string").collect()} == {("a;b", 'say "x"'), ("line\nbreak", None)}
 
 
+def book(rows, shared):
+    """A workbook of one sheet; strings are shared, in line or plain."""
+    strings, cells = [], []
+    for n, row in enumerate(rows, start=1):
+        out = []
+        for k, v in enumerate(row):
+            place = f"{chr(65 + k)}{n}"
+            if isinstance(v, str) and shared:
+                strings.append(v)
+                out.append(f'<c r="{place}" t="s"><v>{len(strings) - 1}</v></c>')
+            elif isinstance(v, str):
+                out.append(f'<c r="{place}" t="inlineStr"><is><t>{v}</t></is></c>')
+            elif v is not None:
+                out.append(f'<c r="{place}"><v>{v}</v></c>')
+        cells.append(f'<row r="{n}">{"".join(out)}</row>')
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{''.join(cells)}</sheetData></worksheet>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {space}>{''.join(f'<si><r><t>{s}</t></r></si>' for s in strings)}</sst>")
+    return data.getvalue()
+
+
+def test_ledger_workbooks(spark, tmp_path):
+    head = ["ORIG", "NF", "ENTIDADE", "VL_TOTAL_CAB", "VL_ITEM", "DT_EMISSAO", "DT_LANCAMENTO", "TIPO"]
+    rows = [["Title"], head, ["CP", "NF007", "Alfa 02.328.280/0001-97", -300.0, 100.1, 46146, 46150.5, "FATURA"], ["CP", 8, "Beta", "n/a", None, "x", None, "FATURA"], [], ["CR", "9", "Gama", 5, 5, 46146, None, "X"]]
+    for i, shared in enumerate((True, False)):
+        (tmp_path / f"b{i}.xlsx").write_bytes(book(rows, shared))
+    (tmp_path / "empty.xlsx").write_bytes(book([], True))
+    lines = workbook.ledger_lines(workbook.sheet_rows(spark, str(tmp_path)))
+    got = sorted((r.path[-7:], r.seq, r.orig, r.nf, r.entity_id, r.header_cents, r.signed_cents, r.item_cents, str(r.issue_date), str(r.entry_date)) for r in lines.collect())
+    want = [(2, "CP", "NF007", "02328280000197", 30000, -30000, 10010, "2026-05-04", "2026-05-08"), (3, "CP", "8", None, 0, 0, 0, "None", "None"), (5, "CR", "9", None, 500, 500, 500, "2026-05-04", "None")]
+    assert got == [(f"b{i}.xlsx", *w) for i in (0, 1) for w in want]
+    notes = ledger.notes(lines.where("path like '%b0.xlsx'")).collect()
+    assert [(n.nf_clean, n.period, n.header_cents, n.entity_id) for n in notes] == [("7", "05.2026", 30000, "02328280000197")]
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "a" / "2026.05.04").mkdir(parents=True)
+    for name in ("a/2026.05.04/x.PDF", "a/y.pdf", "a/z.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    rows = files.listing(spark, str(tmp_path)).select("name", "folder", dates.folder_date(F.col("folder")).cast("string").alias("day")).collect()
+    assert sorted(tuple(r) for r in rows) == [("x.PDF", "a/2026.05.04", "2026-05-04"), ("y.pdf", "a", None)]
+    assert one(spark, files.is_picture(F.lit(" ab c \n"))) and not one(spark, files.is_picture(F.lit("a text of some length")))
+
+
 def test_ingestion_takes_new_files_only(spark, tmp_path):
     root, seen = tmp_path / "in", []
     (root / "05").mkdir(parents=True)
