@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import checkpoint, written
+from .common import checkpoint, drop, written
 
 #: Signature values compared before each look at the posterior.
 BATCH = 32
@@ -165,16 +165,20 @@ def shared_buckets(found: DataFrame, cfg: Settings) -> DataFrame:
     return written(dealt.join(sizes, "key").select("key", "node").unionByName(members.join(hot, "key").select("key", "node")), "buckets")
 
 
-def with_centres(buckets: DataFrame) -> DataFrame:
-    """Distinct (centre, node): in each bucket the node with the most company in all its buckets is the centre.
+def stars_of(buckets: DataFrame) -> DataFrame:
+    """Distinct (a, b) of centres and their nodes, written: in each bucket the node with the most company in all its buckets is the centre.
 
-    Sizes and centres are written, so that each join has an exchange on either side and a large bucket can be split.
+    Sizes and centres are written, so that each join has an exchange on either side and a large bucket can be split;
+    they go as soon as what is made from them is written.
     """
     sizes = written(buckets.groupBy("key").agg(F.count("*").alias("size")), "sizes")
     company = buckets.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("score"))
     scored = buckets.join(company, "node")
     centres = written(scored.groupBy("key").agg(F.max(F.struct("score", "node")).alias("c")).select("key", F.col("c.node").alias("centre")), "centres")
-    return buckets.join(centres, "key").where("node <> centre").select("centre", "node").distinct()
+    drop(sizes)
+    stars = written(buckets.join(centres, "key").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    drop(centres)
+    return stars
 
 
 def prune(pairs: DataFrame, signatures: DataFrame, cfg: Settings) -> DataFrame:
@@ -305,15 +309,17 @@ def components(links: DataFrame) -> DataFrame:
 def link_nodes(found: DataFrame, docs: DataFrame, cfg: Settings, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
     """Classes (node, label) by links to centres, and (node, label) of labels that further links join."""
     buckets = shared_buckets(found, cfg)
-    stars = written(with_centres(buckets).select(F.col("centre").alias("a"), F.col("node").alias("b")), "stars")
+    stars = stars_of(buckets)
     nodes = buckets.select("node").distinct()
     firsts = found.where(F.col("signature").isNotNull()).select("id", "position", "node", "signature").join(nodes, "node", "left_semi")
     firsts = written(firsts.dropDuplicates(["node"]), "candidates")
+    drop(buckets)
     sets = written(shingle_sets(docs, firsts.select("id", "position", "node"), cfg, id_column, text_column), "sets")
     likely = prune(stars, firsts, cfg).select("a", "b", F.lit(True).alias("likely"))
     crowded = stars.groupBy("a").agg(F.count("*").alias("members")).where("members > 1").select("a", F.lit(True).alias("crowded"))
     asked = stars.join(likely, ["a", "b"], "left").join(crowded, "a", "left").where("likely or crowded")
     compared = written(compare(asked.select("a", "b", F.coalesce("crowded", F.lit(False)).alias("explain")), sets, cfg), "compared")
+    drop(stars)
     labels = written(components(compared.where("linked")), "labels")
     others = prune(around_centres(compared, labels, cfg), firsts, cfg)
     more = compare(others.select("a", "b", F.lit(False).alias("explain")), sets, cfg).where("linked").select("a", "b")
