@@ -1,15 +1,16 @@
 """From raw documents to token ids: five stages, each on all that the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one token ids besides.
-Rows that share a doc_id count as one document. Null texts are rejected by the first stage; columns that
-documents have besides are carried along whatever their names.
+Rows that share a doc_id count as one document, as do those without one that share a text; of near copies one
+with a doc_id stays rather than one without. Null texts are rejected by the first stage; columns that documents
+have besides are carried along whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import bpe, mixing, neardup, pii, quality
@@ -28,13 +29,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.kept(docs, table(ship(spark), sf_dir, "labels"), F.col("source"), F.col("lang"))
 
 
+def document_key() -> Column:
+    """doc_id, or without one a hash of the text above 2**62, so that it is no least doc_id of a class."""
+    high = 1 << 62
+    return F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit(high - 1)).bitwiseOR(F.lit(high)))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that of the least doc_id."""
     ship(spark)
-    kept = neardup.near_duplicates(docs, NEAR).where("kept").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = rows.select(F.struct(*docs.columns).alias("doc"), F.row_number().over(first).alias("n")).where("n = 1")
+    kept = neardup.near_duplicates(docs.select(document_key().alias("key"), "text"), NEAR, id_column="key").where("kept").select("key").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), document_key().alias("key"), F.xxhash64("text").alias("h")).join(kept, "key", "left_semi")
+    first = Window.partitionBy("key").orderBy("h")
+    rows = rows.select("doc", F.row_number().over(first).alias("n")).where("n = 1")
     return rows.select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
