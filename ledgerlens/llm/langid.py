@@ -6,7 +6,8 @@ of place wins. An n-gram that the profile lacks counts as out of place by the pr
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is any text when nothing was
 learned; equal distances go to the language whose name comes first; equal frequencies are ranked by n-gram; an
-empty table gives an empty result; repeated rows are predicted alike, and those of one id are all learned from;
+empty table gives an empty result; repeated rows are predicted alike, and those of one id are all learned from,
+but a row without an id is only predicted;
 very long texts are counted whole; other columns of the input are not looked at.
 The prediction is a function of the text and the profiles alone.
 """
@@ -89,15 +90,15 @@ def held_out(id_column: str = "doc_id"):
 def learn(docs: DataFrame, size: int = PROFILE, per_language: int = SAMPLE_PER_LANGUAGE, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> Profiles:
     """Profiles of the languages in docs, each from a bounded sample of whole texts.
 
-    The sample is taken on ids: a language's count gives the share of the hashes that holds twice as many as are
-    wanted, so only those are sorted, however many tasks there are. At most per_language ids of each language go
+    The sample is taken on ids: about how many a language has gives the share of the hashes that holds twice as many
+    as are wanted, so only those are sorted, each once, however many tasks or repeated rows there are. At most per_language ids of each language go
     to every task, and no text is moved. N-grams are summed in each task and then by key.
     """
     ids = docs.where(F.col(language_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(language_column).alias("lang"), F.xxhash64(id_column).alias("h"))
-    share = ids.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count("*")).alias("share"))
+    share = ids.groupBy("lang").agg((F.lit(2.0 * per_language) / F.approx_count_distinct("id")).alias("share"))
     place = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "id")
-    few = ids.join(F.broadcast(share), "lang").where(F.shiftrightunsigned("h", 11) < F.col("share") * float(1 << 53))
-    sample = few.select("id", "lang", F.row_number().over(place).alias("n")).where(F.col("n") <= per_language).select("id", "lang").distinct()
+    few = ids.join(F.broadcast(share), "lang").where(F.shiftrightunsigned("h", 11) < F.col("share") * float(1 << 53)).select("id", "lang", "h").distinct()
+    sample = few.select("id", "lang", F.row_number().over(place).alias("n")).where(F.col("n") <= per_language).select("id", "lang")
     texts = docs.select(F.col(id_column).alias("id"), F.col(language_column).alias("lang"), F.col(text_column).alias("text")).join(F.broadcast(sample), ["id", "lang"], "left_semi")
 
     def count(batches):

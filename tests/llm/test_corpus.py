@@ -199,3 +199,11 @@ def test_stages_take_odd_rows(spark, small, edges, nothing):
                 assert out.columns == docs.columns
             assert len(rows) <= docs.count()
 
+
+def test_near_duplicates_of_rows_without_ids(spark, small):
+    words = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(None, words[0]), (None, words[0]), (None, words[1]), (7, words[1] + " end"), (None, words[2]), (8, words[3]), (9, words[3])]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_duplicates(spark, docs, small).collect()
+    want = [(None, words[0]), (7, words[1] + " end"), (None, words[2]), (8, words[3])]
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((i or 0, t) for i, t in want)

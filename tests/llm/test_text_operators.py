@@ -318,6 +318,13 @@ def test_language_of_odd_texts(edges, nothing):
     assert langid.predict(nothing, langid.learn(edges)).collect() == []
 
 
+def test_languages_are_learned_from_one_id_that_many_rows_share(spark):
+    rows = [(1, "der die und das ist nicht ein", "de")] * 3000 + [(2, "the and of to in is it that", "en")] * 3000 + [(3, "der und das ist", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.learn(docs, per_language=5)).collect()}
+    assert got == {1: "de", 2: "en", 3: "de"}
+
+
 # -- BPE
 
 
