@@ -26,6 +26,7 @@ Nodes are 64-bit hashes of sets: n distinct sets hold n * n / 2**65 false equali
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -38,8 +39,8 @@ from .common import checkpoint, drop, written
 
 #: Signature values compared before each look at the posterior.
 BATCH = 32
-#: Lists of at most so many differences are intersected where pairs are found; of longer ones the sets are compared, to the same end.
-SHORT = 64
+#: Words of 64 bits in the bitmap that stands for a member's differences where pairs are found.
+BITMAP_WORDS = 16
 #: One node in so many is looked at to find buckets that would fill a task.
 LOOK = 64
 
@@ -261,28 +262,44 @@ def least_shared(cfg: Settings) -> Column:
     return F.greatest(F.lit(1), F.floor(bound / (2 * (100 + p))) + 1).cast("int")
 
 
+def bitmap(name: str) -> list[Column]:
+    """Aggregates w0, w1, ...: a bitmap in which each 64-bit hash in the column sets one bit."""
+    word = F.pmod(F.col(name), F.lit(BITMAP_WORDS))
+    bit = F.expr(f"shiftleft(1L, cast(shiftright({name}, 32) & 63 as int))")
+    return [F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0)).alias(f"w{i}") for i in range(BITMAP_WORDS)]
+
+
+def ones(words: list[Column]) -> Column:
+    return reduce(Column.__add__, map(F.bit_count, words))
+
+
 def around_centres(stars: DataFrame, labels: DataFrame, cfg: Settings) -> DataFrame:
     """Pairs (a, b) of members of one centre, in different classes so far, that may be similar.
 
     stars: compared (centre a, member b) with differences; labels: classes by the stars' links. A difference
     that only members of one class have is dropped. Of a member's others it is enough to look up its rarest,
-    and where both members failed, both sides need only their rarest. Short lists of two failed members are
-    intersected at once, long ones later by their sets.
+    and where both members failed, both sides need only their rarest. Two failed members are paired only if their
+    bitmaps leave room for as many shared differences as either needs; all pairs are verified on their sets later.
     """
     rows = stars.where(F.col("differences").isNotNull()).select(F.col("a").alias("centre"), F.col("b").alias("node"), "linked", least_shared(cfg).alias("least"), "differences")
     rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = rows.select("centre", "node", "label", "linked", "least", F.explode("differences").alias("d"))
     common = parts.groupBy("centre", "d").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("failed"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     parts = written(parts.join(common.where("failed > 0 and lo <> hi").select("centre", "d", "n"), ["centre", "d"]), "differences")
-    per_node = parts.groupBy("centre", "node", "label", "linked", "least").agg(F.array_sort(F.collect_list(F.struct("n", "d"))).alias("ds")).where(F.size("ds") >= F.col("least"))
-    short = F.when(F.size("ds") <= SHORT, F.transform("ds", lambda x: x["d"]))
-    probes = per_node.select("centre", "node", "label", "linked", "least", short.alias("ds"), F.explode(F.slice("ds", 1, F.size("ds") - F.col("least") + 1)).alias("x")).withColumn("d", F.col("x.d")).drop("x")
+    named = [f"w{i}" for i in range(BITMAP_WORDS)]
+    per_node = parts.groupBy("centre", "node", "label", "linked", "least").agg(F.array_sort(F.collect_list(F.struct("n", "d"))).alias("ds"), *bitmap("d")).where(F.size("ds") >= F.col("least"))
+    per_node = per_node.withColumn("spare", F.size("ds") - ones([F.col(w) for w in named]))
+    rarest = F.explode(F.slice("ds", 1, F.size("ds") - F.col("least") + 1))
+    probes = per_node.select("centre", "node", "label", "linked", "least", "spare", F.array(*named).alias("bits"), rarest.alias("x")).withColumn("d", F.col("x.d")).drop("x")
     probes = written(probes, "probes")
-    x = probes.select("centre", "d", F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("least").alias("least_x"), F.col("ds").alias("ds_x"), "linked")
-    y = probes.where(~F.col("linked")).select("centre", "d", F.col("node").alias("y"), F.col("label").alias("label_y"), F.col("least").alias("least_y"), F.col("ds").alias("ds_y"))
-    # long lists are null here: said outright, since the size of null is -1 without ANSI
-    enough = F.col("ds_x").isNull() | F.col("ds_y").isNull() | (F.size(F.array_intersect("ds_x", "ds_y")) >= F.greatest("least_x", "least_y"))
-    failed = x.where(~F.col("linked")).join(y, ["centre", "d"]).where((F.col("x") < F.col("y")) & (F.col("label_x") != F.col("label_y")) & enough)
+    x, y = (
+        probes.select("centre", "d", "linked", F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("label", "least", "spare", "bits")])
+        for s in ("x", "y")
+    )
+    # what two lists share sets bits in both bitmaps, but for what falls on a bit that is set already
+    both = ones([F.col("bits_x")[i].bitwiseAND(F.col("bits_y")[i]) for i in range(BITMAP_WORDS)])
+    enough = both + F.least("spare_x", "spare_y") >= F.greatest("least_x", "least_y")
+    failed = x.where(~F.col("linked")).join(y.where(~F.col("linked")).drop("linked"), ["centre", "d"]).where((F.col("x") < F.col("y")) & (F.col("label_x") != F.col("label_y")) & enough)
     other = parts.where(~F.col("linked")).select("centre", "d", F.col("node").alias("y"), F.col("label").alias("label_y"))
     mixed = x.where("linked").join(other, ["centre", "d"]).where("label_x <> label_y")
     return failed.select("x", "y").union(mixed.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -84,7 +84,7 @@ def test_crowd_around_a_failed_centre(spark):
 
 @pytest.mark.parametrize("ansi", ["true", "false"])
 def test_long_lists_of_differences_with_and_without_ansi(spark, ansi):
-    """Two failed members of one centre, each far from it in more shingles than are intersected at once."""
+    """Two failed members of one centre, each far from it in more shingles than its bitmap tells apart."""
     before = spark.conf.get("spark.sql.ansi.enabled")
     spark.conf.set("spark.sql.ansi.enabled", ansi)
     try:
