@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, media, mixing, neardup, pii, quality, substrings
+from . import bpe, fingerprint, langid, media, mixing, neardup, pii, quality, resample, sortmeans, substrings, urls
 from .common import table, written
 
 #: Where the vocabulary files of public tokenizers lie; a parameter, never copied.
@@ -78,7 +78,33 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(written(docs, "tokens"), WEIGHTS, PER_MILLE, EPOCHS, SEED)
 
 
-QUERIES = {f.__name__: f for f in (op1_scaled_sketches, op2_pii_spans, op3_paragraph_bands, op4_minhash_bayes, op5_repeated_substrings, op6_site_quality, op7_language_profiles, op8_bpe_tokens, op9_media_sequences, op10_source_mixture)}
+#: Rules on URLs; the longest that fits decides.
+RULES = [urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed are the canonical URLs of pages on unwanted sites."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.judged(pages, urls.unwanted_urls(pages), RULES)
+
+
+#: Runs of up to three words in 10,000 buckets; five per cent of the documents of 20 words or more are drawn.
+DRAW = resample.Settings(longest=3, buckets=10_000, least_words=20, per_cent=5, seed="42")
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), DRAW)
+
+
+#: Centroids, components, scale, rounds and seed of the clustering.
+CLUSTERS = sortmeans.Settings(k=16, size=64, scale=64, rounds=3, seed="1")
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sortmeans.clusters(table(spark, sf_dir, "embeddings"), CLUSTERS)
+
+
+QUERIES = {f.__name__: f for f in (op1_scaled_sketches, op2_pii_spans, op3_paragraph_bands, op4_minhash_bayes, op5_repeated_substrings, op6_site_quality, op7_language_profiles, op8_bpe_tokens, op9_media_sequences, op10_source_mixture, op11_url_filter, op12_target_resampling, op13_sort_means)}
 
 
 def _level(name: str, parent: str, keys: list[str], level: str, weight: str) -> str:
@@ -97,6 +123,20 @@ def _case(column: str, weights: dict[str, int]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in sorted(weights.items())) + " ELSE 1 END"
 
 
+def _nearest(name: str, cents: str) -> str:
+    """Each vector's nearest of cents, ties to the smaller number."""
+    return f"""{name} AS (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT p.r, q.c, CAST(sum((p.v - q.v) * (p.v - q.v)) AS BIGINT) AS d FROM parts p JOIN {cents} q USING (i) GROUP BY ALL) GROUP BY r)"""
+
+
+def _moved(name: str, cents: str, near: str) -> str:
+    """The floored means of near's clusters; a centroid without vectors stays."""
+    return f"""{name} AS (SELECT o.c, o.i, coalesce((s - ((s % n) + n) % n) // n, o.v) AS v FROM {cents} o LEFT JOIN (SELECT c, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM parts JOIN {near} USING (r) GROUP BY ALL) m USING (c, i))"""
+
+
+def _rounds(n: int) -> str:
+    return ",\n".join(f"{_nearest(f'near_{k}', f'cents_{k}')},\n{_moved(f'cents_{k + 1}', f'cents_{k}', f'near_{k}')}" for k in range(n))
+
+
 ORACLE_SQL: dict[str, str] = {
     "op10_source_mixture": f"""WITH docs AS (
 SELECT doc_id, 'd' || CAST((instr('0123456789abcdef', substr(md5(coalesce(source, '')), 1, 1)) - 1) // 4 AS VARCHAR) AS domain, lang, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS tokens FROM documents),
@@ -110,4 +150,21 @@ budgets AS (SELECT d, l, s, CASE WHEN tokens > 0 THEN parent_budget // tokens EL
 keyed AS (SELECT *, md5('{SEED}/' || CAST(whole_ AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR)) AS k FROM rows_ JOIN budgets USING (d, l, s)),
 placed AS (SELECT *, sum(tokens) OVER (PARTITION BY d, l, s ORDER BY k, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM keyed)
 SELECT doc_id, d AS domain, lang, source, tokens, CAST(least(whole_ + CASE WHEN upto <= part THEN 1 ELSE 0 END, {EPOCHS}) AS BIGINT) AS copies FROM placed WHERE whole_ + CASE WHEN upto <= part THEN 1 ELSE 0 END > 0""",
+    "op11_url_filter": f"""WITH cut AS (
+SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) AS query FROM cut),
+tidied AS (SELECT *, regexp_replace(regexp_replace(host, '^(www|m)[.]', ''), ':(80|443)$', '') AS place, rtrim(path, '/') AS ends, list_sort([x FOR x IN string_split(query, '&') IF x <> '' AND NOT regexp_matches(x, '{urls.TRACKING}')]) AS asked FROM named),
+whole AS (SELECT page_id, host, path, CASE WHEN host <> '' THEN place || CASE WHEN suffix(ends, '/index.html') THEN left(ends, length(ends) - 11) ELSE ends END || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS canonical FROM tidied),
+listed AS (SELECT DISTINCT canonical FROM whole WHERE regexp_matches(host, '{urls.UNWANTED}')),
+ruled AS (SELECT w.*, CASE {" ".join(f"WHEN ('.' || host) LIKE '%.{r.host}' AND prefix(path, '{r.path}') THEN '{r.host}{r.path}'" for r in sorted(RULES, key=lambda r: -len(r.host + r.path)))} END AS rule, l.canonical IS NOT NULL AS is_listed FROM whole w LEFT JOIN listed l USING (canonical))
+SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{r.host}{r.path}' THEN '{r.verdict}'" for r in RULES)} WHEN is_listed THEN 'block' ELSE 'allow' END AS verdict FROM ruled""",
+    "op13_sort_means": f"""WITH kept AS (
+SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, [CAST(floor(CAST(x AS DOUBLE) * {CLUSTERS.scale}) AS BIGINT) FOR x IN embedding] AS v FROM embeddings WHERE len(embedding) = {CLUSTERS.size} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+first_ AS (SELECT v, row_number() OVER (ORDER BY sha256('{CLUSTERS.seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c FROM kept QUALIFY c < {CLUSTERS.k}),
+parts AS (SELECT r, unnest(v) AS v, generate_subscripts(v, 1) AS i FROM kept),
+cents_0 AS (SELECT c, unnest(v) AS v, generate_subscripts(v, 1) AS i FROM first_),
+{_rounds(CLUSTERS.rounds)},
+{_nearest("near_", f"cents_{CLUSTERS.rounds}")},
+named AS (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM cents_{CLUSTERS.rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM near_ JOIN kept USING (r) JOIN named USING (c)""",
 }
