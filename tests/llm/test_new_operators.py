@@ -140,6 +140,23 @@ def test_resampling_of_edge_cases(spark, edges, nothing):
     assert resample.resampled(edges, nothing, by).count() == edges.count()
 
 
+@pytest.mark.parametrize("size", [1, 30, 10**6])
+def test_dictionaries_of_blocks(size, monkeypatch):
+    """Every run's crc32 from the dictionary is that of its string, in blocks of any size."""
+    monkeypatch.setattr(resample, "BLOCK", size)
+    texts = ["", "Ab ab AB c", "--", "x" * 3000 + " ß東 a " + "y" * 70_000, "a b c d a b c d", "one"]
+    got = {}
+    for i, j in resample.blocks(texts):
+        for n, (text, number, crc) in enumerate(resample.numbered(texts[i:j], 4).runs, start=1):
+            assert len(set(crc[number].tolist())) == len(crc)
+            for k, x in zip(text + i, crc[number]):
+                got.setdefault((int(k), n), []).append(int(x))
+    for k, t in enumerate(texts):
+        w = plain_words(t)
+        for n in range(1, 5):
+            assert got.get((k, n), []) == [zlib.crc32(" ".join(w[i : i + n]).encode()) for i in range(len(w) - n + 1)]
+
+
 # Sort-means
 
 
