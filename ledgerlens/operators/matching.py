@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import TOLERANCE, exact_value, first_words, is_card_file, is_tax, kind_ok, ledger_kind, names_match, same_entity, value_basis
+from ..functions.predicates import TOLERANCE, exact_value, first_words, kind_ok, ledger_kind, names_match, same_entity, value_basis
 from ..functions.text import digits, entity_core, norm, norm_company
 
 #: Characters of a company's name that files are looked up by, and of a name that other names are looked up by.
@@ -37,8 +37,8 @@ def document_keys(docs: DataFrame) -> DataFrame:
     return rows.select(*docs.columns, F.col("k.key").alias("key"), F.col("k.rank").alias("rank"))
 
 
-def number_candidates(notes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of one period that share a number and pass the entity guard, with their tier and score.
+def number_pairs(notes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Notes and documents of one period that share a number and pass the entity guard, with rank, tier and score.
 
     Tier 0: the entities agree, or the document names none and its value does not disagree. Tier 1: only
     the value agrees. A note without an entity takes any. Within a tier the better score goes first, then
@@ -52,7 +52,13 @@ def number_candidates(notes: DataFrame, docs: DataFrame) -> DataFrame:
     compatible = F.when(F.coalesce(F.col("entity"), F.lit("")) == "", True).when(named, F.col("entity_agrees")).otherwise((F.coalesce("cents", F.lit(0)) <= 0) | value_ok)
     pairs = pairs.withColumn("tier", F.when(compatible, 0).when(value_ok, 1)).where(F.col("tier").isNotNull())
     pairs = pairs.withColumn("score", F.when(value_ok, 2).otherwise(0) + F.when(F.col("kind_agrees"), 1).otherwise(0))
+    return pairs
+
+
+def number_candidates(notes: DataFrame, docs: DataFrame) -> DataFrame:
+    """number_pairs() once a pair, with its best tier and score and what found it."""
     via = F.when(F.min("rank") < 2, "nf").otherwise("ocp").alias("via")
+    pairs = number_pairs(notes, docs)
     return pairs.groupBy("seq", "doc_seq", "period").agg(F.min("tier").alias("tier"), F.max("score").alias("score"), via, F.min("basis").alias("basis"))
 
 
@@ -188,83 +194,6 @@ def subset(pool: Column, cents: Column, forced: Column) -> Column:
     return F.array_min(F.transform(fits, lambda m: F.struct(F.bit_count(m).alias("size"), m.alias("mask"))))
 
 
-def consolidated(bills: DataFrame, notes: DataFrame, keep, most: int = 12) -> DataFrame:
-    """(bill, members): bills that stand for several notes of one entity and month, each note for one bill.
-
-    bills: (bill, turn, period, entity, cents, base) in the order of turn; base is the note (seq, nf, header_cents)
-    that must be among the members, or NULL. notes are the free ones. Of an entity's free notes the first `most`
-    are tried, behind the base. A round settles in every (period, entity) the first bill that adds up and those
-    before it that do not, so there are as many rounds as bills that one entity consolidates in a month.
-    """
-    place = Window.partitionBy("period", "entity").orderBy("seq")
-    open_bills = keep(bills.where("cents > 0"))
-    free = keep(notes.where("header_cents > 0").select("period", "entity", "seq", "nf", "header_cents"))
-    done = None
-    while True:
-        first = free.withColumn("n", F.row_number().over(place)).where(F.col("n") <= most)
-        pools = first.groupBy("period", "entity").agg(F.array_sort(F.collect_list(F.struct("seq", "nf", "header_cents"))).alias("free"))
-        rows = open_bills.join(pools, ["period", "entity"])
-        forced = F.col("base").isNotNull()
-        rows = rows.withColumn("pool", F.slice(F.when(forced, F.concat(F.array("base"), "free")).otherwise(F.col("free")), 1, most)).where(F.size("pool") >= 2)
-        solved = rows.withColumn("best", subset(F.col("pool"), F.col("cents"), forced)).where("best is not null")
-        winner = keep(solved.groupBy("period", "entity").agg(F.min_by(F.struct("bill", "turn", F.expr("filter(pool, (x, i) -> getbit(cast(best.mask as bigint), i) = 1)").alias("members")), "turn").alias("w")))
-        if winner.isEmpty():
-            return done if done is not None else winner.select("w.bill", "w.members")
-        now = winner.select("w.bill", "w.members")
-        done = now if done is None else done.unionByName(now)
-        taken = winner.select(F.explode("w.members.seq").alias("seq"))
-        free = keep(free.join(taken, "seq", "left_anti"))
-        # a group without a winner has only bills that do not add up, and nothing of it will change
-        open_bills = keep(open_bills.join(winner.select("period", "entity", F.col("w.turn").alias("settled")), ["period", "entity"]).where(F.col("turn") > F.col("settled")).drop("settled"))
-
-
-def reconciled(notes: DataFrame, docs: DataFrame, keep) -> DataFrame:
-    """(doc_seq, seq, via, basis, kind_agrees, members): every document and note once, with what became of it.
-
-    * Notes take documents of their month by number, in order of seq (via nf or ocp).
-    * Card statements and taxes among the other documents stand by themselves (via card, tax).
-    * The others take free notes in order of doc_seq: by number in any period, by day, by value and entity.
-    * A document worth more than its note, or without one, may be the bill of several notes of one entity and month:
-      bills of number matches by their notes' order, then the rest by doc_seq (members; via consolidated without a note).
-    * What is left has no via: documents without a note and notes without a document; members of a bill are not left.
-
-    Bills come after all single matches here, so a bill never takes a note that a later document could have had.
-    """
-    n, d = keep(notes), keep(docs)
-    first = keep(assign(number_candidates(n, d), keep).select("doc_seq", "seq", "via"))
-    rest = keep(d.join(first, "doc_seq", "left_anti").withColumn("apart", F.when(is_card_file(F.col("file")), "card").when(is_tax(F.col("kind"), F.col("nf"), F.col("emitter"), F.col("file")), "tax")))
-    plain, free = rest.where("apart is null").drop("apart"), n.join(first, "seq", "left_anti")
-    later = assign(fallback_wishes(plain, free), keep, "doc_seq", "seq", [F.col("wish")]).select("doc_seq", "seq", "via")
-    single = keep(first.withColumn("phase", F.lit(0)).unionByName(later.withColumn("phase", F.lit(1))))
-    d2 = d.withColumnsRenamed({"nf": "doc_nf", "period": "doc_period"})
-    pairs = keep(with_agreement(single.join(with_names(d2, "emitter"), "doc_seq").join(with_names(n, "entity"), "seq")))
-    free = free.join(later, "seq", "left_anti")
-    base = F.struct("seq", "nf", "header_cents")
-    turn = F.struct("phase", F.when(F.col("phase") == 0, F.col("seq")).otherwise(F.col("doc_seq")).alias("at"))
-    bills = pairs.where(F.col("basis").isNull() & (F.col("cents") > F.col("header_cents") + TOLERANCE)).select(F.col("doc_seq").alias("bill"), turn.alias("turn"), "period", "entity", "cents", base.alias("base"))
-    unmatched = plain.join(single, "doc_seq", "left_anti")
-    billed = billed_entities(unmatched, free)
-    lone = billed.select(F.col("doc_seq").alias("bill"), F.struct(F.lit(1).alias("phase"), F.col("doc_seq").alias("at")).alias("turn"), "period", "entity", "cents", F.lit(None).cast("struct<seq:bigint,nf:string,header_cents:bigint>").alias("base"))
-    found = keep(consolidated(bills.unionByName(lone), free, keep))
-    numbers = F.array_join(F.transform("members", lambda x: x["nf"]), ", ")
-    rows = pairs.join(found.select(F.col("bill").alias("doc_seq"), numbers.alias("members")), "doc_seq", "left").select("doc_seq", "seq", "via", "basis", "kind_agrees", "members")
-    by_bill = unmatched.join(found, unmatched.doc_seq == found.bill).select("doc_seq", F.get("members", 0)["seq"].alias("seq"), F.lit("consolidated").alias("via"), F.lit(None).cast("string").alias("basis"), F.lit(True).alias("kind_agrees"), numbers.alias("members"))
-    blank = {"basis": F.lit(None).cast("string"), "kind_agrees": F.lit(None).cast("boolean"), "members": F.lit(None).cast("string")}
-    apart = rest.where("apart is not null").select("doc_seq", F.lit(None).cast("bigint").alias("seq"), F.col("apart").alias("via")).withColumns(blank)
-    no_note = unmatched.join(found, unmatched.doc_seq == found.bill, "left_anti").select("doc_seq", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("via")).withColumns(blank)
-    no_doc = free.join(found.select(F.explode("members.seq").alias("seq")), "seq", "left_anti").select(F.lit(None).cast("bigint").alias("doc_seq"), "seq", F.lit(None).cast("string").alias("via")).withColumns(blank)
-    return rows.unionByName(by_bill).unionByName(apart).unionByName(no_note).unionByName(no_doc)
-
-
-def billed_entities(docs: DataFrame, notes: DataFrame) -> DataFrame:
-    """docs with the entity, of their month's free notes, that the emitter's name stands for: that of the earliest note."""
-    d = docs.where("emitter is not null and cents > 0").select("doc_seq", "period", "emitter", "cents")
-    pairs = name_pairs(d.select(F.col("emitter").alias("name")), notes.where("header_cents > 0").select(F.col("entity").alias("name")))
-    first = notes.where("header_cents > 0").groupBy("period", "entity").agg(F.min("seq").alias("first"))
-    asked = d.join(pairs.withColumnsRenamed({"a": "emitter", "b": "entity"}), "emitter").join(first, ["period", "entity"])
-    return asked.groupBy("doc_seq", "period", "cents").agg(F.min_by("entity", F.struct("first", "entity")).alias("entity"))
-
-
 def annotated(results: DataFrame, alerts: DataFrame, links: DataFrame) -> DataFrame:
     """Results with false alerts by (period, nf, file, entity) and manual links by (period, nf, entity); absent parts are empty."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, predicates, text
-from ..operators import classify, extract, ledger, matching, reports
+from ..operators import classify, extract, ledger, matching, reconcile, reports
 from ..sources.files import shared_folder
 from .inputs import BASIS_SQL, DOCS_SQL, ENTITY_SQL, KEYS_SQL, KIND_SQL, LINES_SQL, NAMED_SQL, NOTES_SQL, PAYABLE_SQL, documents, ledger_lines, read
 
@@ -222,21 +222,20 @@ def consolidation(spark, sf_dir):
 
 @query()
 def reconcile_rows(spark, sf_dir):
-    """Every document and note once, with what became of it."""
-    return matching.reconciled(notes_of(spark, sf_dir), documents(spark, sf_dir), keep)
+    """What became of every document and note of each period; every ninth document is due some days after its date."""
+    due = F.when(F.col("doc_seq") % 9 == 0, F.date_add("doc_date", (F.col("doc_seq") % 50).cast("int")))
+    return reconcile.reconciled(notes_of(spark, sf_dir), documents(spark, sf_dir).withColumn("due_date", due), keep)
 
 
 #: What a row of reconcile_rows() is counted as; every status has a row, if only of none.
-STATUSES = ("nf", "ocp", "nf-global", "date", "value-entity", "consolidated", "card", "tax", "document without a note", "note without a document", "value differs", "kind differs")
+STATUSES = ("nf", "ocp", "nf-global", "date", "value-entity", "consolidated", "bill", "ok", "differs", "other month", "card", "tax", "no note", "no document")
 
 
 @query()
 def reconcile_summary(spark, sf_dir):
-    """Counts of each outcome, and of matches whose value or kind differs."""
+    """Counts of each way of matching, of each status, and of bills that stand for several notes."""
     rows = reconcile_rows(spark, sf_dir)
-    outcome = F.coalesce("via", F.when(F.col("seq").isNull(), "document without a note").otherwise("note without a document"))
-    differs = F.col("seq").isNotNull() & F.col("doc_seq").isNotNull() & F.col("basis").isNull() & F.col("members").isNull()
-    said = F.array_compact(F.array(outcome, F.when(differs, "value differs"), F.when(F.col("kind_agrees") == False, "kind differs")))  # noqa: E712
+    said = F.array_compact(F.array("via", "status", F.when(F.col("members").isNotNull(), "bill")))
     counts = rows.select(F.explode(said).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
     every = spark.createDataFrame([(s,) for s in STATUSES], "status string")
     return F.broadcast(every).join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
