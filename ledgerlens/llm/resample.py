@@ -199,10 +199,12 @@ def ranked(rows: DataFrame, by: Settings) -> DataFrame:
 def resampled(docs: DataFrame, target: DataFrame, by: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The carried columns of every document with (n_features, weight, score, rank); rank is null where it is not drawn."""
     text = text_or_empty(f"`{text_column}`").alias("text")
-    told = gains(bucket_counts(docs.select(text), by), bucket_counts(target.select(text), by), by)
+    ours, theirs = (written(bucket_counts(df.select(text), by), "buckets") for df in (docs, target))  # read twice
+    told = gains(ours, theirs, by)
     gain = np.zeros(by.buckets, dtype=np.int64)
     for r in told.collect():  # a row for each bucket, so by.buckets at most
         gain[r.bucket] = r.gain
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), F.col(f"`{id_column}`").alias("id"), text)
     scored = weighed(rows, gain, by).withColumn("score", F.col("weight") + noise(F.col("id"), by.seed)).withColumn("eligible", F.col("n_words") >= by.least_words)
-    return ranked(scored, by).select("doc.*", "n_features", "weight", "score", F.col("rank").cast("bigint").alias("rank"))
+    # ranges are sampled before rows are sent, which would weigh every text twice
+    return ranked(written(scored, "scored"), by).select("doc.*", "n_features", "weight", "score", F.col("rank").cast("bigint").alias("rank"))
