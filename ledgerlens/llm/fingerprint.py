@@ -81,7 +81,7 @@ def id_slices(ids: DataFrame, column: str, slices: int) -> list[int]:
     if slices < 2:
         return []
     found = ids.select(F.col(column).cast("double").alias("x")).stat.approxQuantile("x", [i / slices for i in range(1, slices)], 1 / (4 * slices))
-    return sorted({int(x) for x in found})
+    return sorted({min(int(x), (1 << 63) - 1) for x in found})
 
 
 def with_slice(df: DataFrame, column: str, cuts: list[int], to: str = "_slice") -> DataFrame:
@@ -95,31 +95,52 @@ def with_slice(df: DataFrame, column: str, cuts: list[int], to: str = "_slice")
     return df.drop("_cuts")
 
 
+def with_place(docs: DataFrame, slices: int) -> DataFrame:
+    """docs (id, text) with tie, the text's hash, and slice and sub, which cut the order of descending id and then tie.
+
+    Null ids are slice -1, below all others. An id with more rows than a slice should have is a slice of its own in
+    as many parts as it would fill; there are fewer such ids than slices.
+    """
+    sizes = docs.groupBy("id").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    hot = {r.id: -(-r.n * slices // max(total, 1)) for r in sizes.where((F.col("n") > 1) & (F.col("n") * slices > total)).collect()}
+    most = (1 << 63) - 1
+    cuts = sorted({*id_slices(docs, "id", slices), *[x for h in hot if h is not None for x in (h, h + 1) if x <= most]})
+    rows = with_slice(docs, "id", cuts).withColumn("slice", F.when(F.col("id").isNull(), -1).otherwise(F.col("_slice"))).drop("_slice")
+    parts = docs.sparkSession.createDataFrame([(h, n) for h, n in hot.items()], "id bigint, parts bigint")
+    rows = rows.withColumn("tie", F.xxhash64("text")).join(F.broadcast(parts.withColumnRenamed("id", "_id")), F.col("id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    share = F.floor((F.shiftrightunsigned("tie", 32).bitwiseXOR(F.lit(1 << 31)) * F.col("parts")) / F.lit(float(1 << 32))).cast("bigint")
+    return rows.withColumn("sub", F.coalesce(share, F.lit(0).cast("bigint"))).drop("parts")
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", scale: int = SCALE) -> DataFrame:
     """Each text, its edited form and its likeness to that and to the next document.
 
     The next document is the one of the next smaller id, and the first one after the last; rows of one id
     follow each other by their texts' hashes, null ids come last. Ids are cut into slices by quantiles, as
-    many as shuffle partitions and some; a slice is sorted by itself, and the first rows of the slice below
-    stand behind it as guests, so no task sees more than a slice. The text is shuffled once.
+    many as shuffle partitions and some; an id, or its absence, that fills a slice is cut by its texts' hashes. A slice
+    is sorted by itself, and the first row of the slice below stands behind it as a guest, so no task sees more than a
+    slice and one row. Of the texts only one row a slice is read and shuffled a second time.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     slices = SLICES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = id_slices(docs, "id", slices)
-    heads = with_slice(docs.select("id"), "id", cuts).groupBy("_slice").agg(F.max("id").alias("id"))
-    order = Window.orderBy("_slice")  # a row a slice
-    heads = heads.select("id", F.coalesce(F.lead("_slice").over(order), F.min("_slice").over(order)).alias("_guest"))
-    placed = with_slice(docs, "id", cuts).join(F.broadcast(heads), "id", "left")
-    seats = F.array(F.struct(F.col("_slice").alias("slice"), F.lit(False).alias("guest")), F.struct(F.col("_guest").alias("slice"), F.lit(True).alias("guest")))
-    placed = placed.select("id", "text", F.explode(F.filter(seats, lambda s: s["slice"].isNotNull())).alias("seat")).select("id", "text", "seat.slice", "seat.guest", F.xxhash64("text").alias("tie"))
-    follow = Window.partitionBy("slice").orderBy("guest", F.desc("id"), "tie")
+    placed = with_place(docs, slices)
+    first = F.struct(F.col("id").isNull().alias("none"), F.coalesce(F.bitwise_not("id"), F.lit(0)).alias("turned"), "tie")
+    heads = placed.groupBy("slice", "sub").agg(F.min(first).alias("first"))
+    order = Window.orderBy("slice", F.desc("sub"))  # a row a slice
+    above = F.struct("slice", "sub")
+    heads = heads.select("first", F.coalesce(F.lead(above).over(order), F.first(above).over(order)).alias("seat"))
+    guests = placed.withColumn("first", first).join(F.broadcast(heads), "first").groupBy("seat").agg(F.first(F.struct("id", "text", "tie")).alias("row"))
+    guests = guests.select("row.*", "seat.*", F.lit(True).alias("guest"))
+    placed = placed.select("id", "text", "tie", "slice", "sub", F.lit(False).alias("guest")).unionByName(guests)
+    follow = Window.partitionBy("slice", "sub").orderBy("guest", F.desc("id"), "tie")
     n = F.char_length("text")
     moved = F.floor(n / 3).cast("int")
     rows = placed.withColumn("next_text", F.coalesce(F.lead("text").over(follow), F.lit("")))
-    rows = rows.select("slice", "guest", "id", "tie", n.cast("bigint").alias("n_chars"), "text", F.concat(F.left("text", n - moved), F.left("next_text", moved)).alias("edited"))
+    rows = rows.select("slice", "sub", "guest", "id", "tie", n.cast("bigint").alias("n_chars"), "text", F.concat(F.left("text", n - moved), F.left("next_text", moved)).alias("edited"))
     rows = with_sketch(with_sketch(rows, "text", "sketch", scale), "edited", "edited_sketch", scale)
-    rows = rows.select("slice", "guest", "id", "tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "edited_sketch")
+    rows = rows.select("slice", "sub", "guest", "id", "tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "edited_sketch")
     rows = rows.withColumn("next_sketch", F.coalesce(F.lead("sketch").over(follow), F.array().cast("array<bigint>"))).where(~F.col("guest"))
     return rows.select(
         F.col("id").alias(id_column), "n_chars", "edited_sha256", shown("sketch").alias("fingerprint"), shown("edited_sketch").alias("edited_fingerprint"),

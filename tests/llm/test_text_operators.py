@@ -50,6 +50,19 @@ def test_sketches_of_texts_and_edits(docs):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
+@pytest.mark.parametrize("ids", [[1, 2, 3, None], [None], [None, None, None], [5], [7] * 40, [None] * 30 + [1] * 30 + [2], [3, 3, None, None, 9], [(1 << 63) - 1, -(1 << 63), 0, None], [*range(40), None]])
+def test_next_texts_with_few_repeated_or_absent_ids(spark, ids):
+    """Descending ids, rows of one id by their texts' hashes, null ids last, and the first again after the last."""
+    texts = [f"{k} " + "abc def " * (k % 5) for k in range(len(ids))]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string").repartition(3)
+    rows = [(r.doc_id, r.text) for r in sorted(df.withColumn("h", F.xxhash64("text")).collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))]
+    want = Counter()
+    for k, (i, text) in enumerate(rows):
+        cut = len(text) // 3
+        want[i, sha(text[: len(text) - cut] + rows[(k + 1) % len(rows)][1][:cut])] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprint.fingerprints(df).collect()) == want
+
+
 def test_equal_texts_have_equal_sketches_and_likeness_follows_jaccard(documents):
     got = {r.doc_id: r for r in fingerprint.fingerprints(documents).collect()}
     prints = {}
