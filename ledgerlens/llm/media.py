@@ -6,8 +6,10 @@ digest; pages hold references only. Resolving joins the references with what is
 and leaves positions and captions as they were.
 
 Defined cases: null HTML has no parts; a reference without a stored medium stays, with null features; equal
-payloads share one medium; a null or empty payload is padded like any other; a caption that is never closed
-ends with its figure, or with the page, and outside a figure it is text; a tag that is never closed is text.
+payloads share one medium; a null or empty payload is padded like any other; a caption is that of its
+figure's media since the caption before, or of those that follow if there are none, else it is text; without one the
+medium's alternative text stands in, which is kept besides; a caption that is never closed ends with its figure, or
+with the page, and outside a figure it is text; a tag that is never closed is text.
 Repeated rows give repeated results and an empty table an empty one; very long pages are parsed whole, in time
 that grows with their length; other columns are not looked at. Pixels are 8-bit grey, 64 a row, in a lossless PNG.
 """
@@ -18,6 +20,7 @@ import hashlib
 import html
 import struct
 import zlib
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import numpy as np
@@ -29,7 +32,7 @@ from .common import written
 
 WIDTH = 64
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
-PARTS = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
+PARTS = "array<struct<position:int,kind:string,text:string,ref:string,caption:string,alt:string>>"
 FEATURES = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 BLOCKS = frozenset("p div li h1 h2 h3 h4 h5 h6 br tr article section blockquote figure figcaption".split())
 SILENT = frozenset("script style head title noscript template".split())
@@ -97,35 +100,43 @@ class Parts(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
         self.words: list[str] = []
-        self.silent, self.figure, self.caption = 0, [], None
-        self.inside, self.pending = False, ""
+        self.silent, self.bare, self.caption = 0, [], None
+        self.inside, self.pending, self.pending_used = False, "", False
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
         self.words = []
         if text:
-            self.parts.append({"position": len(self.parts), "kind": "text", "text": text, "ref": None, "caption": None})
+            self.parts.append({"position": len(self.parts), "kind": "text", "text": text, "ref": None, "caption": None, "alt": None})
 
     def end_caption(self) -> None:
-        """Give the open caption to its figure's media, once there is one; outside a figure it is text."""
+        """Give the open caption to the figure's media since the caption before, or to those that follow; outside a figure it is text."""
         said, self.caption = " ".join("".join(self.caption or []).split()), None
-        for part in self.figure:
-            part["caption"] = said or part["caption"]
-        if self.inside and not self.figure:
+        if not self.inside:
+            if said:
+                self.words.append(said)
+                self.flush()
+            return
+        self.lose_pending()
+        if not self.bare:
             self.pending = said
-        elif not self.inside and said:
-            self.words.append(said)
+        for part in self.bare if said else ():
+            part["caption"] = said
+        self.bare = []
+
+    def lose_pending(self) -> None:
+        """A caption that no medium followed is text."""
+        if self.pending and not self.pending_used:
+            self.words.append(self.pending)
             self.flush()
+        self.pending, self.pending_used = "", False
 
     def end_figure(self) -> None:
         if self.caption is not None:
             self.end_caption()
-        for part in self.figure if self.pending else ():
-            part["caption"] = self.pending
-        if self.pending and not self.figure:
-            self.words.append(self.pending)
+        self.lose_pending()
         self.flush()
-        self.inside, self.figure, self.pending = False, [], ""
+        self.inside, self.bare = False, []
 
     def handle_starttag(self, tag, attrs):
         if tag in SILENT:
@@ -141,10 +152,13 @@ class Parts(HTMLParser):
             self.caption = []
         elif tag in ("img", "audio", "video", "source") and (src := dict(attrs).get("src")):
             self.flush()
-            part = {"position": len(self.parts), "kind": "media", "text": None, "ref": src, "caption": dict(attrs).get("alt")}
+            alt = dict(attrs).get("alt")
+            part = {"position": len(self.parts), "kind": "media", "text": None, "ref": src, "caption": self.pending or alt, "alt": alt}
             self.parts.append(part)
-            if self.inside:
-                self.figure.append(part)
+            if self.pending:
+                self.pending_used = True
+            elif self.inside:
+                self.bare.append(part)
 
     def handle_endtag(self, tag):
         if tag in SILENT:
@@ -188,15 +202,45 @@ def sequence_digest(parts: list[dict]) -> str:
     return h.hexdigest()
 
 
-def rendered(text: str, digest: str, caption: str) -> str:
-    """A page of a text's lines and one figure."""
-    lines = "".join(f"<p>{html.escape(line)}</p>" for line in text.split("\n"))
-    return f'<article>{lines}<figure><img src="sha256:{digest}"><figcaption>{html.escape(caption)}</figcaption></figure></article>'
+#: Characters of whole lines that one figure of a drawn page shows, at least.
+BLOCK = 2_000
+
+
+def blocks_of(text: str) -> list[str]:
+    """Stretches of whole lines, each of BLOCK characters or more but the last."""
+    out, lines, size = [], [], 0
+    for line in text.split("\n"):
+        lines.append(line)
+        size += len(line) + 1
+        if size > BLOCK:
+            out.append("\n".join(lines))
+            lines, size = [], 0
+    return [*out, "\n".join(lines)] if lines or not out else out
+
+
+def payloads_of(text: str) -> list[bytes]:
+    """The whole text, and each of its blocks."""
+    return [x.encode("utf-8", "surrogatepass") for x in (text, *blocks_of(text))]
+
+
+def figure(payload: bytes, alt: str, caption: str) -> str:
+    said = f"<figcaption>{html.escape(caption)}</figcaption>" if caption else ""
+    return f'<figure><img src="sha256:{hashlib.sha256(padded(payload)).hexdigest()}" alt="{alt}">{said}</figure>'
+
+
+def rendered(text: str) -> str:
+    """A page of a text's lines: behind each block a figure of it under its first words, at the end one of the whole text."""
+    whole, *payloads = payloads_of(text)
+    out = []
+    for k, (block, payload) in enumerate(zip(blocks_of(text), payloads, strict=True)):
+        out += [f"<p>{html.escape(line)}</p>" for line in block.split("\n")]
+        out.append(figure(payload, f"block {k}", block[:40]))
+    return f"<article>{''.join(out)}{figure(whole, 'whole', f'{len(whole)} bytes')}</article>"
 
 
 #: Rows whose parts are held as Python objects at once.
 SLICE = 256
-PART_TYPE = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
+PART_TYPE = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string()), ("alt", pa.string())]))
 
 
 def interleaved(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
@@ -213,36 +257,42 @@ def interleaved(pages: DataFrame, id_column: str = "page_id", html_column: str =
 
 
 def references(sequences: DataFrame, id_column: str = "page_id") -> DataFrame:
-    """(id, position, caption, digest): one row for each media reference."""
+    """(id, position, caption, alt, digest): one row for each media reference."""
     part = sequences.select(id_column, F.explode("parts").alias("part")).where("part.kind = 'media'")
-    return part.select(id_column, "part.position", "part.caption", F.regexp_replace("part.ref", "^sha256:", "").alias("digest"))
+    return part.select(id_column, "part.position", "part.caption", "part.alt", F.regexp_replace("part.ref", "^sha256:", "").alias("digest"))
+
+
+#: Digests that a task remembers to write equal payloads once; beyond them it starts anew and only writes some twice.
+REMEMBERED = 500_000
 
 
-def store(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """Write each payload as a picture and return the store's reader: (digest, media).
+def store(payloads: DataFrame, column: str = "payload", pieces: Callable[[bytes | str | None], list[bytes]] = lambda value: [value or b""]) -> DataFrame:
+    """Write each payload as a picture and return the store's reader: (digest, media). pieces gives a row's payloads.
 
     A task writes equal payloads once; copies in other tasks are equal rows, of which readers take one.
     """
 
     def encode(batches):
         seen: set[bytes] = set()
+        names = ["digest", "media"]
         for batch in batches:
             digests, media, size = [], [], 0
-            for value in batch.column(0):
-                payload = padded(value.as_py() or b"")
+            for payload in (padded(x) for value in batch.column(0) for x in pieces(value.as_py())):
                 key = hashlib.sha256(payload)
                 if key.digest() in seen:
                     continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(key.digest())
                 digests.append(key.hexdigest())
                 media.append(to_png(payload))
                 size += len(media[-1])
                 if size > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(media, pa.binary())], names=["digest", "media"])
+                    yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(media, pa.binary())], names=names)
                     digests, media, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=names)
 
-    return written(payloads.select(F.col(column).cast("binary")).mapInArrow(encode, "digest string, media binary"), "media")
+    return written(payloads.select(column).mapInArrow(encode, "digest string, media binary"), "media")
 
 
 def read_back(stored: DataFrame) -> DataFrame:
@@ -269,10 +319,12 @@ def resolve(refs: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def document_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Each document as a page of its text and one figure that holds the text's bytes as samples.
+    """Each document as a page of its text with figures of its blocks, and one that holds the whole text's bytes as samples.
 
-    The page is drawn and parsed in one pass. Of its sequence the media parts leave the task, and of the whole
-    the number of parts and a digest over their order, kinds, texts and references.
+    The page is drawn and parsed in one pass. Of its sequence the media parts leave the task, and of the whole the
+    number of parts and a digest over their order, kinds, texts and references. All references are resolved; those of the
+    whole text give the row's features, and media_sequence_sha256 is a digest over position, caption, payload and
+    feature of all, in order.
     """
 
     def run(batches):
@@ -280,21 +332,24 @@ def document_media(docs: DataFrame, id_column: str = "doc_id", text_column: str
             for at in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(at, SLICE)
                 sizes, media, numbers, digests = [], [], [], []
-                for value in rows.column(1):
+                for value in rows.column(2):
                     text = value.as_py() or ""
-                    raw = text.encode("utf-8", "surrogatepass")
-                    sizes.append(len(raw))
-                    page = rendered(text, hashlib.sha256(padded(raw)).hexdigest(), f"{len(raw)} bytes")
-                    parts = parts_of(page)
+                    sizes.append(len(text.encode("utf-8", "surrogatepass")))
+                    parts = parts_of(rendered(text))
                     numbers.append(len(parts))
                     digests.append(sequence_digest(parts))
                     media.append([part for part in parts if part["kind"] == "media"])
-                columns = [rows.column(0), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(digests, pa.string()), pa.array(media, PART_TYPE)]
-                yield pa.RecordBatch.from_arrays(columns, names=[id_column, "n_bytes", "n_parts", "sequence_sha256", "parts"])
+                columns = [rows.column(0), rows.column(1), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(digests, pa.string()), pa.array(media, PART_TYPE)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n_bytes", "n_parts", "sequence_sha256", "parts"])
 
-    features = read_back(store(docs.select(F.col(text_column).alias("payload"))))
+    features = read_back(store(docs.select(text_column), text_column, lambda text: payloads_of(text or "")))
     kind = docs.schema[id_column].dataType.simpleString()
-    sequences = docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, n_parts bigint, sequence_sha256 string, parts {PARTS}")
-    refs = references(sequences.select(F.struct(id_column, "n_bytes", "n_parts", "sequence_sha256").alias("key"), "parts"), "key").select("key.*", "position", "caption", "digest")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    sequences = rows.mapInArrow(run, f"row bigint, id {kind}, n_bytes bigint, n_parts bigint, sequence_sha256 string, parts {PARTS}")
+    refs = references(sequences.select(F.struct("row", "id", "n_bytes", "n_parts", "sequence_sha256").alias("key"), "parts"), "key").select("key.*", "position", "caption", "digest")
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return resolve(refs, features).select(id_column, "n_bytes", *names, "position", "caption", "n_parts", "sequence_sha256")
+    part = F.struct("position", F.coalesce("caption", F.lit("")).alias("caption"), "payload_sha256", "feature")
+    told = F.transform(F.array_sort(F.collect_list(part)), lambda x: F.concat_ws(":", x["position"], F.length(x["caption"]), x["caption"], x["payload_sha256"], x["feature"]))
+    whole = F.max_by(F.struct("id", "n_bytes", *names, "position", "caption", "n_parts", "sequence_sha256"), "position")
+    out = resolve(refs, features).groupBy("row").agg(whole.alias("w"), F.count("*").alias("n_media"), F.sha2(F.array_join(told, ","), 256).alias("media_sequence_sha256"))
+    return out.select(F.col("w.id").alias(id_column), "w.n_bytes", *[f"w.{c}" for c in names], "w.position", "w.caption", "w.n_parts", "w.sequence_sha256", "n_media", "media_sequence_sha256")
