@@ -1,12 +1,15 @@
 """Personal data in plain and in disguised form, with spans in the source text.
 
 Plain identifiers are found by fixed patterns. For disguised ones small transducers rewrite the text:
-look-alike characters become ASCII, spelled digits become digits, and forms such as "(at)" or " dot "
+look-alike characters, compatibility forms and character entities become ASCII, spelled digits become digits, and forms such as "(at)" or " dot "
 become "@" and ".". Separators inside a spelled number go, first those up to commas; a span that another
 way of joining finds is taken where none of its kind was. Each rewritten stretch remembers where it came
 from, so a span found in the rewritten text is mapped back to the characters of the source. Plain spans
 always stay; a mapped span is added if it holds at least one rewritten stretch and is no plain span already.
 
+A bare " at " before a plain domain counts only if the name looks like one or an announcing word stands at most
+CUE_WORDS words before it; the word lists below are fixed values and decide no more than that.
+
 Defined cases: a null text is the empty text and has no spans; spans count code points, the end is
 exclusive; kinds are found independently and may overlap; repeated rows give repeated results; an empty table
 gives an empty result; other columns, whatever their names, are not looked at. Very long texts are scanned whole, in
@@ -19,6 +22,7 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,14 +86,18 @@ HINT = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punto|punkt|point|\.)\s
 AT = re.compile(rf"(?P<sure>{AT_MARK}|(?<=[a-z0-9])\s+(?:arroba|arobase)\s+)|(?P<bare>(?<=[a-z0-9])\s+at\s+)|@")
 LABEL = re.compile(r"[a-z0-9-]+")
 DOT = re.compile(rf"(?P<point>\s+point\s+)|(?P<word>{DOT_MARK}|\s+(?:dot|punto|punkt)\s+)|\.")
-LOCAL_POINT = re.compile(r"(?<=[a-z0-9])\s+point\s+(?=[a-z0-9._%+-]+\Z)")
 #: Ends of domains that tell an address from "at some point in".
 ENDS = frozenset("com org net edu gov info biz io dev app eu fr de es it uk us ca ch be nl lu pt pl se dk no fi ie mx ar br co cl pe jp cn ru au nz xyz".split())
 #: Words that are no name before " at " or no domain after it, and words that announce an address.
 NO_NAME = frozenset("me us you him her them it is are was were be look looks looking shop page site online now here there and or available visit found live work works working stay out up down in on to".split())
 NO_DOMAIN = frozenset("the a an this that some which what one any every each no".split())
-CUE = re.compile(r"(?<!\w)(?:e-?mails?|mails?|write|contact|reach|address|adresse|courriel|correo|escrib\w*|schreib\w*|[ée]cri\w*)\W+(?:\w+\W+){0,2}\Z")
-ODD = re.compile("[" + re.escape("".join(LOOK_ALIKES)) + INVISIBLE + "！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
+CUE = re.compile(r"emails?|mails?|write|contact|reach|address|adresse|courriel|correo|escrib\w*|schreib\w*|[ée]cri\w*")
+#: Words that may stand between an announcing word and a name, whatever separates them.
+CUE_WORDS = 2
+#: A character written as an entity; only letters, digits and the signs of identifiers are taken.
+ENTITY = re.compile(r"&(?:#0*([0-9]{2,3})|#x0*([0-9a-f]{2})|(commat|period|plus|lowbar|hyphen|dash))(?:;|(?![0-9a-z]))")
+ENTITY_NAMES = {"commat": "@", "period": ".", "plus": "+", "lowbar": "_", "hyphen": "-", "dash": "-"}
+SIGNS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789@.+_-()")
 
 
 def luhn(digits: str) -> bool:
@@ -150,14 +158,37 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def plain_form(c: str) -> str:
+@cache
+def plain_form(c: str) -> str | None:
+    """What a character stands for in an identifier; None if it stands for itself.
+
+    Besides the tables these are decimal digits of any script and compatibility forms of letters, digits and signs,
+    such as full-width, mathematical and circled ones; raised and lowered ones and fractions stand for themselves.
+    """
     if c in INVISIBLE:
         return ""
     if c in LOOK_ALIKES:
         return LOOK_ALIKES[c]
-    if "！" <= c <= "～":
-        return chr(ord(c) - 0xFEE0).lower()
-    return str(unicodedata.digit(c))
+    if c.isdecimal():
+        return str(unicodedata.decimal(c))
+    if unicodedata.decomposition(c).startswith(("<super>", "<sub>", "<fraction>")):
+        return None
+    form = unicodedata.normalize("NFKC", c).lower()
+    return form if form and (form in SIGNS or form.isascii() and form.isalnum()) else None
+
+
+def odd_edits(low: str) -> list[tuple[int, int, str]]:
+    """Characters and entities that stand for others."""
+    edits = []
+    if not low.isascii() and (odd := "".join(c for c in set(low) if not c.isascii() and plain_form(c) is not None)):
+        edits = [(m.start(), m.end(), plain_form(m.group())) for m in re.finditer(f"[{re.escape(odd)}]", low)]
+    if "&" in low:
+        for m in ENTITY.finditer(low):
+            c = ENTITY_NAMES.get(m[3]) or chr(int(m[1]) if m[1] else int(m[2], 16)).lower()
+            if c in SIGNS:
+                edits.append((m.start(), m.end(), c))
+        edits.sort()
+    return edits
 
 
 class Rewritten:
@@ -238,13 +269,49 @@ def digit_edits(text: str, runs: list[re.Match], level: int) -> list[tuple[int,
     return edits
 
 
+def is_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def announced(text: str, at: int) -> bool:
+    """Whether an announcing word stands before `at`, with CUE_WORDS words between at most."""
+    for _ in range(CUE_WORDS + 1):
+        end = at
+        while end > 0 and not is_word(text[end - 1]):
+            end -= 1
+        start = end
+        while start > 0 and is_word(text[start - 1]):
+            start -= 1
+        if end == at or start == end:
+            return False
+        if CUE.fullmatch(text, start, end):
+            return True
+        at = start
+    return False
+
+
 def named(text: str, at: int) -> bool:
     """Whether what ends at `at` looks like the name of an address before a plain domain."""
     start = at
     while start > 0 and text[start - 1] in LOCAL_CHARS:
         start -= 1
     name = text[start:at]
-    return name not in NO_NAME and (bool(re.search(r"[a-z0-9][._%+0-9-]+[a-z0-9]|[a-z][0-9]", name)) or bool(CUE.search(text, max(0, start - 60), start)))
+    return name not in NO_NAME and (bool(re.search(r"[a-z0-9][._%+0-9-]+[a-z0-9]|[a-z][0-9]", name)) or announced(text, start))
+
+
+def point_in_name(text: str, low: int, at: int) -> tuple[int, int] | None:
+    """A spelled point inside the name that ends at `at` and starts at low or later."""
+    start = at
+    while start > low and text[start - 1] in LOCAL_CHARS:
+        start -= 1
+    end = start
+    while end > low and text[end - 1].isspace():
+        end -= 1
+    first = end - len("point")
+    while first > low and text[first - 1].isspace():
+        first -= 1
+    spelled_so = text[max(end - 5, 0) : end] == "point" and first < end - 5 and first > low and text[first - 1] in LOCAL_CHARS and text[first - 1].isalnum()
+    return (first, start) if start < at and end < start and spelled_so else None
 
 
 def address_edits(text: str) -> list[tuple[int, int, str]]:
@@ -254,7 +321,9 @@ def address_edits(text: str) -> list[tuple[int, int, str]]:
     a mark that is no prose. A bare " at " before a domain of plain dots needs a name that looks like one.
     """
     edits: list[tuple[int, int, str]] = []
+    before = 0
     for m in AT.finditer(text):
+        low, before = before, m.end()
         first = label = LABEL.match(text, m.end())
         if not first or edits and m.start() < edits[-1][1]:
             continue
@@ -271,9 +340,8 @@ def address_edits(text: str) -> list[tuple[int, int, str]]:
         if m["bare"] and (first.group() in NO_DOMAIN or points and label.group() not in ENDS or not points and not any(d["word"] for d in dots) and not named(text, m.start())):
             continue
         if m["sure"]:
-            low = max(edits[-1][1] if edits else 0, m.start() - 100)
-            if p := LOCAL_POINT.search(text, low, m.start()):
-                edits.append((p.start(), p.end(), "."))
+            if p := point_in_name(text, max(low, edits[-1][1] if edits else 0), m.start()):
+                edits.append((*p, "."))
         if m.group() != "@":
             edits.append((m.start(), m.end(), "@"))
         edits += [(d.start(), d.end(), ".") for d in dots if d.group() != "."]
@@ -283,9 +351,7 @@ def address_edits(text: str) -> list[tuple[int, int, str]]:
 def rewritings(text: str) -> list[Rewritten]:
     """The text without its disguises, once for each way to join its spelled digits that differs; none if it has none."""
     low = lowered(text)
-    form = Rewritten(low)
-    if not low.isascii():
-        form = form.replace([(m.start(), m.end(), plain_form(m.group())) for m in ODD.finditer(low)])
+    form = Rewritten(low).replace(odd_edits(low))
     forms, tried, runs = [], [], list(DIGIT_RUN.finditer(form.text))
     for level in JOINS if runs else JOINS[:1]:
         edits = digit_edits(form.text, runs, level)
