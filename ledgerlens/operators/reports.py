@@ -19,15 +19,24 @@ def latest(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old rows that no new row of their report replaces, and the last new row of each key.
+    """Old rows and new ones in the order of seq, as if written one after the other.
 
-    Writing instalments of a file removes the whole file's row and all its earlier instalments; writing the
-    whole file removes its instalments. Rows of other reports stay as they are.
+    A row replaces that of its key. Writing an instalment of a file also removes the whole file's row, and writing the
+    whole file its instalments, those written just before included. Rows of other reports stay as they are.
     """
-    fresh = latest(new, [*REPORT, *KEY])
-    base = fresh.select(*REPORT, "folder", base_file(F.col("file")).alias("_base")).distinct()
-    stays = old.withColumn("_base", base_file(F.col("file"))).join(base, [*REPORT, "folder", "_base"], "left_anti").drop("_base")
-    return stays.unionByName(fresh)
+    at = [*REPORT, "folder", "base"]
+    fresh = latest(with_base(new), [*REPORT, *KEY])
+    whole = F.col("file") == F.col("base")
+    writes = fresh.groupBy(*at).agg(F.max(F.when(whole, F.col("seq"))).alias("_whole"), F.max(F.when(~whole, F.col("seq"))).alias("_part"))
+    other = F.when(whole, F.col("_part")).otherwise(F.col("_whole"))
+    stays = with_base(old).join(writes, at, "left").where(other.isNull()).drop("_whole", "_part")
+    stays = stays.join(fresh.select(*at, "file"), [*at, "file"], "left_anti")
+    lasts = fresh.join(writes, at, "left").where(other.isNull() | (other < F.col("seq")))
+    return stays.select(*old.columns).unionByName(lasts.select(*[c for c in old.columns if c in lasts.columns]))
+
+
+def with_base(rows: DataFrame) -> DataFrame:
+    return rows if "base" in rows.columns else rows.withColumn("base", base_file(F.col("file")))
 
 
 def posted(old: DataFrame, new: DataFrame, deletions: DataFrame) -> DataFrame:
@@ -102,8 +111,3 @@ def pending(found: DataFrame, known: DataFrame, cached: DataFrame) -> DataFrame:
     """Found files that the month's report lacks; reusable where any report holds them."""
     left = found.join(known.select(*KEY), KEY, "left_anti")
     return left.join(cached.select(*KEY).distinct().withColumn("reusable", F.lit(True)), KEY, "left").withColumn("reusable", F.coalesce("reusable", F.lit(False)))
-
-
-def write(rows: DataFrame, path: str) -> None:
-    """Overwrite only the (report_type, period) partitions that rows hold."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("report_type", "period").parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, predicates, text
 from ..operators import classify, extract, ledger, matching, reconcile, reports
+from ..operators import store as stored
 from ..sources.files import shared_folder
 from .inputs import BASIS_SQL, DOCS_SQL, ENTITY_SQL, KEYS_SQL, KIND_SQL, LINES_SQL, NAMED_SQL, NOTES_SQL, PAYABLE_SQL, documents, ledger_lines, read
 
@@ -281,14 +283,36 @@ def store(spark, sf_dir) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), F.concat(F.lit("u"), F.col("user_id").cast("string"), part).alias("file"), F.date_format("ts", "dd.MM.yyyy").alias("period"), F.col("event_type").alias("folder"), F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("payload"), F.lit("D").alias("report_type"))
 
 
-@query(f"""WITH {STORE_SQL}, fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period, file, folder ORDER BY seq DESC) AS n FROM rows_ WHERE seq % 5 = 0) WHERE n = 1),
-stays AS (SELECT * FROM rows_ o WHERE seq % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM fresh f WHERE regexp_replace(f.file, '#p\\d+$', '') = regexp_replace(o.file, '#p\\d+$', '') AND f.folder = o.folder AND f.period = o.period))
-SELECT seq, file, folder FROM stays UNION ALL SELECT seq, file, folder FROM fresh""")
+def upserts_sql(rows: str, place: str, at: str) -> str:
+    """The rows that are left of rows written in the order of place: of each key the last, unless the other form of the file was written later."""
+    return f"""based AS (SELECT *, regexp_replace(file, '#p\\d+$', '') AS base, {place} AS place FROM {rows}),
+lasts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {at}, folder, file ORDER BY place DESC) AS n FROM based) WHERE n = 1),
+judged AS (SELECT *, max(place) FILTER (WHERE file = base) OVER f AS last_whole, max(place) FILTER (WHERE file <> base) OVER f AS last_part FROM lasts WINDOW f AS (PARTITION BY {at}, folder, base)),
+left_over AS (SELECT * FROM judged WHERE CASE WHEN file = base THEN last_part IS NULL OR last_part < place ELSE last_whole IS NULL OR last_whole < place END)"""
+
+
+@query(f"""WITH {STORE_SQL}, old AS (SELECT * FROM rows_ WHERE seq % 5 <> 0), fresh_rows AS (SELECT * FROM rows_ WHERE seq % 5 = 0), {upserts_sql("fresh_rows", "seq", "period")},
+stays AS (SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM judged f WHERE f.period = o.period AND f.folder = o.folder AND (f.file = o.file OR f.base = regexp_replace(o.file, '#p\\d+$', '') AND (f.file = f.base) <> (o.file = f.base))))
+SELECT seq, file, folder FROM stays UNION ALL SELECT seq, file, folder FROM left_over""")
 def report_upsert(spark, sf_dir):
     rows = store(spark, sf_dir)
     return reports.upserted(rows.where("seq % 5 <> 0"), rows.where("seq % 5 = 0")).select("seq", "file", "folder")
 
 
+STORE_SCHEMA = "seq bigint, file string, folder string, payload string"
+
+
+@query(f"""WITH {STORE_SQL}, {upserts_sql("rows_", "CASE WHEN seq % 5 = 0 THEN 2 WHEN seq % 5 = 1 THEN 1 ELSE 0 END * 1000000000000 + seq", "period")} SELECT seq, file, folder, payload, period FROM left_over WHERE substr(period, 4) <> '02.2024'""")
+def report_store(spark, sf_dir):
+    """Reports written in three changes, the last one sent twice, and read back from the newest version without one month."""
+    rows, reports_of = store(spark, sf_dir), stored.ReportStore(spark, f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}", STORE_SCHEMA)
+    parts = (F.col("seq") % 5 > 1, F.col("seq") % 5 == 1, F.col("seq") % 5 == 0, F.col("seq") % 5 == 0)
+    for number, part in enumerate(parts):
+        new = rows.where(part)
+        reports_of.change(new, lambda old, new=new: reports.upserted(old, new), "load", min(number, 2))
+    return reports_of.rows().where("report_type = 'D' and substring(period, 4) <> '02.2024'").select("seq", "file", "folder", "payload", "period")
+
+
 @query(f"WITH {STORE_SQL} SELECT seq, file, folder FROM (SELECT *, row_number() OVER (PARTITION BY file, folder ORDER BY CASE WHEN payload IS NULL THEN 1 ELSE 0 END, CASE WHEN payload IS NULL THEN seq ELSE -seq END) AS n FROM rows_) WHERE n = 1")
 def report_best_rows(spark, sf_dir):
     return reports.best_by_payload(store(spark, sf_dir)).select("seq", "file", "folder")

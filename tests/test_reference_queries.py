@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates, predicates, text
-from ledgerlens.operators import classify, extract, graph, ledger, matching, reconcile, reports
+from ledgerlens.operators import classify, extract, graph, ledger, matching, reconcile, reports, store
 import ledgerlens.plans.documents  # noqa: F401  registers its queries
 from ledgerlens.plans.catalogue import ORACLE_SQL, QUERIES, STATUSES, keep
 from ledgerlens.sources import csv, files, workbook
@@ -413,6 +413,105 @@ def test_components_equal_a_walk(spark, seed):
     assert dict(graph.components(spark.createDataFrame(edges, "a long, b long"), keep).collect()) == least
 
 
+REPORT_SCHEMA = "seq bigint, file string, folder string, payload string, report_type string, period string"
+
+
+def plain_upserts(rows):
+    """Rows (seq, file, folder, payload, type, period) written one after the other."""
+    left = {}
+    for r in rows:
+        base = re.sub(r"#p\d+$", "", r[1])
+        at = lambda file: (r[4], r[5], file, r[2])  # noqa: B023, E731
+        if base != r[1]:
+            left.pop(at(base), None)
+        else:
+            for key in [k for k in left if (k[0], k[1], k[3]) == (r[4], r[5], r[2]) and k[2].startswith(f"{r[1]}#p")]:
+                del left[key]
+        left[at(r[1])] = r
+    return sorted(left.values())
+
+
+def report_rows(r, n, start=0):
+    return [(start + i, r.choice("ab") + ".pdf" + r.choice(["", "#p1", "#p2"]), r.choice("fg"), f"x{i}", r.choice("MD"), r.choice(["05.2026", "06.2026", "07.2026"])) for i in range(n)]
+
+
+@pytest.fixture
+def report_store(spark, tmp_path):
+    return store.ReportStore(spark, f"file://{tmp_path}", REPORT_SCHEMA, buckets=4)
+
+
+def stored_rows(kept):
+    return sorted(tuple(r[c] for c in ("seq", "file", "folder", "payload", "report_type", "period")) for r in kept.rows().collect())
+
+
+def upsert(spark, kept, rows, *once):
+    new = spark.createDataFrame(rows, REPORT_SCHEMA)
+    return kept.change(new, lambda old: reports.upserted(old, new), *once)
+
+
+def test_a_store_holds_what_was_written_in_order(spark, report_store):
+    r, every = random.Random(5), []
+    assert report_store.rows().collect() == []
+    for k in range(3):
+        rows = report_rows(r, 25, 100 * k)
+        every += rows
+        assert upsert(spark, report_store, rows) == k + 1
+        assert stored_rows(report_store) == plain_upserts(every)
+
+
+def test_lost_jobs_and_other_writers(spark, report_store, monkeypatch):
+    rows, more, other = ([(i, f"{i}.pdf", "f", "x", "M", p)] for i, p in ((1, "05.2026"), (2, "05.2026"), (3, "06.2026")))
+    upsert(spark, report_store, rows)
+    before = stored_rows(report_store)
+
+    def lost(_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:  # the rows are written and the version never is
+        m.setattr(report_store, "publish", lost)
+        with pytest.raises(RuntimeError):
+            upsert(spark, report_store, more)
+    assert stored_rows(report_store) == before
+    assert report_store.vacuum() == 1 and stored_rows(report_store) == before
+    real, tried = report_store.publish, []
+
+    def second(version):  # another writer is first, once
+        if not tried:
+            tried.append(1)
+            upsert(spark, store.ReportStore(spark, report_store.root, REPORT_SCHEMA, 4), other)
+        real(version)
+
+    monkeypatch.setattr(report_store, "publish", second)
+    assert upsert(spark, report_store, more) == 3
+    assert stored_rows(report_store) == plain_upserts(rows + other + more)
+
+
+def test_a_numbered_change_is_applied_once(spark, report_store):
+    rows = [(1, "1.pdf", "f", "x", "M", "05.2026")]
+    append = lambda: report_store.change(new, lambda old: old.drop("base").unionByName(new), "stream", 7)
+    new = spark.createDataFrame(rows, REPORT_SCHEMA)
+    assert [append(), append()] == [1, 1] and stored_rows(report_store) == rows
+    gone = report_store.change(new, lambda old: old.where("false"))
+    assert gone == 2 and stored_rows(report_store) == [] and report_store.version()["partitions"] == {}
+
+
+def test_store_reads_are_pruned_and_joins_need_no_shuffle_of_it(spark, report_store):
+    upsert(spark, report_store, report_rows(random.Random(6), 60))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    some = report_store.rows().where("report_type = 'M' and period = '05.2026'")
+    assert some.inputFiles() and all("report_type=M/period=05.2026" in f for f in some.inputFiles())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.requireAllClusterKeysForCoPartition")}
+    try:
+        for k, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.requireAllClusterKeysForCoPartition", "false")):
+            spark.conf.set(k, v)
+        keys = spark.range(5).select(F.lit("f").alias("folder"), F.concat(F.col("id").cast("string"), F.lit(".pdf")).alias("base"))
+        said = plan(report_store.rows().join(keys, ["folder", "base"], "left_anti"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "Bucketed: true" in said and said.count("Exchange hashpartitioning") == 1
+
+
 def test_cut_payload(spark):
     assert one(spark, extract.repaired(F.lit('{"rows":[{"k": 1},{"k": 2},{"k'))) == '{"rows":[{"k": 1},{"k": 2}]}'
     assert one(spark, extract.json_text(F.lit("no json"))) is None
