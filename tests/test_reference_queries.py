@@ -504,7 +504,7 @@ def test_store_reads_are_pruned_and_joins_need_no_shuffle_of_it(spark, report_st
     try:
         for k, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.requireAllClusterKeysForCoPartition", "false")):
             spark.conf.set(k, v)
-        keys = spark.range(5).select(F.lit("f").alias("folder"), F.concat(F.col("id").cast("string"), F.lit(".pdf")).alias("base"))
+        keys = spark.range(5).select(F.chr(F.lit(102) + F.col("id") % 2).alias("folder"), F.concat(F.col("id").cast("string"), F.lit(".pdf")).alias("base"))
         said = plan(report_store.rows().join(keys, ["folder", "base"], "left_anti"))
     finally:
         for k, v in old.items():
