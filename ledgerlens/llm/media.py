@@ -53,7 +53,7 @@ def to_png(payload: bytes) -> bytes:
     lines = np.zeros((len(rows), WIDTH + 1), dtype=np.uint8)
     lines[:, 1:] = rows
     header = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return PNG_HEAD + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
+    return PNG_HEAD + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 3)) + chunk(b"IEND", b"")
 
 
 def from_png(media: bytes) -> np.ndarray:
