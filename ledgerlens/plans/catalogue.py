@@ -167,9 +167,11 @@ def type_check(spark, sf_dir):
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; a session on one machine without one gets a folder there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage by a table in the shared checkpoint folder; its size is known, so small ones are sent to joins whole."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @query()
