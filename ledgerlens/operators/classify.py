@@ -31,6 +31,19 @@ WEAK = (
     ("NF", "NOTA FISCAL"),
     ("RECIBO", w("RECIBO")),
 )
+#: For each pattern a few words of which any match of it holds one, so that most texts are told by plain searches.
+HINTS = {
+    STRONG[0][1]: ("CONSORCIO",),
+    STRONG[1][1]: ("CTE", "CT-E", "MDF", "CONHECIMENTO", "TRANSPORTE RODOVIARIO"),
+    STRONG[2][1]: ("DARF", "ARRECADACAO DE", "GUIA D", "DCTFWEB", "FGTS DIGITAL", "GFD"),
+    STRONG[3][1]: ("DANFE", "DOCUMENTO AUXILIAR", "NATUREZA DA"),
+    STRONG[4][1]: ("NFS", "NOTA FISCAL"),
+    WEAK[0][1]: ("GUIA", "DCTFWEB", "INSS", "FGTS", "DARF", "GPS"),
+    WEAK[1][1]: ("NOTA FISCAL DE",),
+    WEAK[2][1]: ("FATURA",),
+    WEAK[3][1]: ("NOTA FISCAL",),
+    WEAK[4][1]: ("RECIBO",),
+}
 # An electronic invoice's key, the nature of its operation and its purchase order.
 ACCESS_KEY = rf"{B}(\d[\d ]{{42,52}}\d){E}"
 NATURE = r"NATUREZA DA OPERACAO[:\s]*([A-Z0-9 .,/-]{4,40})"
@@ -61,6 +74,7 @@ FIELDS = {
 }
 # Marks of a payment slip, and of its repeated parts.
 SLIP = "NOSSO NUMERO|FICHA DE COMPENSA|" + w("CEDENTE") + "|BENEFICIARIO|" + w("PAGADOR|SACADO") + "|LINHA DIGITAVEL"
+HINTS[SLIP] = ("NOSSO NUMERO", "FICHA DE COMPENSA", "CEDENTE", "BENEFICIARIO", "PAGADOR", "SACADO", "LINHA DIGITAVEL")
 SLIP_PARTS = (r"\d{5}[.\s]\d{5}\s+\d{5}[.\s]\d{6}\s+\d{5}[.\s]\d{6}\s+\d\s+\d{14}", r"NOSSO NUMERO\D{0,8}[\d./-]{6,}", r"VENCIMENTO\D{0,8}\d{2}[/.]\d{2}[/.]\d{2,4}")
 
 
@@ -69,11 +83,16 @@ def classified(text: Column, emitter: Column) -> Column:
     return bound(norm_ascii(text), lambda t: verdict_of(t, norm_ascii(emitter)))
 
 
+def holds(t: Column, pattern: str) -> Column:
+    """Whether a pattern matches; it is only tried where one of its words stands."""
+    return reduce(lambda a, b: a | b, [F.contains(t, F.lit(word)) for word in HINTS[pattern]]) & t.rlike(pattern)
+
+
 def verdict_of(t: Column, e: Column) -> Column:
     verdict = lambda kind, evidence, origin: F.struct(F.lit(kind).alias("kind"), evidence.alias("evidence"), F.lit(origin).alias("origin"))
-    rules = [(t.rlike(p), verdict(k, F.regexp_extract(t, p, 0), "strong")) for k, p in STRONG]
+    rules = [(holds(t, p), verdict(k, F.regexp_extract(t, p, 0), "strong")) for k, p in STRONG]
     rules.append((F.coalesce(e.rlike(PUBLIC_BODY), F.lit(False)), verdict("IMPOSTO", F.concat(F.lit("emitter: "), e), "emitter")))
-    rules += [(t.rlike(p), verdict(k, F.regexp_extract(t, p, 0), "weak")) for k, p in WEAK]
+    rules += [(holds(t, p), verdict(k, F.regexp_extract(t, p, 0), "weak")) for k, p in WEAK]
     chain = reduce(lambda c, rule: c.when(*rule), rules[1:], F.when(*rules[0]))
     return chain.otherwise(verdict(UNKNOWN, F.lit(None).cast("string"), "none"))
 
@@ -99,6 +118,6 @@ def may_hold_slips(text: Column, pages: Column) -> Column:
 
     def gate(t: Column) -> Column:
         repeated = [F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(p), F.lit(0)))) >= 2 for p in SLIP_PARTS]
-        return t.rlike(SLIP) & (reduce(lambda a, b: a | b, repeated) | (F.coalesce(pages, F.lit(0)) >= 2))
+        return holds(t, SLIP) & (reduce(lambda a, b: a | b, repeated) | (F.coalesce(pages, F.lit(0)) >= 2))
 
     return bound(norm_ascii(text), gate)

@@ -100,14 +100,15 @@ def answered(spark, sf_dir):
 
 ANSWER_SQL = f"""{PARTS_SQL}, counted AS (SELECT k, count(*) AS c, min(due) FILTER (WHERE r = 1) AS one FROM firsts WHERE r = 1 GROUP BY k),
 said AS (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'NF' WHEN 1 THEN 'FATURA' ELSE '' END AS kind, CASE WHEN o_orderkey % 3 = 0 THEN 'Firm ' || CAST(o_orderkey AS VARCHAR) ELSE '' END AS emitter, CASE WHEN o_orderkey % 5 = 0 THEN '02328280000197' ELSE '' END AS tax_id,
-ltrim(CAST(o_orderkey AS VARCHAR), '0') AS number, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS cents, CASE WHEN o_orderkey % 8 > 0 THEN coalesce(c, 0) ELSE 0 END AS n_parts, one FROM orders LEFT JOIN counted ON k = o_orderkey WHERE o_orderkey % 9 <> 0)"""
+ltrim(CAST(o_orderkey AS VARCHAR), '0') AS number, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS cents, CASE WHEN o_orderkey % 8 > 0 THEN coalesce(c, 0) ELSE 0 END AS n_parts, one FROM orders LEFT JOIN counted ON k = o_orderkey WHERE o_orderkey % 9 <> 0)"""  # every ninth order's answer holds no reading
 
 
-@query(f"WITH {ANSWER_SQL} SELECT k AS doc_seq, kind, emitter, tax_id, number, '' AS order_nr, cents, n_parts > 1 AS in_parts, CAST(n_parts AS INTEGER) AS n_parts FROM said")
+@query(f"""WITH {ANSWER_SQL} SELECT o_orderkey AS doc_seq, coalesce(kind, '') AS kind, coalesce(emitter, '') AS emitter, coalesce(tax_id, '') AS tax_id, coalesce(number, '') AS number, '' AS order_nr, coalesce(cents, 0) AS cents, coalesce(n_parts > 1, FALSE) AS in_parts, CAST(coalesce(n_parts, 0) AS INTEGER) AS n_parts FROM orders LEFT JOIN said ON k = o_orderkey""")
 def answer_clean(spark, sf_dir):
-    """Full readings made regular: known kinds, digits, amounts, distinct instalments."""
-    rows = answered(spark, sf_dir).where("k % 9 <> 0").select("k", payload.answers(F.col("answer")).alias("a"))
-    return rows.select(F.col("k").alias("doc_seq"), "a.kind", "a.emitter", "a.tax_id", "a.number", "a.order_nr", "a.cents", "a.in_parts", F.size("a.parts").alias("n_parts"))
+    """Full readings made regular: known kinds, digits, amounts, distinct instalments; answers without a reading are empty."""
+    rows = answered(spark, sf_dir).select("k", payload.answers(F.col("answer")).alias("a"))
+    text_of = lambda c: F.coalesce(f"a.{c}", F.lit("")).alias(c)
+    return rows.select(F.col("k").alias("doc_seq"), *[text_of(c) for c in ("kind", "emitter", "tax_id", "number", "order_nr")], F.coalesce("a.cents", F.lit(0)).alias("cents"), F.coalesce("a.in_parts", F.lit(False)).alias("in_parts"), F.when(F.col("a.parts").isNotNull(), F.size("a.parts")).otherwise(0).alias("n_parts"))
 
 
 @query(f"""WITH {ANSWER_SQL}, numbered AS (SELECT k, due, cents, row_number() OVER (PARTITION BY k ORDER BY place) AS i FROM firsts WHERE r = 1)

@@ -512,6 +512,26 @@ def test_store_reads_are_pruned_and_joins_need_no_shuffle_of_it(spark, report_st
     assert "Bucketed: true" in said and said.count("Exchange hashpartitioning") == 1
 
 
+MARK_TEXTS = [
+    "consórcio x", "cota de consorcio", "DACTE", "CTE 1", "CT-e 1", "MDF-E 5", "mdfe", "conhecimento de transporte", "transporte rodoviario de cargas", "DARF", "arrecadacao de receitas federais", "guia da previdência social",
+    "FGTS digital", "guia do FGTS", "GFD", "DARF-simples", "danfe", "documento auxiliar da nota fiscal eletroni", "documento auxiliar do conhecimento", "natureza da operação", "NFS-e", "NFSE", "nota fiscal de serviço eletrônica",
+    "nota fiscal eletronica de servicos", "guia", "INSS", "GPS", "nota fiscal de serviços", "fatura", "nota fiscal", "recibo", "recibos", "xDARFx", "", None, "nosso numero", "ficha de compensação", "cedente", "linha digitável", "pagador", "beneficiário",
+]
+
+
+def test_hints_lose_no_mark(spark):
+    """Every pattern alone, with and without its hints, over texts that hold each of its forms."""
+    texts = spark.createDataFrame([(t and f"a {t} b",) for t in MARK_TEXTS], "t string").select(text.norm_ascii(F.col("t")).alias("t"))
+    columns = [c for i, p in enumerate(classify.HINTS) for c in (classify.holds(F.col("t"), p).alias(f"h{i}"), F.col("t").rlike(p).alias(f"p{i}"))]
+    seen = set()
+    for r in texts.select("t", *columns).collect():
+        for i in range(len(classify.HINTS)):
+            assert r[f"h{i}"] == r[f"p{i}"], (r.t, i)
+            if r[f"p{i}"]:
+                seen.add(i)
+    assert seen == set(range(len(classify.HINTS)))
+
+
 def test_cut_payload(spark):
     assert one(spark, extract.repaired(F.lit('{"rows":[{"k": 1},{"k": 2},{"k'))) == '{"rows":[{"k": 1},{"k": 2}]}'
     assert one(spark, extract.json_text(F.lit("no json"))) is None
