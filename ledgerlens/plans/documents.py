@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..functions.predicates import is_card_file, is_tax
 from ..operators import classify, payload, reports
+from ..operators.store import ReportStore
 from ..sources import csv
 from ..sources.files import shared_folder
 from ..streaming import ingest
@@ -271,10 +272,26 @@ def stream_ingest(spark, sf_dir):
     files = read(spark, sf_dir, "nation").select(F.col("n_name").alias("value"), F.concat(day, F.lit(" , X , NF 1.txt")).alias("name"))
     files.write.partitionBy("name").text(f"{path}/in")
 
-    def sink(batch, _):
-        batch.write.mode("append").parquet(f"{path}/out")
+    schema = "text string, file string, folder string, day date"
+    once = ingest.into_store(f"{path}/store", schema, "ingest")
+
+    def sink(batch, number):
+        rows = batch.select("text", F.col("name").alias("file"), "folder", "day", "period")
+        for _ in range(2):
+            once(rows, number)
 
     for _ in range(2):
         rows = ingest.new_files(spark, f"{path}/in", "*.txt").withColumn("folder", F.regexp_replace("folder", ".*name=", ""))
         ingest.run_once(ingest.filed(rows.withColumn("name", F.url_decode(F.replace("folder", F.lit("+"), F.lit("%2B"))))), f"{path}/seen", sink)
-    return spark.read.parquet(f"{path}/out").select(F.trim(F.regexp_replace("text", "\n", "")).alias("text"), "period", "day")
+    return ReportStore(spark, f"{path}/store", schema).rows().select(F.trim(F.regexp_replace("text", "\n", "")).alias("text"), "period", "day")
+
+
+@query("""WITH found AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || '!' ELSE coalesce(text, '') END AS content FROM documents), known AS (SELECT doc_id, arg_max(content, seq) AS content FROM (SELECT doc_id, coalesce(text, '') AS content, 2 AS seq FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 'old', CASE WHEN doc_id % 7 = 0 THEN 3 ELSE 1 END FROM documents WHERE doc_id % 5 <> 0) GROUP BY 1)
+SELECT f.doc_id, sha256(f.content) AS digest, k.doc_id IS NOT NULL AS changed FROM found f LEFT JOIN known k USING (doc_id) WHERE k.doc_id IS NULL OR k.content <> f.content""")
+def changed_files(spark, sf_dir):
+    """Files whose content is new: a fifth was never read, a third was edited, and a seventh had another revision last."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("file"), F.lit("f").alias("folder"), F.coalesce("text", F.lit("")).alias("text"))
+    found = ingest.with_digest(docs.withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), "content")
+    old = docs.where("doc_id % 5 <> 0")
+    known = ingest.with_digest(old, "text").withColumn("seq", F.lit(2)).unionByName(ingest.with_digest(old.withColumn("text", F.lit("old")), "text").withColumn("seq", F.when(F.col("doc_id") % 7 == 0, 3).otherwise(1)))
+    return ingest.changed(found.select("doc_id", "file", "folder", "digest"), known.select("file", "folder", "digest", "seq")).select("doc_id", "digest", "changed")
