@@ -53,7 +53,7 @@ def to_png(payload: bytes) -> bytes:
     lines = np.zeros((len(rows), WIDTH + 1), dtype=np.uint8)
     lines[:, 1:] = rows
     header = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return PNG_HEAD + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 3)) + chunk(b"IEND", b"")
+    return PNG_HEAD + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
 def from_png(media: bytes) -> np.ndarray:
@@ -202,8 +202,11 @@ def sequence_digest(parts: list[dict]) -> str:
     return h.hexdigest()
 
 
-#: Characters of whole lines that one figure of a drawn page shows, at least.
-BLOCK = 2_000
+#: Characters of whole lines that stand between two figures of a drawn page, at least.
+BLOCK = 8_000
+
+
+WHOLE = "whole"
 
 
 def blocks_of(text: str) -> list[str]:
@@ -219,8 +222,8 @@ def blocks_of(text: str) -> list[str]:
 
 
 def payloads_of(text: str) -> list[bytes]:
-    """The whole text, and each of its blocks."""
-    return [x.encode("utf-8", "surrogatepass") for x in (text, *blocks_of(text))]
+    """The whole text, and the first line of each of its blocks, which many texts may share."""
+    return [x.encode("utf-8", "surrogatepass") for x in (text, *(block.partition("\n")[0] for block in blocks_of(text)))]
 
 
 def figure(payload: bytes, alt: str, caption: str) -> str:
@@ -229,13 +232,13 @@ def figure(payload: bytes, alt: str, caption: str) -> str:
 
 
 def rendered(text: str) -> str:
-    """A page of a text's lines: behind each block a figure of it under its first words, at the end one of the whole text."""
+    """A page of a text's lines: behind each block a figure of its first line, under the words of that, at the end one of the whole text."""
     whole, *payloads = payloads_of(text)
     out = []
     for k, (block, payload) in enumerate(zip(blocks_of(text), payloads, strict=True)):
         out += [f"<p>{html.escape(line)}</p>" for line in block.split("\n")]
         out.append(figure(payload, f"block {k}", block[:40]))
-    return f"<article>{''.join(out)}{figure(whole, 'whole', f'{len(whole)} bytes')}</article>"
+    return f"<article>{''.join(out)}{figure(whole, WHOLE, f'{len(whole)} bytes')}</article>"
 
 
 #: Rows whose parts are held as Python objects at once.
@@ -319,12 +322,12 @@ def resolve(refs: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def document_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Each document as a page of its text with figures of its blocks, and one that holds the whole text's bytes as samples.
+    """Each document as a page of its text with figures of lines, and one that holds the whole text's bytes as samples.
 
     The page is drawn and parsed in one pass. Of its sequence the media parts leave the task, and of the whole the
     number of parts and a digest over their order, kinds, texts and references. All references are resolved; those of the
-    whole text give the row's features, and media_sequence_sha256 is a digest over position, caption, payload and
-    feature of all, in order.
+    whole text give the row's features, and media_sequence_sha256 is a digest over those of position, caption, payload and
+    feature of each, in order.
     """
 
     def run(batches):
@@ -346,10 +349,12 @@ def document_media(docs: DataFrame, id_column: str = "doc_id", text_column: str
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     sequences = rows.mapInArrow(run, f"row bigint, id {kind}, n_bytes bigint, n_parts bigint, sequence_sha256 string, parts {PARTS}")
-    refs = references(sequences.select(F.struct("row", "id", "n_bytes", "n_parts", "sequence_sha256").alias("key"), "parts"), "key").select("key.*", "position", "caption", "digest")
+    refs = references(sequences.select(F.struct("row", "id", "n_bytes", "n_parts", "sequence_sha256").alias("key"), "parts"), "key").select("key.*", "position", "caption", "alt", "digest")
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    part = F.struct("position", F.coalesce("caption", F.lit("")).alias("caption"), "payload_sha256", "feature")
-    told = F.transform(F.array_sort(F.collect_list(part)), lambda x: F.concat_ws(":", x["position"], F.length(x["caption"]), x["caption"], x["payload_sha256"], x["feature"]))
-    whole = F.max_by(F.struct("id", "n_bytes", *names, "position", "caption", "n_parts", "sequence_sha256"), "position")
-    out = resolve(refs, features).groupBy("row").agg(whole.alias("w"), F.count("*").alias("n_media"), F.sha2(F.array_join(told, ","), 256).alias("media_sequence_sha256"))
+    said = F.concat_ws(":", "position", F.length(F.coalesce("caption", F.lit(""))), F.coalesce("caption", F.lit("")), "payload_sha256", "feature")
+    # what a part adds is shortened, and only the whole text's features are taken along, before rows meet again
+    whole = F.when(F.col("alt") == WHOLE, F.struct("id", "n_bytes", *names, "position", "caption", "n_parts", "sequence_sha256"))
+    parts = resolve(refs, features).select("row", F.struct("position", F.left(F.sha2(said, 256), F.lit(16)).alias("h")).alias("part"), whole.alias("w"))
+    told = F.transform(F.array_sort(F.collect_list("part")), lambda x: x["h"])
+    out = parts.groupBy("row").agg(F.max("w").alias("w"), F.count("*").alias("n_media"), F.sha2(F.array_join(told, ","), 256).alias("media_sequence_sha256"))
     return out.select(F.col("w.id").alias(id_column), "w.n_bytes", *[f"w.{c}" for c in names], "w.position", "w.caption", "w.n_parts", "w.sequence_sha256", "n_media", "media_sequence_sha256")

@@ -441,9 +441,9 @@ def test_document_media(docs):
         if "\x00" not in text:
             told = []
             for k, (_, x, caption) in media_parts:
-                payload = media.padded(x.encode())
+                payload = media.padded((x if k == len(want) - 1 else x.partition("\n")[0]).encode())
                 caption = caption or f"block {[p[0] for p in media_parts].index(k)}"
-                told.append(f"{k}:{len(caption)}:{caption}:{sha(payload)}:{media.feature(np.frombuffer(payload, dtype=np.uint8))}")
+                told.append(sha(f"{k}:{len(caption)}:{caption}:{sha(payload)}:{media.feature(np.frombuffer(payload, dtype=np.uint8))}")[:16])
             assert r.media_sequence_sha256 == sha(",".join(told))
 
 
