@@ -74,6 +74,10 @@ FIELDS = {
 }
 # Marks of a payment slip, and of its repeated parts.
 SLIP = "NOSSO NUMERO|FICHA DE COMPENSA|" + w("CEDENTE") + "|BENEFICIARIO|" + w("PAGADOR|SACADO") + "|LINHA DIGITAVEL"
+# Words of a carrier's paper that the text alone does not prove.
+TRANSPORT = w("EXPRESSO|TRANSPORTES?") + "|TRANSPORTADORA|RODOVIARIO|" + w("LOGISTICA") + "|TRANSPORTE DE CARGA"
+CONFIRMED = "DACTE confirmado"
+HINTS[TRANSPORT] = ("EXPRESSO", "TRANSPORT", "RODOVIARIO", "LOGISTICA")
 HINTS[SLIP] = ("NOSSO NUMERO", "FICHA DE COMPENSA", "CEDENTE", "BENEFICIARIO", "PAGADOR", "SACADO", "LINHA DIGITAVEL")
 SLIP_PARTS = (r"\d{5}[.\s]\d{5}\s+\d{5}[.\s]\d{6}\s+\d{5}[.\s]\d{6}\s+\d\s+\d{14}", r"NOSSO NUMERO\D{0,8}[\d./-]{6,}", r"VENCIMENTO\D{0,8}\d{2}[/.]\d{2}[/.]\d{2,4}")
 
@@ -97,6 +101,31 @@ def verdict_of(t: Column, e: Column) -> Column:
     return chain.otherwise(verdict(UNKNOWN, F.lit(None).cast("string"), "none"))
 
 
+def analyzed(text: Column, emitter: Column, picture: Column, reading: Column) -> Column:
+    """(kind, evidence, origin, read, text): a document's verdict, with a reading of its picture as a second source.
+
+    The reading counts where the text is a picture's or tells no kind, if it tells one. A document of another kind that
+    no strong mark proves, and whose text sounds like a carrier's, becomes a CTE if the reading holds that kind's mark.
+    """
+    said = F.struct(text.alias("text"), reading.alias("reading"), classified(text, emitter).alias("c"), classified(reading, emitter).alias("r"), F.coalesce(picture, F.lit(False)).alias("picture"))
+
+    def judge(x: Column) -> Column:
+        unsure = x["reading"].isNotNull() & (x["picture"] | (x["c"]["kind"] == UNKNOWN))
+        taken = unsure & (x["r"]["kind"] != UNKNOWN)
+        read = taken | (unsure & x["picture"])
+        verdict = F.when(taken, x["r"]).otherwise(x["c"])
+        full = F.when(taken, x["reading"]).when(read, F.coalesce(absent(x["reading"]), x["text"])).otherwise(x["text"])
+        carrier = ~read & (verdict["kind"] != "CTE") & (verdict["origin"] != "strong") & x["reading"].isNotNull()
+        carrier &= bound(norm_ascii(x["text"]), lambda t: holds(t, TRANSPORT)) & bound(norm_ascii(x["reading"]), lambda t: holds(t, STRONG[1][1]))
+        carrier = F.coalesce(carrier, F.lit(False))
+        return F.struct(
+            F.when(carrier, "CTE").otherwise(verdict["kind"]).alias("kind"), F.when(carrier, CONFIRMED).otherwise(verdict["evidence"]).alias("evidence"), F.when(carrier, "reading").otherwise(verdict["origin"]).alias("origin"),
+            (F.coalesce(read, F.lit(False)) | carrier).alias("read"), F.when(carrier, F.concat(x["text"], F.lit("\n"), x["reading"])).otherwise(full).alias("text"),
+        )
+
+    return bound(said, judge)
+
+
 def fields(text: Column, kind: str) -> Column:
     """The labelled fields of a kind; what is not there is NULL."""
     return bound(norm_ascii(text), lambda t: F.struct(*[F.trim(found(t, p)).alias(name) for name, p in FIELDS[kind].items()]))

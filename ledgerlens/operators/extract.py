@@ -90,6 +90,34 @@ def card_rows(cards: DataFrame, card: str, label: str) -> DataFrame:
     return rows.join(names.select("owner", card, "sheet"), ["owner", card]).withColumn("line", place)
 
 
+# The first row of a card's sheet, the names of its sections, and how a section's row looks.
+SHEET_HEADER = ("Data", "Descrição", "Parcela", "Valor (R$)")
+SECTION_NAMES = {"payments": "PAGAMENTO E DEMAIS CRÉDITOS", "expenses": "DESPESAS", "instalments": "PARCELAMENTOS"}
+
+
+def card_sheets(cards: DataFrame, card: str, label: str) -> DataFrame:
+    """(owner, card, sheet, line, seq, cells): each card's sheet, with its header, a row before each section, and card_rows().
+
+    cards: as for card_rows(), with date and part besides. A section has its row if it has any entry at all, valid or not.
+    """
+    names = cards.select("owner", card, label).distinct()
+    run = F.row_number().over(Window.partitionBy("owner", label).orderBy(card))
+    names = names.withColumn("sheet", F.when(run > 1, F.concat(F.col(label), F.lit(" ("), run.cast("string"), F.lit(")"))).otherwise(F.col(label)))
+    order = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
+    known = cards.withColumn("section_order", order).where("section_order > 0")
+    title = F.element_at(F.create_map(*[F.lit(x) for kv in SECTION_NAMES.items() for x in kv]), F.col("section"))
+    heads = known.select("owner", card, "section_order", "section").distinct()
+    cells = lambda *c: F.array(*[F.coalesce(x, F.lit("")) for x in c]).alias("cells")
+    blank, none = F.lit(""), F.lit(None).cast("bigint").alias("seq")
+    valid = known.where((F.coalesce(F.trim("text"), F.lit("")) != "") & F.col("cents").isNotNull())
+    amount = (F.col("cents") / 100).cast("decimal(18,2)").cast("string")
+    rows = names.select("owner", card, F.lit(0).alias("section_order"), F.lit(0).alias("_k"), none, F.array(*[F.lit(h) for h in SHEET_HEADER]).alias("cells"))
+    rows = rows.unionByName(heads.select("owner", card, "section_order", F.lit(0).alias("_k"), none, cells(F.concat(F.lit("── "), title, F.lit(" ──")), blank, blank, blank)))
+    rows = rows.unionByName(valid.select("owner", card, "section_order", F.lit(1).alias("_k"), "seq", cells(F.trim("date"), F.trim("text"), F.trim("part"), amount)))
+    line = F.row_number().over(Window.partitionBy("owner", card).orderBy("section_order", "_k", "seq"))
+    return rows.withColumn("line", line).join(names.select("owner", card, "sheet"), ["owner", card]).select("owner", card, "sheet", "line", "seq", "cells")
+
+
 def statement_rows(rows: DataFrame) -> DataFrame:
     """Movements with a text and an amount; a balance that is no number is blank."""
     amount, balance = F.col("amount").try_cast("decimal(18,2)"), F.col("balance").try_cast("decimal(18,2)")

@@ -111,3 +111,14 @@ def pending(found: DataFrame, known: DataFrame, cached: DataFrame) -> DataFrame:
     """Found files that the month's report lacks; reusable where any report holds them."""
     left = found.join(known.select(*KEY), KEY, "left_anti")
     return left.join(cached.select(*KEY).distinct().withColumn("reusable", F.lit(True)), KEY, "left").withColumn("reusable", F.coalesce("reusable", F.lit(False)))
+
+
+def companies_by_name(companies: DataFrame) -> DataFrame:
+    """(company_id, name, tax_id, kind, state) in the order of names, as a list shows them."""
+    return companies.select("company_id", "name", "tax_id", "kind", "state").orderBy("name", "company_id")
+
+
+def schedule(times: DataFrame) -> DataFrame:
+    """(schedule_id, at): the times of day when folders are read, as HH:MM, once each, the earliest first."""
+    at = F.regexp_extract(F.trim("at"), r"^((?:[01]\d|2[0-3]):[0-5]\d)(?::\d{2})?$", 1)
+    return times.select("schedule_id", at.alias("at")).where("at <> ''").groupBy("at").agg(F.min("schedule_id").alias("schedule_id")).select("schedule_id", "at").orderBy("at")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions.predicates import is_card_file, is_tax
-from ..operators import classify, payload, reports
+from ..operators import classify, extract, payload, reports
 from ..operators.store import ReportStore
-from ..sources import csv
+from ..sources import csv, workbook
 from ..sources.files import shared_folder
 from ..streaming import ingest
 from .catalogue import STORE_SQL, query, store
@@ -255,10 +259,11 @@ def first_pages(spark, sf_dir):
     return payload.first_pages(read(spark, sf_dir, "conversations"), "conv_id", "turn").select(F.col("turn").alias("place"), "conv_id", "text")
 
 
-@query("SELECT event_id, event_type || '; \"' || coalesce(props, '') || '\"' || chr(10) || 'x' AS note, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS kind FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '  blank before' ELSE event_type || '; \"' || coalesce(props, '') || '\"' || chr(10) || 'x' END AS note, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS kind FROM events")
 def csv_roundtrip(spark, sf_dir):
-    """Report rows with separators, quotes and line breaks, written as semicolon CSV and read back."""
-    rows = read(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit('; "'), F.coalesce("props", F.lit("")), F.lit('"\nx')).alias("note"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("kind"))
+    """Report rows with separators, quotes, blanks and line breaks, written as semicolon CSV and read back; absent is empty."""
+    note = F.when(F.col("event_id") % 5 == 0, "  blank before").otherwise(F.concat("event_type", F.lit('; "'), F.coalesce("props", F.lit("")), F.lit('"\nx')))
+    rows = read(spark, sf_dir, "events").select("event_id", note.alias("note"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).when(F.col("event_id") % 2 == 0, "").alias("kind"))
     path = f"{shared_folder(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
     csv.write(rows, path)
     return csv.read(spark, path, "event_id bigint, note string, kind string")
@@ -295,3 +300,76 @@ def changed_files(spark, sf_dir):
     old = docs.where("doc_id % 5 <> 0")
     known = ingest.with_digest(old, "text").withColumn("seq", F.lit(2)).unionByName(ingest.with_digest(old.withColumn("text", F.lit("old")), "text").withColumn("seq", F.when(F.col("doc_id") % 7 == 0, 3).otherwise(1)))
     return ingest.changed(found.select("doc_id", "file", "folder", "digest"), known.select("file", "folder", "digest", "seq")).select("doc_id", "digest", "changed")
+
+
+CARDS_SQL = """c AS (SELECT o_custkey AS owner, o_orderkey AS card, 'Card ' || o_orderstatus AS label FROM orders), place AS (SELECT *, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS seq FROM lineitem),
+r AS (SELECT l_orderkey AS card, CASE l_linenumber % 4 WHEN 0 THEN 'other' WHEN 1 THEN 'PARCELAMENTOS' WHEN 2 THEN 'PAGAMENTO E DEMAIS CRÉDITOS' ELSE 'DESPESAS' END AS section, CASE l_linenumber % 4 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS so, seq, l_linenumber % 5 <> 3 AS valid, strftime(l_shipdate, '%d/%m') AS day, CAST(CAST(round(l_extendedprice * 100) AS BIGINT) / 100 AS DECIMAL(18,2)) AS amount FROM place),
+s AS (SELECT owner, card, label || CASE WHEN row_number() OVER (PARTITION BY owner, label ORDER BY card) > 1 THEN ' (' || CAST(row_number() OVER (PARTITION BY owner, label ORDER BY card) AS VARCHAR) || ')' ELSE '' END AS sheet FROM c WHERE card IN (SELECT card FROM r))"""
+
+
+@query(f"""WITH {CARDS_SQL}, rows_ AS (SELECT card, 0 AS so, 0 AS k, NULL AS seq, 'Data|Descrição|Parcela|Valor (R$)' AS cells FROM s UNION ALL SELECT DISTINCT card, so, 0, CAST(NULL AS BIGINT), '── ' || section || ' ──|||' FROM r WHERE section <> 'other'
+UNION ALL SELECT card, so, 1, seq, day || '|row||' || CAST(amount AS VARCHAR) FROM r WHERE section <> 'other' AND valid)
+SELECT card, sheet, row_number() OVER (PARTITION BY owner, card ORDER BY so, k, seq) AS line, seq, cells FROM rows_ JOIN s USING (card)""")
+def card_sheets(spark, sf_dir):
+    """Each card's sheet with its header and a row before each section; every fifth entry has no text."""
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
+    names = F.array(F.lit("other"), F.lit("instalments"), F.lit("payments"), F.lit("expenses"))
+    n = F.col("l_linenumber")
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("card"), F.get(names, (n % 4).cast("int")).alias("section"), (F.col("l_orderkey") * 1000 + F.row_number().over(place)).alias("seq"), F.when(n % 5 == 3, " ").otherwise("row").alias("text"), F.date_format("l_shipdate", "dd/MM").alias("date"), F.lit("").alias("part"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
+    cards = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("card"), F.concat(F.lit("Card "), F.col("o_orderstatus")).alias("label"))
+    return extract.card_sheets(cards.join(items, "card"), "card", "label").select("card", "sheet", "line", "seq", F.array_join("cells", "|").alias("cells"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'CTE' WHEN 1 THEN 'RECIBO' WHEN 2 THEN 'RECIBO' WHEN 4 THEN 'NF' ELSE 'Não identificado' END AS kind, CASE doc_id % 5 WHEN 0 THEN 'DACTE confirmado' WHEN 1 THEN 'RECIBO' WHEN 2 THEN 'RECIBO' WHEN 4 THEN 'DANFE' END AS evidence,
+CASE doc_id % 5 WHEN 0 THEN 'reading' WHEN 1 THEN 'weak' WHEN 2 THEN 'weak' WHEN 4 THEN 'strong' ELSE 'none' END AS origin, doc_id % 5 IN (0, 2, 3) AS "read", CASE doc_id % 5 WHEN 0 THEN length(coalesce(text, '')) + 34 WHEN 1 THEN length(coalesce(text, '')) + 25 WHEN 2 THEN 14 WHEN 3 THEN 6 ELSE length(coalesce(text, '')) + 23 END AS chars FROM documents""")
+def analyzed_documents(spark, sf_dir):
+    """Documents with readings of their pictures: a carrier's confirmed, one without a reading, pictures that tell a kind or none, a strong mark that stays."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    case = F.col("doc_id") % 5
+    said = F.concat(F.when(case < 2, "Recibo Transportadora 1: ").when(case == 4, "DANFE, Transportadora: ").otherwise(""), "text")
+    reading = F.when(case == 0, "DACTE 17").when(case == 2, "Recibo 1234567").when(case == 3, "lorem ").when(case == 4, "CT-e 5")
+    rows = docs.select("doc_id", classify.analyzed(said, F.lit(None).cast("string"), case.isin(2, 3), reading).alias("a"))
+    return rows.select("doc_id", "a.kind", "a.evidence", "a.origin", "a.read", F.length("a.text").cast("bigint").alias("chars"))
+
+
+@query("SELECT n_nationkey AS company_id, n_name AS name, CAST(n_nationkey AS VARCHAR) AS tax_id, 'C' AS kind, 'SP' AS state FROM nation ORDER BY name, company_id")
+def companies_listing(spark, sf_dir):
+    return reports.companies_by_name(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("company_id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("tax_id"), F.lit("C").alias("kind"), F.lit("SP").alias("state")))
+
+
+@query("SELECT min(event_id) AS schedule_id, strftime(ts, '%H:%M') AS \"at\" FROM events WHERE event_id % 10 <> 3 GROUP BY 2 ORDER BY 2")
+def schedule_listing(spark, sf_dir):
+    """Times of day, with or without seconds; every tenth is none."""
+    k = F.col("event_id")
+    at = F.when(k % 10 == 3, "25:00").when(k % 2 == 0, F.date_format("ts", "HH:mm:ss")).otherwise(F.concat(F.lit(" "), F.date_format("ts", "HH:mm")))
+    return reports.schedule(read(spark, sf_dir, "events").select(k.alias("schedule_id"), at.alias("at")))
+
+
+SHEET = ("ORIG", "NF", "ENTIDADE", "VL_TOTAL_CAB", "VL_ITEM", "DT_EMISSAO", "TIPO")
+
+
+def as_workbook(rows):
+    """One customer's lines as a workbook of one sheet: a title, the header, a row for each line."""
+    cell = lambda v: f"<c r=\"{{}}\" t=\"inlineStr\"><is><t>{escape(v)}</t></is></c>" if isinstance(v, str) else f"<c r=\"{{}}\"><v>{v}</v></c>"
+    lines = [("Ledger",), SHEET, *rows[["orig", "nf", "entity", "header", "item", "serial", "category"]].itertuples(index=False)]
+    xml = "".join(f'<row r="{n}">' + "".join(cell(v).format(f"{chr(65 + k)}{n}") for k, v in enumerate(line)) + "</row>" for n, line in enumerate(lines, start=1))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{xml}</sheetData></worksheet>')
+    return pd.DataFrame({"path": [str(rows["owner"].iloc[0])], "content": [data.getvalue()]})
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) + 1 AS seq, 'CP' AS orig, CAST(o_orderkey AS VARCHAR) AS nf, 'Firm & Co ' || CAST(o_custkey AS VARCHAR) AS entity,
+CAST(round(o_totalprice * 100) AS BIGINT) AS header_cents, CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE 1 END * CAST(round(o_totalprice * 100) AS BIGINT) AS signed_cents, CAST(round(l_extendedprice * 100) AS BIGINT) AS item_cents, CAST(o_orderdate AS DATE) AS issue_date, 'FATURA' AS category FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def workbook_lines(spark, sf_dir):
+    """Ledger lines written as one workbook a customer and read from it; a quarter of the headers and half of the items are negative."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"]
+    items = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    k = F.col("o_orderkey")
+    rows = items.select(
+        F.col("o_custkey").alias("owner"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(*order)).alias("n"), F.lit("CP").alias("orig"), k.cast("string").alias("nf"), F.concat(F.lit("Firm & Co "), F.col("o_custkey").cast("string")).alias("entity"),
+        (F.col("o_totalprice") * F.when(k % 4 == 0, -1).otherwise(1)).cast("double").alias("header"), (F.col("l_extendedprice") * F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)).cast("double").alias("item"),
+        F.datediff(F.to_date("o_orderdate"), F.lit("1899-12-30").cast("date")).alias("serial"), F.lit("FATURA").alias("category"),
+    )
+    files = rows.groupBy("owner").applyInPandas(lambda g: as_workbook(g.sort_values("n")), "path string, content binary")
+    return workbook.ledger_lines(workbook.unpacked(files)).select("path", "seq", "orig", "nf", "entity", "header_cents", "signed_cents", "item_cents", "issue_date", "category")

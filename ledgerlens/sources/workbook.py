@@ -68,8 +68,12 @@ def cell_rows(content: bytes) -> Iterator[tuple[int, dict[int, str]]]:
 
 
 def sheet_rows(spark: SparkSession, root: str, pattern: str = "*.xlsx") -> DataFrame:
-    """(path, row, cells): the data rows of all workbooks, each a map from header to value as written."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "content")
+    """(path, row, cells): the data rows of all workbooks below root."""
+    return unpacked(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root))
+
+
+def unpacked(files: DataFrame) -> DataFrame:
+    """(path, row, cells): the data rows of workbooks (path, content), each a map from header to value as written."""
 
     def run(batches):
         kind = pa.map_(pa.string(), pa.string())
@@ -93,7 +97,7 @@ def sheet_rows(spark: SparkSession, root: str, pattern: str = "*.xlsx") -> DataF
                 if rows:
                     yield made()
 
-    return files.mapInArrow(run, "path string, row bigint, cells map<string,string>")
+    return files.select("path", "content").mapInArrow(run, "path string, row bigint, cells map<string,string>")
 
 
 def ledger_lines(rows: DataFrame) -> DataFrame:

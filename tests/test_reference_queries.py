@@ -515,7 +515,7 @@ def test_store_reads_are_pruned_and_joins_need_no_shuffle_of_it(spark, report_st
 MARK_TEXTS = [
     "consórcio x", "cota de consorcio", "DACTE", "CTE 1", "CT-e 1", "MDF-E 5", "mdfe", "conhecimento de transporte", "transporte rodoviario de cargas", "DARF", "arrecadacao de receitas federais", "guia da previdência social",
     "FGTS digital", "guia do FGTS", "GFD", "DARF-simples", "danfe", "documento auxiliar da nota fiscal eletroni", "documento auxiliar do conhecimento", "natureza da operação", "NFS-e", "NFSE", "nota fiscal de serviço eletrônica",
-    "nota fiscal eletronica de servicos", "guia", "INSS", "GPS", "nota fiscal de serviços", "fatura", "nota fiscal", "recibo", "recibos", "xDARFx", "", None, "nosso numero", "ficha de compensação", "cedente", "linha digitável", "pagador", "beneficiário",
+    "nota fiscal eletronica de servicos", "guia", "INSS", "GPS", "nota fiscal de serviços", "fatura", "nota fiscal", "recibo", "recibos", "xDARFx", "", None, "nosso numero", "ficha de compensação", "cedente", "linha digitável", "pagador", "beneficiário", "expresso", "transportadora", "logística", "rodoviário", "transportes",
 ]
 
 
@@ -538,9 +538,11 @@ def test_cut_payload(spark):
 
 
 def test_reports_as_csv(spark, tmp_path):
-    df = spark.createDataFrame([("a;b", 'say "x"'), ("line\nbreak", None)], "file string, note string")
-    csv.write(df, str(tmp_path / "r"))
-    assert {tuple(r) for r in csv.read(spark, str(tmp_path / "r"), "file string, note string").collect()} == {("a;b", 'say "x"'), ("line\nbreak", None)}
+    df = spark.createDataFrame([("a;b", 'say "x"'), ("line\nbreak", None), (" b ", ""), ("plain", "ção")], "file string, note string")
+    csv.write(df.coalesce(1), str(tmp_path / "r"))
+    (part,) = (tmp_path / "r").glob("part-*")
+    assert part.read_bytes().decode() == '\ufefffile;note\r\n"a;b";"say ""x"""\r\n"line\nbreak";\r\n b ;\r\nplain;ção\r\n'
+    assert {tuple(r) for r in csv.read(spark, str(tmp_path / "r"), "file string, note string").collect()} == {("a;b", 'say "x"'), ("line\nbreak", ""), (" b ", ""), ("plain", "ção")}
 
 
 def book(rows, shared):
