@@ -6,6 +6,8 @@ alternative number or its purchase order.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,18 +182,34 @@ def consolidation(bills: DataFrame, notes: DataFrame, most: int = 12) -> DataFra
     members = notes.where("header_cents > 0").withColumn("n", F.row_number().over(pool)).where(F.col("n") <= most)
     grouped = members.groupBy("period", "entity").agg(F.array_sort(F.collect_list(F.struct("seq", "nf", "header_cents"))).alias("pool")).where(F.size("pool") >= 2)
     rows = bills.where("cents > 0").join(grouped, ["period", "entity"])
-    rows = rows.withColumn("best", subset(F.col("pool"), F.col("cents"), F.lit(False))).where(F.col("best").isNotNull())
-    chosen = F.filter("pool", lambda _, i: F.getbit(F.col("best.mask").cast("bigint"), i) == 1)
-    return rows.select(*bills.columns, F.col("best.size").alias("members"), F.array_join(F.transform(chosen, lambda x: x["nf"]), ", ").alias("numbers"))
-
-
-def subset(pool: Column, cents: Column, forced: Column) -> Column:
-    """(size, mask) of the fewest members of a pool, two at least, that add up to cents; the first is in if forced."""
-    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(pool)) - 1)
-    inside = lambda m: F.filter(pool, lambda _, i: F.getbit(m.cast("bigint"), i) == 1)
-    total = lambda m: F.aggregate(inside(m), F.lit(0).cast("bigint"), lambda s, x: s + x["header_cents"])
-    fits = F.filter(masks, lambda m: (F.bit_count(m) >= 2) & (~forced | (m % 2 == 1)) & (F.abs(total(m) - cents) <= F.bit_count(m) * TOLERANCE + 1))
-    return F.array_min(F.transform(fits, lambda m: F.struct(F.bit_count(m).alias("size"), m.alias("mask"))))
+
+    @F.pandas_udf("array<int>")
+    def places(values: pd.Series, cents: pd.Series) -> pd.Series:
+        return pd.Series([fewest(list(v), int(c), False) for v, c in zip(values, cents, strict=True)], dtype=object)
+
+    rows = rows.withColumn("best", places(F.transform("pool", lambda x: x["header_cents"]), "cents")).where(F.col("best").isNotNull())
+    chosen = F.transform("best", lambda i: F.get("pool", i)["nf"])
+    return rows.select(*bills.columns, F.size("best").alias("members"), F.array_join(chosen, ", ").alias("numbers"))
+
+
+def fewest(values: list[int], cents: int, forced: bool) -> list[int] | None:
+    """Places of the fewest values, two at least, that add up to cents within two each and one; the first is in if forced.
+
+    Of equally few the lowest number in bits wins. All subsets are summed at once.
+    """
+    sums, sizes = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+    for v in values:
+        sums, sizes = np.concatenate([sums, sums + v]), np.concatenate([sizes, sizes + 1])
+    fits = (sizes >= 2) & (np.abs(sums - cents) <= sizes * TOLERANCE + 1)
+    if forced:
+        fits[::2] = False
+    at = np.flatnonzero(fits)
+    if not len(at):
+        return None
+    mask = int(at[np.argmin(sizes[at])])
+    return [i for i in range(len(values)) if mask >> i & 1]
+
+
 
 
 def annotated(results: DataFrame, alerts: DataFrame, links: DataFrame) -> DataFrame:

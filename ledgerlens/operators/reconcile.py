@@ -27,7 +27,6 @@ import heapq
 from collections.abc import Iterator
 from itertools import islice
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import period as period_of
 from ..functions.predicates import TOLERANCE, is_card_file, is_tax
 from .graph import components
-from .matching import fallback_wishes, name_pairs, number_pairs, with_agreement, with_names
+from .matching import fallback_wishes, fewest, name_pairs, number_pairs, with_agreement, with_names
 
 #: Facts of a component that one task takes at most, some 100 bytes each.
 MOST = 1_000_000
@@ -68,24 +67,6 @@ def node(kind: str, *keys) -> Column:
 # -- one component, in order
 
 
-def fewest(values: list[int], cents: int, forced: bool) -> list[int] | None:
-    """Places of the fewest values, two at least, that add up to cents within two each and one; the first is in if forced.
-
-    Of equally few the lowest number in bits wins. All subsets are summed at once.
-    """
-    sums, sizes = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
-    for v in values:
-        sums, sizes = np.concatenate([sums, sums + v]), np.concatenate([sizes, sizes + 1])
-    fits = (sizes >= 2) & (np.abs(sums - cents) <= sizes * TOLERANCE + 1)
-    if forced:
-        fits[::2] = False
-    at = np.flatnonzero(fits)
-    if not len(at):
-        return None
-    mask = int(at[np.argmin(sizes[at])])
-    return [i for i in range(len(values)) if mask >> i & 1]
-
-
 class Component:
     """The facts of one component: members of classes in order, what classes want, and which notes a name may bill."""
 

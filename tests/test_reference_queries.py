@@ -399,7 +399,7 @@ def test_fewest_members_equal_trying_all():
     for _ in range(300):
         values, cents, forced = [r.randrange(0, 60) for _ in range(r.randrange(2, 10))], r.randrange(10, 200), r.random() < 0.5
         want = plain_subset([{"header_cents": v, "i": i} for i, v in enumerate(values)], cents, forced)
-        assert reconcile.fewest(values, cents, forced) == (want and [x["i"] for x in want])
+        assert matching.fewest(values, cents, forced) == (want and [x["i"] for x in want])
 
 
 @pytest.mark.parametrize("seed", range(4))
