@@ -299,7 +299,7 @@ def store(payloads: DataFrame, column: str = "payload", pieces: Callable[[bytes
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """Features of each stored medium, from its bytes, one row a digest."""
+    """Features of each stored medium, from its bytes, one row a digest; dealt by digest, as a join with references needs them."""
 
     def decode(batches):
         for batch in batches:
@@ -313,7 +313,7 @@ def read_back(stored: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in FEATURES.split(", ")])
 
-    return written(stored.mapInArrow(decode, FEATURES).dropDuplicates(["digest"]), "media-features")
+    return stored.mapInArrow(decode, FEATURES).dropDuplicates(["digest"])
 
 
 def resolve(refs: DataFrame, features: DataFrame) -> DataFrame:
