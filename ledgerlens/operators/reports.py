@@ -122,3 +122,17 @@ def schedule(times: DataFrame) -> DataFrame:
     """(schedule_id, at): the times of day when folders are read, as HH:MM, once each, the earliest first."""
     at = F.regexp_extract(F.trim("at"), r"^((?:[01]\d|2[0-3]):[0-5]\d)(?::\d{2})?$", 1)
     return times.select("schedule_id", at.alias("at")).where("at <> ''").groupBy("at").agg(F.min("schedule_id").alias("schedule_id")).select("schedule_id", "at").orderBy("at")
+
+
+def folder_rows(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """One pass over a folder: rows read from files, as rows of daily and monthly reports.
+
+    files: (file, folder, day, seq), undated ones without day; rows: (file, folder, due) and others, file with the mark of
+    an instalment where it is one. An instalment belongs to the day it is due, any other row to its file's day, and
+    undated files to the first day of the month that most dated ones have.
+    """
+    filed = filed_days(files).select(F.col("file").alias("base"), "folder", "day")
+    part = F.col("file") != F.col("base")
+    dated = with_base(rows).join(filed, ["base", "folder"]).withColumn("day", F.when(part & F.col("due").isNotNull(), F.col("due")).otherwise(F.col("day"))).drop("base")
+    kinds = F.array(F.struct(F.lit("D").alias("report_type"), F.date_format("day", "dd.MM.yyyy").alias("period")), F.struct(F.lit("M").alias("report_type"), F.date_format("day", "MM.yyyy").alias("period")))
+    return dated.withColumn("_k", F.explode(kinds)).select("*", "_k.report_type", "_k.period").drop("_k")

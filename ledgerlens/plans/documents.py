@@ -373,3 +373,20 @@ def workbook_lines(spark, sf_dir):
     )
     files = rows.groupBy("owner").applyInPandas(lambda g: as_workbook(g.sort_values("n")), "path string, content binary")
     return workbook.ledger_lines(workbook.unpacked(files)).select("path", "seq", "orig", "nf", "entity", "header_cents", "signed_cents", "item_cents", "issue_date", "category")
+
+
+@query("""WITH files AS (SELECT o_orderkey AS seq, CAST(o_orderkey AS VARCHAR) || '.pdf' AS file, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders),
+most AS (SELECT strftime(day, '%Y-%m') AS m FROM files WHERE day IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, min(seq) LIMIT 1),
+filed AS (SELECT seq, file, coalesce(day, CAST(m || '-01' AS DATE)) AS day FROM files, most),
+parts AS (SELECT l_orderkey AS seq, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS n, CASE WHEN l_linenumber <> 2 THEN CAST(l_shipdate AS DATE) END AS due FROM lineitem WHERE l_orderkey % 4 = 0),
+rows_ AS (SELECT file || '#p' || CAST(n AS VARCHAR) AS file, coalesce(due, day) AS day FROM filed JOIN parts USING (seq) UNION ALL SELECT file, day FROM filed WHERE seq NOT IN (SELECT seq FROM parts))
+SELECT file, 'D' AS report_type, strftime(day, '%d.%m.%Y') AS period FROM rows_ UNION ALL SELECT file, 'M', strftime(day, '%m.%Y') FROM rows_""")
+def folder_run(spark, sf_dir):
+    """A folder's files as report rows: undated ones by the month of most, instalments by their own due dates, some of them without."""
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    files = o.select(k.alias("seq"), F.concat(k.cast("string"), F.lit(".pdf")).alias("file"), F.lit("f").alias("folder"), F.when(k % 13 != 0, F.to_date("o_orderdate")).alias("day"))
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
+    parts = read(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("seq"), F.row_number().over(place).cast("string").alias("n"), F.when(F.col("l_linenumber") != 2, F.to_date("l_shipdate")).alias("due"))
+    read_rows = files.join(parts, "seq", "left").select(F.concat("file", F.coalesce(F.concat(F.lit("#p"), "n"), F.lit(""))).alias("file"), "folder", "due")
+    return reports.folder_rows(files, read_rows).select("file", "report_type", "period")
