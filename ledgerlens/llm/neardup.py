@@ -279,7 +279,7 @@ def around_centres(stars: DataFrame, labels: DataFrame, cfg: Settings) -> DataFr
     stars: compared (centre a, member b) with differences; labels: classes by the stars' links. A difference
     that only members of one class have is dropped. Of a member's others it is enough to look up its rarest,
     and where both members failed, both sides need only their rarest. Two failed members are paired only if their
-    bitmaps leave room for as many shared differences as either needs; all pairs are verified on their sets later.
+    bitmaps, and what is left of both lists from the shared one on, leave room for as many as either needs; all pairs are verified on their sets later.
     """
     rows = stars.where(F.col("differences").isNotNull()).select(F.col("a").alias("centre"), F.col("b").alias("node"), "linked", least_shared(cfg).alias("least"), "differences")
     rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -289,16 +289,18 @@ def around_centres(stars: DataFrame, labels: DataFrame, cfg: Settings) -> DataFr
     named = [f"w{i}" for i in range(BITMAP_WORDS)]
     per_node = parts.groupBy("centre", "node", "label", "linked", "least").agg(F.array_sort(F.collect_list(F.struct("n", "d"))).alias("ds"), *bitmap("d")).where(F.size("ds") >= F.col("least"))
     per_node = per_node.withColumn("spare", F.size("ds") - ones([F.col(w) for w in named]))
-    rarest = F.explode(F.slice("ds", 1, F.size("ds") - F.col("least") + 1))
-    probes = per_node.select("centre", "node", "label", "linked", "least", "spare", F.array(*named).alias("bits"), rarest.alias("x")).withColumn("d", F.col("x.d")).drop("x")
-    probes = written(probes, "probes")
+    rarest = F.posexplode(F.slice("ds", 1, F.size("ds") - F.col("least") + 1)).alias("place", "x")
+    probes = per_node.select("centre", "node", "label", "linked", "least", "spare", F.array(*named).alias("bits"), F.size("ds").alias("size"), rarest)
+    probes = written(probes.withColumns({"d": F.col("x.d"), "room": F.col("size") - F.col("place")}).drop("x", "size", "place"), "probes")
     x, y = (
-        probes.select("centre", "d", "linked", F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("label", "least", "spare", "bits")])
+        probes.select("centre", "d", "linked", F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("label", "least", "spare", "bits", "room")])
         for s in ("x", "y")
     )
     # what two lists share sets bits in both bitmaps, but for what falls on a bit that is set already
     both = ones([F.col("bits_x")[i].bitwiseAND(F.col("bits_y")[i]) for i in range(BITMAP_WORDS)])
     enough = both + F.least("spare_x", "spare_y") >= F.greatest("least_x", "least_y")
+    # lists have one order, so at the first difference that two share, all they share is still to come in both
+    enough &= F.least("room_x", "room_y") >= F.greatest("least_x", "least_y")
     failed = x.where(~F.col("linked")).join(y.where(~F.col("linked")).drop("linked"), ["centre", "d"]).where((F.col("x") < F.col("y")) & (F.col("label_x") != F.col("label_y")) & enough)
     other = parts.where(~F.col("linked")).select("centre", "d", F.col("node").alias("y"), F.col("label").alias("label_y"))
     mixed = x.where("linked").join(other, ["centre", "d"]).where("label_x <> label_y")
