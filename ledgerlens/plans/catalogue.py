@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import dates, predicates, text
 from ..operators import classify, extract, ledger, matching, reconcile, reports
 from ..operators import store as stored
-from ..sources.files import shared_folder
+from ..sources.files import kept as keep
+from ..sources.files import scratch
 from .inputs import BASIS_SQL, DOCS_SQL, ENTITY_SQL, KEYS_SQL, KIND_SQL, LINES_SQL, NAMED_SQL, NOTES_SQL, PAYABLE_SQL, documents, ledger_lines, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,14 +166,6 @@ def type_check(spark, sf_dir):
     return n.join(d, n.nf_clean == d.doc_seq.cast("string")).select("seq", "doc_seq", predicates.kind_ok(F.col("kind"), predicates.ledger_kind(F.col("category"))).alias("agrees"))
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared checkpoint folder; its size is known, so small ones are sent to joins whole."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @query()
 def assign_one_to_one(spark, sf_dir):
     return matching.assign(candidates_of(spark, sf_dir), keep).select("seq", "doc_seq", "tier", "score", "via")
@@ -307,7 +299,7 @@ STORE_SCHEMA = "seq bigint, file string, folder string, payload string"
 @query(f"""WITH {STORE_SQL}, {upserts_sql("rows_", "CASE WHEN seq % 5 = 0 THEN 2 WHEN seq % 5 = 1 THEN 1 ELSE 0 END * 1000000000000 + seq", "period")} SELECT seq, file, folder, payload, period FROM left_over WHERE substr(period, 4) <> '02.2024'""")
 def report_store(spark, sf_dir):
     """Reports written in three changes, the last one sent twice, and read back from the newest version without one month."""
-    rows, reports_of = store(spark, sf_dir), stored.ReportStore(spark, f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}", STORE_SCHEMA)
+    rows, reports_of = store(spark, sf_dir), stored.ReportStore(spark, scratch(spark, "store"), STORE_SCHEMA)
     parts = (F.col("seq") % 5 > 1, F.col("seq") % 5 == 1, F.col("seq") % 5 == 0, F.col("seq") % 5 == 0)
     for number, part in enumerate(parts):
         new = rows.where(part)

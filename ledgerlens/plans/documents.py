@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -16,7 +15,7 @@ from ..functions.predicates import is_card_file, is_tax
 from ..operators import classify, extract, payload, reports
 from ..operators.store import ReportStore
 from ..sources import csv, workbook
-from ..sources.files import shared_folder
+from ..sources.files import scratch
 from ..streaming import ingest
 from .catalogue import STORE_SQL, query, store
 from .inputs import DOCS_SQL, documents, read
@@ -264,7 +263,7 @@ def csv_roundtrip(spark, sf_dir):
     """Report rows with separators, quotes, blanks and line breaks, written as semicolon CSV and read back; absent is empty."""
     note = F.when(F.col("event_id") % 5 == 0, "  blank before").otherwise(F.concat("event_type", F.lit('; "'), F.coalesce("props", F.lit("")), F.lit('"\nx')))
     rows = read(spark, sf_dir, "events").select("event_id", note.alias("note"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).when(F.col("event_id") % 2 == 0, "").alias("kind"))
-    path = f"{shared_folder(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    path = scratch(spark, "report")
     csv.write(rows, path)
     return csv.read(spark, path, "event_id bigint, note string, kind string")
 
@@ -272,7 +271,7 @@ def csv_roundtrip(spark, sf_dir):
 @query("SELECT n_name AS text, strftime(DATE '2026-01-01' + CAST(n_nationkey AS INTEGER), '%m.%Y') AS period, CAST(DATE '2026-01-01' + CAST(n_nationkey AS INTEGER) AS DATE) AS day FROM nation")
 def stream_ingest(spark, sf_dir):
     """One file a nation, dated by its name, taken by a stream that runs twice over the same folder and writes a table."""
-    path = f"{shared_folder(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    path = scratch(spark, "ingest")
     day = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), F.col("n_nationkey").cast("int")), "yyyy.MM.dd")
     files = read(spark, sf_dir, "nation").select(F.col("n_name").alias("value"), F.concat(day, F.lit(" , X , NF 1.txt")).alias("name"))
     files.write.partitionBy("name").text(f"{path}/in")

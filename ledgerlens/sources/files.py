@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,32 @@ def shared_folder(spark: SparkSession) -> str:
     return said or current.get()
 
 
+_left: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which discard() deletes."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _left.append(path)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder; its size is known, so small ones are sent to joins whole."""
+    path = scratch(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete what scratch() and kept() left, once the results made from it are stored; how many folders there were."""
+    n = len(_left)
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, _left):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _left.clear()
+    return n
+
+
 def named(df: DataFrame, root: str) -> DataFrame:
     """name and folder, relative to the root, of a frame with a path column."""
     path = F.regexp_replace("path", r"^[a-z]+:/*", "/")

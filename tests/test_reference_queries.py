@@ -519,6 +519,14 @@ MARK_TEXTS = [
 ]
 
 
+def test_kept_tables_are_deleted(spark, monkeypatch):
+    monkeypatch.setattr(files, "_left", [])
+    kept = files.kept(spark.range(3))
+    assert kept.count() == 3 and files.discard(spark) == 1 and files.discard(spark) == 0
+    with pytest.raises(Exception, match="FileNotFound|does not exist|PATH_NOT_FOUND|FILE_NOT_EXIST"):
+        kept.agg(F.sum("id")).collect()
+
+
 def test_hints_lose_no_mark(spark):
     """Every pattern alone, with and without its hints, over texts that hold each of its forms."""
     texts = spark.createDataFrame([(t and f"a {t} b",) for t in MARK_TEXTS], "t string").select(text.norm_ascii(F.col("t")).alias("t"))
