@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import TOLERANCE, exact_value, first_words, kind_ok, ledger_kind, names_match, same_entity, value_basis
 from ..functions.text import digits, entity_core, norm, norm_company
+from .graph import components
 
 #: Characters of a company's name that files are looked up by, and of a name that other names are looked up by.
 GRAM, NAME_GRAM = 4, 24
@@ -74,24 +76,59 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("n", F.row_number().over(rank)).where("n = 1").drop("n")
 
 
-def assign(candidates: DataFrame, keep, asker: str = "seq", asked_for: str = "doc_seq", order: list[Column] | None = None) -> DataFrame:
+#: Wishes of a component that one task takes at most.
+MOST_WISHES = 1_000_000
+
+
+def assign(candidates: DataFrame, keep, most: int = MOST_WISHES) -> DataFrame:
     """One document for each note, one note for each document, earlier notes first.
 
+    Notes and documents that are connected by wishes are passed through in order within one task, whatever their
+    contention; a component of more than `most` wishes goes by rounds of joins instead. keep() cuts the lineage.
+    """
+    rank = Window.partitionBy("seq").orderBy(*preference())
+    wishes = keep(candidates.withColumn("n", F.row_number().over(rank)))
+    at = F.xxhash64(F.lit("note"), "seq")
+    of = components(wishes.select(at.alias("a"), F.xxhash64(F.lit("document"), "doc_seq").alias("b")), keep)
+    rows = keep(wishes.withColumn("node", at).join(of, "node").drop("node"))
+    large = keep(rows.groupBy("component").agg(F.count("*").alias("wishes")).where(F.col("wishes") > most).select("component"))
+    small = rows.join(large, "component", "left_anti").groupBy("component").agg(F.collect_list(F.struct("seq", "n", "doc_seq")).alias("wishes")).select("wishes")
+
+    def settle(batches):
+        for batch in batches:
+            notes, docs = [], []
+            for found in batch.column(0):
+                taken, served = set(), set()
+                for seq, _, doc in sorted((w["seq"], w["n"], w["doc_seq"]) for w in found.as_py()):
+                    if seq not in served and doc not in taken:
+                        served.add(seq)
+                        taken.add(doc)
+                        notes.append(seq)
+                        docs.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(notes, pa.int64()), pa.array(docs, pa.int64())], names=["seq", "doc_seq"])
+
+    settled = wishes.join(small.mapInArrow(settle, "seq bigint, doc_seq bigint"), ["seq", "doc_seq"]).drop("n")
+    if large.isEmpty():
+        return settled
+    rest = assign_in_rounds(rows.join(large, "component").drop("component"), keep)
+    return settled.unionByName(rest.select(*settled.columns))
+
+
+def assign_in_rounds(wishes: DataFrame, keep) -> DataFrame:
+    """The same for wishes numbered by n, without a bound on a component.
+
     The sequential pass equals deferred acceptance with documents that prefer earlier notes: every free note
     asks for its next choice, a document keeps the earliest asker, the refused ask on. Rounds end when none
-    is refused. keep() cuts the lineage between rounds. asker and asked_for exchange the sides, and order is
-    then the askers' order of wishes.
+    is refused.
     """
-    rank = Window.partitionBy(asker).orderBy(*(order or preference()))
-    wishes = keep(candidates.withColumn("n", F.row_number().over(rank)))
-    at = keep(wishes.groupBy(asker).agg(F.lit(1).alias("n")))
+    at = keep(wishes.groupBy("seq").agg(F.lit(1).alias("n")))
     while True:
-        asked = wishes.join(at, [asker, "n"])
-        held = asked.groupBy(asked_for).agg(F.min(asker).alias("winner"))
-        judged = keep(asked.join(held, asked_for).withColumn("won", F.col(asker) == F.col("winner")).drop("winner"))
+        asked = wishes.join(at, ["seq", "n"])
+        held = asked.groupBy("doc_seq").agg(F.min("seq").alias("winner"))
+        judged = keep(asked.join(held, "doc_seq").withColumn("won", F.col("seq") == F.col("winner")).drop("winner"))
         if judged.where(~F.col("won")).isEmpty():
             return judged.drop("n", "won")
-        at = keep(judged.select(asker, F.when(F.col("won"), F.col("n")).otherwise(F.col("n") + 1).alias("n")))
+        at = keep(judged.select("seq", F.when(F.col("won"), F.col("n")).otherwise(F.col("n") + 1).alias("n")))
 
 
 def first_for_document(pairs: DataFrame, *order: str) -> DataFrame:
