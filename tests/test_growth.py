@@ -42,3 +42,10 @@ def test_days_are_joined_within_entities(spark):
     rows, most = most_joined(matching.band_match(docs, notes))
     assert {r.doc_seq: r.seq for r in rows} == {i: i if i % 2 else 0 for i in range(400)}
     assert most <= 4000
+
+
+def test_values_are_joined_within_entities(spark):
+    docs, notes = crowd(spark, 400)
+    rows, most = most_joined(matching.value_entity_recovery(docs, notes))
+    assert {r.doc_seq: (r.place, r.seq) for r in rows} == {i: (0, i if i % 2 else 0) for i in range(400)}
+    assert most <= 4000
