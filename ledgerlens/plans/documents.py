@@ -6,7 +6,7 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -347,15 +347,21 @@ def schedule_listing(spark, sf_dir):
 SHEET = ("ORIG", "NF", "ENTIDADE", "VL_TOTAL_CAB", "VL_ITEM", "DT_EMISSAO", "TIPO")
 
 
-def as_workbook(rows):
+def as_workbook(rows) -> bytes:
     """One customer's lines as a workbook of one sheet: a title, the header, a row for each line."""
-    cell = lambda v: f"<c r=\"{{}}\" t=\"inlineStr\"><is><t>{escape(v)}</t></is></c>" if isinstance(v, str) else f"<c r=\"{{}}\"><v>{v}</v></c>"
-    lines = [("Ledger",), SHEET, *rows[["orig", "nf", "entity", "header", "item", "serial", "category"]].itertuples(index=False)]
-    xml = "".join(f'<row r="{n}">' + "".join(cell(v).format(f"{chr(65 + k)}{n}") for k, v in enumerate(line)) + "</row>" for n, line in enumerate(lines, start=1))
+    cell = lambda place, v: f'<c r="{place}" t="inlineStr"><is><t>{escape(v)}</t></is></c>' if isinstance(v, str) else f'<c r="{place}"><v>{v}</v></c>'
+    xml = "".join(f'<row r="{n}">' + "".join(cell(f"{chr(65 + k)}{n}", v) for k, v in enumerate(line)) + "</row>" for n, line in enumerate([("Ledger",), SHEET, *rows], start=1))
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{xml}</sheetData></worksheet>')
-    return pd.DataFrame({"path": [str(rows["owner"].iloc[0])], "content": [data.getvalue()]})
+    return data.getvalue()
+
+
+def workbooks(batches):
+    """Workbooks (path, content) of owners with their lines in order."""
+    for batch in batches:
+        made = [as_workbook([tuple(line.values()) for line in lines.as_py()]) for lines in batch.column("lines")]
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(made, pa.binary())], names=["path", "content"])
 
 
 @query("""SELECT CAST(o_custkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) + 1 AS seq, 'CP' AS orig, CAST(o_orderkey AS VARCHAR) AS nf, 'Firm & Co ' || CAST(o_custkey AS VARCHAR) AS entity,
@@ -365,12 +371,13 @@ def workbook_lines(spark, sf_dir):
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"]
     items = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     k = F.col("o_orderkey")
-    rows = items.select(
-        F.col("o_custkey").alias("owner"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(*order)).alias("n"), F.lit("CP").alias("orig"), k.cast("string").alias("nf"), F.concat(F.lit("Firm & Co "), F.col("o_custkey").cast("string")).alias("entity"),
+    line = F.struct(
+        F.lit("CP").alias("orig"), k.cast("string").alias("nf"), F.concat(F.lit("Firm & Co "), F.col("o_custkey").cast("string")).alias("entity"),
         (F.col("o_totalprice") * F.when(k % 4 == 0, -1).otherwise(1)).cast("double").alias("header"), (F.col("l_extendedprice") * F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)).cast("double").alias("item"),
         F.datediff(F.to_date("o_orderdate"), F.lit("1899-12-30").cast("date")).alias("serial"), F.lit("FATURA").alias("category"),
     )
-    files = rows.groupBy("owner").applyInPandas(lambda g: as_workbook(g.sort_values("n")), "path string, content binary")
+    owners = items.groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("lines"))
+    files = owners.select("path", F.transform("lines", lambda x: x["line"]).alias("lines")).mapInArrow(workbooks, "path string, content binary")
     return workbook.ledger_lines(workbook.unpacked(files)).select("path", "seq", "orig", "nf", "entity", "header_cents", "signed_cents", "item_cents", "issue_date", "category")
 
 

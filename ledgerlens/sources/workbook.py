@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -21,16 +22,20 @@ from ..functions.text import absent, tax_id
 
 #: Rows above the header, and rows handed on at once.
 SKIPPED, BATCH = 1, 2_000
+#: Bytes of a sheet that is parsed at once.
+SMALL = 1 << 20
 # The ledger's columns by the names they have in a sheet.
 COLUMNS = {"orig": "ORIG", "nf": "NF", "entity": "ENTIDADE", "category": "TIPO", "branch": "FILIAL", "entity_code": "CD_ENTID"}
 MONEY = {"header_cents": "VL_TOTAL_CAB", "item_cents": "VL_ITEM"}
 DATES = {"issue_date": "DT_EMISSAO", "entry_date": "DT_LANCAMENTO", "due_date": "DT_VENCIMENTO", "paper_date": "DATA"}
 
 
+@lru_cache(1 << 10)
 def local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
+@lru_cache(1 << 16)
 def column_number(place: str) -> int:
     """A cell's column, of a place such as AB12, from zero."""
     n = 0
@@ -51,15 +56,18 @@ def cell_rows(content: bytes) -> Iterator[tuple[int, dict[int, str]]]:
         if not sheets:
             return
         with book.open(sheets[0]) as sheet:
-            for _, row in ElementTree.iterparse(sheet):
+            # a small sheet is parsed at once, a large one row by row
+            small = book.getinfo(sheets[0]).file_size <= SMALL
+            rows = (row for part in ElementTree.parse(sheet).getroot() if local(part.tag) == "sheetData" for row in part) if small else (e for _, e in ElementTree.iterparse(sheet))
+            for row in rows:
                 if local(row.tag) != "row":
                     continue
                 cells = {}
                 for cell in row:
-                    value = next((x.text for x in cell if local(x.tag) == "v"), None)
-                    if cell.get("t") == "s" and value is not None:
+                    value, kind = next((x.text for x in cell if local(x.tag) == "v"), None), cell.get("t")
+                    if kind == "s" and value is not None:
                         value = strings[int(value)]
-                    elif cell.get("t") == "inlineStr":
+                    elif kind == "inlineStr":
                         value = "".join(x.text or "" for x in cell.iter() if local(x.tag) == "t")
                     if value is not None:
                         cells[column_number(cell.get("r"))] = value
@@ -77,25 +85,27 @@ def unpacked(files: DataFrame) -> DataFrame:
 
     def run(batches):
         kind = pa.map_(pa.string(), pa.string())
-        for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                header: dict[int, str] = {}
-                numbers, rows = [], []
+        paths, numbers, rows = [], [], []
 
-                def made():
-                    return pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(rows)), pa.array(numbers, pa.int64()), pa.array(rows, kind)], names=["path", "row", "cells"])  # noqa: B023
+        def made():
+            done = pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(numbers, pa.int64()), pa.array(rows, kind)], names=["path", "row", "cells"])
+            paths.clear(), numbers.clear(), rows.clear()
+            return done
 
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                header: dict[int, str] = {}
                 for n, cells in cell_rows(content.as_py()):
                     if n == SKIPPED:
                         header = {k: v.strip() for k, v in cells.items()}
                     elif n > SKIPPED and cells:
+                        paths.append(path)
                         numbers.append(n)
                         rows.append([(header[k], v) for k, v in cells.items() if k in header])
                     if len(rows) >= BATCH:
                         yield made()
-                        numbers, rows = [], []
-                if rows:
-                    yield made()
+        if rows:
+            yield made()
 
     return files.select("path", "content").mapInArrow(run, "path string, row bigint, cells map<string,string>")
 

@@ -49,3 +49,13 @@ def test_values_are_joined_within_entities(spark):
     rows, most = most_joined(matching.value_entity_recovery(docs, notes))
     assert {r.doc_seq: (r.place, r.seq) for r in rows} == {i: (0, i if i % 2 else 0) for i in range(400)}
     assert most <= 4000
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_workbooks_are_not_made_group_by_group(spark):
+    import __spark_entry__
+
+    assert "FlatMapGroups" not in plan_of(__spark_entry__.queries()["workbook_lines"](spark, "/root/testdata/sf0.001"))
