@@ -14,12 +14,17 @@ LABELS = (
     "data de emissão", "data emissão", "cnpj", "cpf", "destinatário", "remetente", "endereço", "municipio", "município", "uf", "ie", "inscricao",
     "inscrição", "fone", "telefone", "fax", "email", "cep", "complemento", "bairro", "logradouro", "nome", "razão social", "razao social",
 )
+#: What a JSON text begins with.
+JSON_START = r'^[ \t\r\n]*[{\["tfn0-9-]'
 SECTIONS = ("payments", "expenses", "instalments")
 
 
 def json_text(c: Column) -> Column:
-    """JSON text as it stands, or what lies between its first and last brace; NULL if neither parses."""
-    parses = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    """JSON text as it stands, or what lies between its first and last brace; NULL if neither parses.
+
+    A text is only parsed if it begins as JSON may, since each failure costs an exception.
+    """
+    parses = lambda x: F.when(x.rlike(JSON_START) & F.try_parse_json(x).isNotNull(), x)
     return F.coalesce(parses(absent(c)), parses(absent(F.regexp_extract(c, r"(?s)\{.*\}", 0))))
 
 

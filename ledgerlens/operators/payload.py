@@ -143,12 +143,14 @@ def clean_answer(a: Column, first: Column) -> Column:
     )
 
 
-def answer_rows(rows: DataFrame, answer: str, local: DataFrame, key: str = "doc_seq") -> DataFrame:
+def answer_rows(rows: DataFrame, answer: str, local: DataFrame, key: str = "doc_seq", keep=lambda df: df) -> DataFrame:
     """(key, file, kind, number, due, cents, origin): one row a document or instalment.
 
     An answer without kind, emitter, number and parts is of no use; such documents keep the row that local reading gave.
+    Answers are read once a row, as explode() stops the optimizer from repeating them; keep() may store what they say,
+    which is asked for twice.
     """
-    a = rows.withColumn("a", answers(F.col(answer)))
+    a = keep(rows.select(key, "file", F.explode(F.array(answers(F.col(answer)))).alias("a")))
     useful = (F.col("a.kind") != "") | (F.col("a.emitter") != "") | (F.col("a.number") != "") | (F.size("a.parts") > 0)
     good = a.where(F.coalesce(useful, F.lit(False)))
     parts = good.select(key, "file", "a", F.posexplode_outer(F.when(F.col("a.in_parts"), F.col("a.parts"))).alias("_i", "part"))

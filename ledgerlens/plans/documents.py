@@ -15,7 +15,7 @@ from ..functions.predicates import is_card_file, is_tax
 from ..operators import classify, extract, payload, reports
 from ..operators.store import ReportStore
 from ..sources import csv, workbook
-from ..sources.files import scratch
+from ..sources.files import kept, scratch
 from ..streaming import ingest
 from .catalogue import STORE_SQL, query, store
 from .inputs import DOCS_SQL, documents, read
@@ -123,7 +123,7 @@ def answer_rows(spark, sf_dir):
     """Readings as report rows, one an instalment; where a reading is of no use the local row stays."""
     rows = answered(spark, sf_dir).withColumnRenamed("k", "doc_seq")
     local = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_seq"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("file"), F.lit("RECIBO").alias("kind"), F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("due"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
-    return payload.answer_rows(rows, "answer", local)
+    return payload.answer_rows(rows, "answer", local, keep=kept)
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'Firm ' || CAST(o_orderkey AS VARCHAR) END AS emitter, CASE o_orderkey % 3 WHEN 0 THEN '02.328.280/0001-97' WHEN 1 THEN '123.456.789-09' ELSE '' END AS emitter_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Fazenda Boa' ELSE 'Fazenda Sitiozinho' END AS farm,

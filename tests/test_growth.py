@@ -59,3 +59,12 @@ def test_workbooks_are_not_made_group_by_group(spark):
     import __spark_entry__
 
     assert "FlatMapGroups" not in plan_of(__spark_entry__.queries()["workbook_lines"](spark, "/root/testdata/sf0.001"))
+
+
+def test_answers_are_not_parsed_again_for_each_use(spark):
+    from ledgerlens.operators import payload
+
+    rows = spark.createDataFrame([(1, "a.pdf", '{"tipo": "NF"}')], "doc_seq bigint, file string, answer string")
+    local = spark.createDataFrame([(1, "a.pdf", "RECIBO", None, None, 5)], "doc_seq bigint, file string, kind string, number string, due string, cents bigint")
+    plan = plan_of(payload.answer_rows(rows, "answer", local))
+    assert not [line for line in plan.splitlines() if "from_json" in line and "Filter" in line]
