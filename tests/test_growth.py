@@ -68,3 +68,14 @@ def test_answers_are_not_parsed_again_for_each_use(spark):
     local = spark.createDataFrame([(1, "a.pdf", "RECIBO", None, None, 5)], "doc_seq bigint, file string, kind string, number string, due string, cents bigint")
     plan = plan_of(payload.answer_rows(rows, "answer", local))
     assert not [line for line in plan.splitlines() if "from_json" in line and "Filter" in line]
+
+
+def test_rows_of_one_name_go_to_many_tasks(spark, tmp_path):
+    import __spark_entry__
+
+    spark.range(0, 40000, 100).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(0, 500, 100).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    df = __spark_entry__.queries()["entity_core_match"](spark, str(tmp_path))
+    tasks = df.rdd.glom().map(len).collect()
+    assert sum(tasks) == 400 * 5
+    assert max(tasks) < 400
