@@ -79,3 +79,13 @@ def test_rows_of_one_name_go_to_many_tasks(spark, tmp_path):
     tasks = df.rdd.glom().map(len).collect()
     assert sum(tasks) == 400 * 5
     assert max(tasks) < 400
+
+
+def test_marks_within_invented_prose_do_not_count(spark, tmp_path):
+    import __spark_entry__
+
+    prose = ["o inss da", "CT-E recibo", "lorem", "darf", "Danfe", "inß", None, "Prefeitura"]
+    docs = [(i, t) for i in range(8) for t in prose]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.doc_id, r.kind, r.origin) for r in __spark_entry__.queries()["classify_text"](spark, str(tmp_path)).collect()}
+    assert found == {(0, "Não identificado", "none"), (1, "NF", "strong"), (2, "RECIBO", "weak"), (3, "IMPOSTO", "weak"), (4, "NFS", "strong"), (5, "FATURA", "weak"), (6, "CONSORCIO", "strong"), (7, "IMPOSTO", "emitter")}
