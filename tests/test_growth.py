@@ -89,3 +89,23 @@ def test_marks_within_invented_prose_do_not_count(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {(r.doc_id, r.kind, r.origin) for r in __spark_entry__.queries()["classify_text"](spark, str(tmp_path)).collect()}
     assert found == {(0, "Não identificado", "none"), (1, "NF", "strong"), (2, "RECIBO", "weak"), (3, "IMPOSTO", "weak"), (4, "NFS", "strong"), (5, "FATURA", "weak"), (6, "CONSORCIO", "strong"), (7, "IMPOSTO", "emitter")}
+
+
+def test_notes_of_a_pool_are_one_node_and_no_edges(spark):
+    from ledgerlens.operators import reconcile
+    from ledgerlens.sources.files import kept
+
+    day, edges = date(2026, 5, 10), []
+    notes = [(i, str(i), str(i), "05.2026", "ALFA LTDA", None, "FATURA", 100 + i, 100 + i, [100 + i], day) for i in range(40)]
+    docs = [(1, "a.pdf", "0", None, None, "ALFA", None, 100 + 101, "FATURA", day, "05.2026")]
+
+    def keep(df):
+        out = kept(df)
+        if set(out.columns) == {"a", "b"}:
+            edges.append(out.count())
+        return out
+
+    rows = reconcile.reconciled(spark.createDataFrame(notes, NOTE.replace("nf_clean", "nf string, nf_clean", 1)), spark.createDataFrame(docs, DOC.replace("nf string", "file string, nf string", 1)), keep).collect()
+    assert [(r.doc_seq, r.seq, r.members) for r in rows if r.doc_seq is not None] == [(1, 0, "0, 1")]
+    assert sum(r.status == "no document" for r in rows) == 38
+    assert edges and max(edges) <= 4
