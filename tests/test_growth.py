@@ -109,3 +109,19 @@ def test_notes_of_a_pool_are_one_node_and_no_edges(spark):
     assert [(r.doc_seq, r.seq, r.members) for r in rows if r.doc_seq is not None] == [(1, 0, "0, 1")]
     assert sum(r.status == "no document" for r in rows) == 38
     assert edges and max(edges) <= 4
+
+
+def test_items_are_not_dealt_again_by_customer(spark):
+    from ledgerlens.plans.inputs import ledger_lines
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plan = ledger_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        dealt = [p for p in nodes(plan) if p.getClass().getSimpleName() == "ShuffleExchangeExec" and "custkey" in p.outputPartitioning().toString()]
+        assert dealt and not [p for p in dealt if "l_extendedprice" in p.output().toString()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
