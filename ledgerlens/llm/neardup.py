@@ -273,37 +273,49 @@ def ones(words: list[Column]) -> Column:
     return reduce(Column.__add__, map(F.bit_count, words))
 
 
+def excess(cfg: Settings) -> Column:
+    """What a member adds to the differences that a similar pair must share, in units of 1 / (2 (100 + p)).
+
+    x and y differ by |Dx| + |Dy| - 2 s, which is at most q (|x| + |y|) if the sum of both members' is at most 2 (100 + p) s.
+    """
+    return (100 + cfg.percent) * (F.col("na") + F.col("nb") - 2 * F.col("shared")) - (100 - cfg.percent) * F.col("nb")
+
+
 def around_centres(stars: DataFrame, labels: DataFrame, cfg: Settings) -> DataFrame:
     """Pairs (a, b) of members of one centre, in different classes so far, that may be similar.
 
     stars: compared (centre a, member b) with differences; labels: classes by the stars' links. A difference
     that only members of one class have is dropped. Of a member's others it is enough to look up its rarest,
-    and where both members failed, both sides need only their rarest. Two failed members are paired only if their
-    bitmaps, and what is left of both lists from the shared one on, leave room for as many as either needs; all pairs are verified on their sets later.
+    and where both members failed, both sides need only their rarest. Two members are paired only if their
+    bitmaps, and what is left of both lists from the shared one on, leave room for as many as the pair needs
+    by its sizes; all pairs are verified on their sets later.
     """
-    rows = stars.where(F.col("differences").isNotNull()).select(F.col("a").alias("centre"), F.col("b").alias("node"), "linked", least_shared(cfg).alias("least"), "differences")
+    rows = stars.where(F.col("differences").isNotNull()).select(F.col("a").alias("centre"), F.col("b").alias("node"), "linked", least_shared(cfg).alias("least"), excess(cfg).alias("excess"), "differences")
     rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = rows.select("centre", "node", "label", "linked", "least", F.explode("differences").alias("d"))
+    about = ["centre", "node", "label", "linked", "least", "excess"]
+    parts = rows.select(*about, F.explode("differences").alias("d"))
     common = parts.groupBy("centre", "d").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("failed"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     parts = written(parts.join(common.where("failed > 0 and lo <> hi").select("centre", "d", "n"), ["centre", "d"]), "differences")
     named = [f"w{i}" for i in range(BITMAP_WORDS)]
-    per_node = parts.groupBy("centre", "node", "label", "linked", "least").agg(F.array_sort(F.collect_list(F.struct("n", "d"))).alias("ds"), *bitmap("d")).where(F.size("ds") >= F.col("least"))
+    per_node = parts.groupBy(*about).agg(F.array_sort(F.collect_list(F.struct("n", "d"))).alias("ds"), *bitmap("d"))
+    per_node = per_node.where(~F.col("linked") | (F.size("ds") >= F.col("least")))
     per_node = per_node.withColumn("spare", F.size("ds") - ones([F.col(w) for w in named]))
-    rarest = F.posexplode(F.slice("ds", 1, F.size("ds") - F.col("least") + 1)).alias("place", "x")
-    probes = per_node.select("centre", "node", "label", "linked", "least", "spare", F.array(*named).alias("bits"), F.size("ds").alias("size"), rarest)
-    probes = written(probes.withColumns({"d": F.col("x.d"), "room": F.col("size") - F.col("place")}).drop("x", "size", "place"), "probes")
+    places = per_node.select(*about, "spare", F.array(*named).alias("bits"), F.size("ds").alias("size"), F.posexplode("ds").alias("place", "x"))
+    places = places.where(~F.col("linked") | (F.col("place") <= F.col("size") - F.col("least")))
+    rare = F.col("place") <= F.col("size") - F.col("least")
+    places = written(places.withColumns({"d": F.col("x.d"), "room": F.col("size") - F.col("place"), "rare": rare}).drop("x", "size", "place"), "places")
     x, y = (
-        probes.select("centre", "d", "linked", F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("label", "least", "spare", "bits", "room")])
+        places.select("centre", "d", "linked", F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("label", "least", "excess", "spare", "bits", "room", "rare")])
         for s in ("x", "y")
     )
     # what two lists share sets bits in both bitmaps, but for what falls on a bit that is set already
     both = ones([F.col("bits_x")[i].bitwiseAND(F.col("bits_y")[i]) for i in range(BITMAP_WORDS)])
-    enough = both + F.least("spare_x", "spare_y") >= F.greatest("least_x", "least_y")
     # lists have one order, so at the first difference that two share, all they share is still to come in both
-    enough &= F.least("room_x", "room_y") >= F.greatest("least_x", "least_y")
-    failed = x.where(~F.col("linked")).join(y.where(~F.col("linked")).drop("linked"), ["centre", "d"]).where((F.col("x") < F.col("y")) & (F.col("label_x") != F.col("label_y")) & enough)
-    other = parts.where(~F.col("linked")).select("centre", "d", F.col("node").alias("y"), F.col("label").alias("label_y"))
-    mixed = x.where("linked").join(other, ["centre", "d"]).where("label_x <> label_y")
+    most = F.least(both + F.least("spare_x", "spare_y"), "room_x", "room_y")
+    enough = (most >= F.col("least_x")) & (2 * (100 + cfg.percent) * most >= F.col("excess_x") + F.col("excess_y")) & (F.col("label_x") != F.col("label_y"))
+    y = y.where(~F.col("linked")).drop("linked")
+    failed = x.where("not linked and rare_x").join(y.where("rare_y"), ["centre", "d"]).where((F.col("x") < F.col("y")) & enough & (most >= F.col("least_y")))
+    mixed = x.where("linked").join(y, ["centre", "d"]).where(enough)
     return failed.select("x", "y").union(mixed.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

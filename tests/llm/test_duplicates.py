@@ -97,6 +97,15 @@ def test_long_lists_of_differences_with_and_without_ansi(spark, ansi):
         spark.conf.set("spark.sql.ansi.enabled", before)
 
 
+@pytest.mark.parametrize("common, pairs", [(35, 0), (41, 0), (42, 780)])
+def test_crowd_that_shares_the_centre_s_differences(spark, common, pairs):
+    """Failed members of one centre share more than half of their differences; a pair is similar from 42 of 58 on."""
+    stars = [(0, i, 147, 147, 118, False, [*range(common), *range(1000 * i, 1000 * i + 58 - common)]) for i in range(1, 41)]
+    compared = spark.createDataFrame(stars, "a long, b long, na long, nb long, shared long, linked boolean, differences array<bigint>")
+    labels = spark.createDataFrame([], "node long, label long")
+    assert neardup.around_centres(compared, labels, DOCUMENTS).count() == pairs
+
+
 def test_empty_table_of_documents(nothing):
     assert neardup.near_duplicates(nothing, DOCUMENTS).collect() == []
     assert neardup.repeated_paragraphs(nothing, PARAGRAPHS).collect() == []
