@@ -134,3 +134,23 @@ def test_files_are_looked_up_by_place(spark):
     found = matching.company_match(docs, companies)
     assert sorted((r.doc_seq, r.company_id) for r in found.collect()) == [(1, 1), (2, 2), (4, 2)]
     assert "array_distinct" not in plan_of(found) and "transform(" not in plan_of(found)
+
+
+def test_equal_notes_and_documents_of_other_numbers_are_no_product(spark):
+    """Documents and notes of one day, value and name, but of numbers and tax ids of their own; each takes the first note left."""
+    from ledgerlens.operators import reconcile
+    from ledgerlens.sources.files import kept
+
+    day, sizes, count = date(2026, 5, 10), [], 60
+    notes = [(i, str(i), str(i), p, "ALFA LTDA", f"{i:014d}" if i % 4 == 0 else None, "FATURA", 500, 500, [500], day) for i, p in enumerate(["05.2026", "06.2026"] * (count // 2))]
+    docs = [(i, f"{i}.pdf", f"9{i:03d}", None, None, "ALFA", f"{i:014d}" if i % 8 == 0 else None, 500, "FATURA", day, "05.2026") for i in range(count)]
+
+    def keep(df):
+        out = kept(df)
+        sizes.append(out.count())
+        return out
+
+    rows = reconcile.reconciled(spark.createDataFrame(notes, NOTE.replace("nf_clean", "nf string, nf_clean", 1)), spark.createDataFrame(docs, DOC.replace("nf string", "file string, nf string", 1)), keep).collect()
+    order = [*range(0, count, 2), *range(1, count, 2)]
+    assert [(r.doc_seq, r.seq, r.via) for r in sorted(rows, key=lambda r: (r.doc_seq is None, r.doc_seq)) if r.doc_seq is not None] == [(i, n, "value-entity") for i, n in enumerate(order)]
+    assert max(sizes) <= 8 * count
