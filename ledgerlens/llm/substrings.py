@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import shingles as sh
 from .common import written
+from .passages import shared_passages
 
 LENGTH = 400
 WINDOW = 200
@@ -211,14 +212,18 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_anchors) of each document.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_anchors, n_shared_passages) of each document.
 
-    n_shared_anchors counts anchors whose core stands elsewhere too: passages too short to be removed show there.
+    n_shared_anchors counts anchors whose core stands elsewhere too, n_shared_passages those of words that other
+    documents have (passages.py): passages too short to be removed show there, all of 50 words or more in the latter.
     """
     ids, text = F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")
     rows = docs.select(F.xxhash64(id_column, text_column).alias("key"), text, ids)
     spans = F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", "last"))).alias("spans")
-    found = repeated_starts(rows.select("key", "text"), length, window).groupBy("key").agg(spans, F.sum("shared").alias("shared"))
+    none = F.lit(None).cast("int")
+    said = shared_passages(rows.select("key", "text")).select("key", none.alias("first"), none.alias("last"), F.lit(0).cast("bigint").alias("shared"), F.col("n_shared_passages").alias("passages"))
+    found = repeated_starts(rows.select("key", "text"), length, window).withColumn("passages", F.lit(0).cast("bigint")).unionByName(said)
+    found = found.groupBy("key").agg(spans, F.sum("shared").alias("shared"), F.sum("passages").alias("passages"))
 
     def run(batches):
         for batch in batches:
@@ -238,8 +243,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                 n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 out.append((len(raw), count, n_spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
             columns = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), batch.column(3)], names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_anchors"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), batch.column(3), batch.column(4)], names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_anchors", "n_shared_passages"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    both = rows.join(found, "key", "left").select("id", "text", "spans", F.coalesce("shared", F.lit(0)).cast("bigint").alias("shared"))
-    return both.mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared_anchors bigint")
+    both = rows.join(found, "key", "left").select("id", "text", "spans", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("shared", "passages")])
+    return both.mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared_anchors bigint, n_shared_passages bigint")

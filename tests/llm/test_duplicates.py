@@ -228,3 +228,20 @@ def test_shared_anchors(spark):
 
 def test_no_strings(nothing):
     assert substrings.remove_repeats(nothing).collect() == []
+
+
+def test_passages_of_fifty_words_are_seen(spark):
+    """Every one of 50 words that two documents share, within longer lines or over several; none that one document repeats, or of 25 words."""
+    r, count = random.Random(5), 40
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 5))) + str(r.randrange(10**6))
+    prose = lambda n: [word() for _ in range(n)]
+    rows = []
+    for i in range(count):
+        long, short = prose(50), prose(25)
+        for k, part in enumerate((long, long, short, short)):
+            text = " ".join(prose(r.randrange(60)) + part + prose(r.randrange(60)))
+            rows.append((4 * i + k, text.replace(" ", "\n", 3 * (k % 2))))
+    own = " ".join(prose(60))
+    rows += [(4 * count, f"{own} {' '.join(prose(9))} {own}"), (4 * count + 1, None), (4 * count + 2, "")]
+    got = {x.doc_id: x.n_shared_passages for x in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if n > 0} == {i for i in range(4 * count) if i % 4 < 2}
