@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from . import shingles as sh
 from .common import checkpoint, drop, written
+from .passages import shared_passages
 
 #: Signature values compared before each look at the posterior.
 BATCH = 32
@@ -377,10 +378,11 @@ def near_duplicates(docs: DataFrame, cfg: Settings, id_column: str = "doc_id", t
 
 
 def repeated_paragraphs(docs: DataFrame, cfg: Settings, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_paragraphs, n_removed, removed, kept_in) of each document.
+    """(id, n_paragraphs, n_removed, removed, kept_in, n_shared_passages) of each document.
 
     Of each class of paragraphs the one at the least (id, position) stays. removed lists the positions of
-    the others, kept_in the documents that hold what stays for them.
+    the others, kept_in the documents that hold what stays for them. Passages that documents share within longer
+    paragraphs, or over several, are no paragraphs and stay; n_shared_passages tells of them (passages.py).
     """
     rows = classes(docs, cfg, id_column, text_column)
     place = F.struct("id", "position")
@@ -391,5 +393,6 @@ def repeated_paragraphs(docs: DataFrame, cfg: Settings, id_column: str = "doc_id
     )
     empty = F.array()
     all_ids = docs.select(F.col(id_column).alias("id"))
-    out = all_ids.join(per_doc, "id", "left")
-    return out.select(F.col("id").alias(id_column), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed", empty.cast("array<int>")).alias("removed"), F.coalesce("kept_in", empty.cast(f"array<{docs.schema[id_column].dataType.simpleString()}>")).alias("kept_in"))
+    passages = shared_passages(docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text"))).withColumnRenamed("key", "id")
+    out = all_ids.join(per_doc, "id", "left").join(passages, "id", "left")
+    return out.select(F.col("id").alias(id_column), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed", empty.cast("array<int>")).alias("removed"), F.coalesce("kept_in", empty.cast(f"array<{docs.schema[id_column].dataType.simpleString()}>")).alias("kept_in"), F.coalesce("n_shared_passages", F.lit(0)).alias("n_shared_passages"))

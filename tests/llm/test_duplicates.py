@@ -245,3 +245,11 @@ def test_passages_of_fifty_words_are_seen(spark):
     rows += [(4 * count, f"{own} {' '.join(prose(9))} {own}"), (4 * count + 1, None), (4 * count + 2, "")]
     got = {x.doc_id: x.n_shared_passages for x in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i for i, n in got.items() if n > 0} == {i for i in range(4 * count) if i % 4 < 2}
+
+
+def test_paragraphs_tell_of_passages_within_them(spark):
+    """Fifty words within two longer lines are no repeated line; repeated short lines are no passage."""
+    words = lambda a, n: " ".join(f"w{a}x{i}" for i in range(n))
+    rows = [(1, f"{words(1, 30)} {words(0, 50)} {words(2, 30)}"), (2, f"{words(3, 40)} {words(0, 50)} {words(4, 40)}"), (3, f"so it is\n{words(5, 60)}"), (4, f"so it is\n{words(6, 60)}"), (5, None)]
+    got = {r.doc_id: (r.n_removed, r.n_shared_passages > 0) for r in neardup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), PARAGRAPHS).collect()}
+    assert got == {1: (0, True), 2: (0, True), 3: (0, False), 4: (1, False), 5: (0, False)}
